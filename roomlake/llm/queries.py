@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact_dedup, line_rules, mixing, sharding
+from . import chat, exact_dedup, line_rules, mixing, near_dedup, packing, sharding
 
 SHARDS = 40
 
@@ -16,6 +16,17 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return str(public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op1_pack_min_bin_slack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = packing.pack_documents(_table(spark, sf_dir, "documents"), tokenizer_path())
+    return placed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+
+
 def op2_shard_rendezvous(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = sharding.shard_documents(_table(spark, sf_dir, "documents"), [1.0] * SHARDS)
     return made.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
@@ -30,6 +41,10 @@ def op5_mix_poisson(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_minhash_hamming_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_groups(_table(spark, sf_dir, "documents"), words=2, percent=80)
+
+
 def op7_exact_content_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(_table(spark, sf_dir, "documents"), keep="max").select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
@@ -72,6 +87,16 @@ w AS (SELECT doc_id, arg_min(s, cost) FILTER (WHERE s < {SHARDS}) AS shard, arg_
 SELECT doc_id, size, text_crc32, 'key' AS law, CAST(shard AS INTEGER) AS shard,
   row_number() OVER (PARTITION BY shard ORDER BY doc_id) - 1 AS slot, CAST(grown AS INTEGER) AS grown_shard FROM c JOIN w USING (doc_id)"""
 
+OP6_SQL = r"""
+WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) = 1 THEN w ELSE list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) END) AS s FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM s x JOIN s y ON x.s = y.s AND x.doc_id < y.doc_id GROUP BY ALL),
+e AS (SELECT a, b FROM p JOIN n m ON p.a = m.doc_id JOIN n k ON p.b = k.doc_id WHERE 100 * c >= 80 * (m.n + k.n - c)),
+u AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+r AS (WITH RECURSIVE r AS (SELECT doc_id, doc_id AS root FROM documents UNION SELECT u.b, r.root FROM r JOIN u ON r.doc_id = u.a AND r.root < u.b) SELECT doc_id, min(root) AS root FROM r GROUP BY doc_id)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, root AS component_id, root = doc_id AS kept FROM r LEFT JOIN n USING (doc_id)"""
+
 _ESCAPED = "replace(replace(replace({x}, '\\', '\\\\'), '#', '\\h'), '<', '\\l')"
 OP9_SQL = f"""
 WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -85,8 +110,10 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
 FROM c GROUP BY conv_id"""
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_pack_min_bin_slack": op1_pack_min_bin_slack,
     "op2_shard_rendezvous": op2_shard_rendezvous,
     "op5_mix_poisson": op5_mix_poisson,
+    "op6_minhash_hamming_join": op6_minhash_hamming_join,
     "op7_exact_content_sort": op7_exact_content_sort,
     "op9_chat_prefix_target": op9_chat_prefix_target,
     "op10_quality_line_first": op10_quality_line_first,
@@ -94,6 +121,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLES: dict[str, str] = {
     "op2_shard_rendezvous": OP2_SQL,
     "op5_mix_poisson": OP5_SQL,
+    "op6_minhash_hamming_join": OP6_SQL,
     "op7_exact_content_sort": OP7_SQL,
     "op9_chat_prefix_target": OP9_SQL,
     "op10_quality_line_first": line_rules.report_sql(),
