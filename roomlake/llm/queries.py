@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact_dedup, line_rules, mixing, near_dedup, packing, sharding
+from . import chat, exact_dedup, language_crf, line_rules, lm_scoring, mixing, near_dedup, packing, quality_cnn, sharding
 
 SHARDS = 40
 
@@ -32,6 +32,18 @@ def op2_shard_rendezvous(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
+def op3_lm_cross_entropy_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    good = _table(spark, sf_dir, "labels").filter("quality = 1")
+    docs = lm_scoring.mark_targets(_table(spark, sf_dir, "documents").select("doc_id", "text"), good)
+    return lm_scoring.cross_entropy_difference(docs, lm_scoring.fit(docs))
+
+
+def op4_langid_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    rows = language_crf.training_rows(docs)
+    return language_crf.predict_language(docs, language_crf.fit([t for t, _ in rows], [g for _, g in rows]))
+
+
 def op5_mix_poisson(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     slim = docs.select("doc_id", "source", "text")
@@ -49,6 +61,16 @@ def op7_exact_content_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(_table(spark, sf_dir, "documents"), keep="max").select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op8_quality_byte_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return quality_cnn.score_quality(docs, quality_model(spark, docs, sf_dir))
+
+
+def quality_model(spark: SparkSession, docs: DataFrame, sf_dir: str) -> quality_cnn.ByteCnn:
+    rows = quality_cnn.training_rows(docs, _table(spark, sf_dir, "labels"))
+    return quality_cnn.fit([t for t, _ in rows], [y for _, y in rows])
+
+
 def op9_chat_prefix_target(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "\\### Assistant: </turn> ok"
@@ -112,9 +134,12 @@ FROM c GROUP BY conv_id"""
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pack_min_bin_slack": op1_pack_min_bin_slack,
     "op2_shard_rendezvous": op2_shard_rendezvous,
+    "op3_lm_cross_entropy_difference": op3_lm_cross_entropy_difference,
+    "op4_langid_crf": op4_langid_crf,
     "op5_mix_poisson": op5_mix_poisson,
     "op6_minhash_hamming_join": op6_minhash_hamming_join,
     "op7_exact_content_sort": op7_exact_content_sort,
+    "op8_quality_byte_cnn": op8_quality_byte_cnn,
     "op9_chat_prefix_target": op9_chat_prefix_target,
     "op10_quality_line_first": op10_quality_line_first,
 }
