@@ -94,7 +94,7 @@ def ghost_filter(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _tracks(spark: SparkSession, sf: str, by: str = "frame") -> DataFrame:
-    return carrier(spark, sf, "points").withColumn("inst_id", F.col("obj_id") * 4 + F.col(by) % 4)
+    return carrier(spark, sf, "points").withColumn("inst_id", F.col("obj_id") * 4 + F.expr(by) % 4)
 
 
 def _track_boxes(spark: SparkSession, sf: str, by: str = "frame") -> DataFrame:
@@ -115,8 +115,8 @@ def _ranked_bounds(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def aabb_containment_pairs(spark: SparkSession, sf: str) -> DataFrame:
-    boxes = shared_frame_max_iou(_track_boxes(spark, sf, "pid"))
-    return inst.shared_frame_duplicates(inst.robust_bounds(_tracks(spark, sf, "pid"), ["inst_id"]), boxes, iou=0.2)
+    boxes = shared_frame_max_iou(_track_boxes(spark, sf, "pid div 12"))
+    return inst.shared_frame_duplicates(inst.robust_bounds(_tracks(spark, sf, "pid div 12"), ["inst_id"]), boxes, iou=0.2)
 
 
 def split_track_pairs(spark: SparkSession, sf: str) -> DataFrame:
@@ -306,7 +306,7 @@ SELECT obj_id, round(lx, 6) AS lo_x, round(ly, 6) AS lo_y, round(lz, 6) AS lo_z,
     "label_vote": duck("observations", f"{_VOTE} SELECT * FROM vote"),
     "ghost_filter": duck("observations", f"{_VOTE} SELECT inst_id, frames_seen, score FROM vote WHERE frames_seen >= 2 OR score >= 0.45"),
     "separated_pairs": duck("points", f"{_TRACKS} SELECT a, b FROM sep"),
-    "aabb_containment_pairs": duck("points", f"""{_TRACKS.replace('obj_id * 4 + frame % 4', 'obj_id * 4 + pid % 4')},
+    "aabb_containment_pairs": duck("points", f"""{_TRACKS.replace('obj_id * 4 + frame % 4', 'obj_id * 4 + pid // 12 % 4')},
 mi AS (SELECT a.inst_id AS inst_a, b.inst_id AS inst_b FROM tb a JOIN tb b ON a.frame = b.frame AND a.inst_id < b.inst_id GROUP BY ALL HAVING max({IOU}) >= 0.2)
 SELECT inst_a, inst_b FROM mi JOIN rk p ON p.inst_id = inst_a JOIN rk q ON q.inst_id = inst_b WHERE {_CONT} >= 0.45"""),
     "split_track_pairs": duck("points", f"{_TRACKS}, {_PAIR} SELECT scene, earlier, later, round(containment, 6) AS containment FROM st WHERE std AND containment >= 0.68"),
