@@ -1,2 +1,146 @@
-QUERIES = {}
-ORACLES = {}
+"""Queries on scene documents, audits and jobs."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..operators import audit, instances
+from ..operators import scene_objects as ops
+from ..plans import scene as plan
+from ..sources.carriers import carrier, duck
+from ..streaming import jobs
+
+
+def _r(*names: str, places: int = 6) -> list:
+    return [F.round(n, places).alias(n) for n in names]
+
+
+def layout_merge(spark: SparkSession, sf: str) -> DataFrame:
+    return ops.merge_layout(carrier(spark, sf, "scene_objects"), carrier(spark, sf, "layout_updates"))
+
+
+def layout_validation(spark: SparkSession, sf: str) -> DataFrame:
+    """Updates with a bad label or scale now and then: their scenes stay as they are."""
+    bad = F.when(F.col("ord") % 397 == 1, F.lit("  ")).when(F.col("ord") % 401 == 1, F.lit("a\tb")).otherwise(F.col("label"))
+    updates = carrier(spark, sf, "layout_updates").withColumns({"label": bad, "editor_scale": F.when(F.col("ord") % 409 == 1, 500.0).otherwise(F.col("editor_scale"))})
+    return ops.merge_layout(carrier(spark, sf, "scene_objects"), updates)
+
+
+def _deleted(spark: SparkSession, sf: str) -> DataFrame:
+    return carrier(spark, sf, "scene_objects").filter("obj_id % 3 = 1 or obj_id % 10 = 2").select("scene", "obj_id")
+
+
+def asset_gc(spark: SparkSession, sf: str) -> DataFrame:
+    return ops.asset_garbage(carrier(spark, sf, "scene_objects"), _deleted(spark, sf))
+
+
+def object_delete(spark: SparkSession, sf: str) -> DataFrame:
+    return ops.delete_objects(carrier(spark, sf, "scene_objects"), _deleted(spark, sf)).select("scene", "obj_id", "glb")
+
+
+def object_add(spark: SparkSession, sf: str) -> DataFrame:
+    models = spark.read.parquet(f"{sf}/nation.parquet").select(F.lit(0).cast("long").alias("scene"), (F.col("n_nationkey") + 1_000_000).cast("long").alias("obj_id"), F.when(F.col("n_nationkey") % 5 == 0, F.lit(" ")).otherwise(F.col("n_name")).alias("label"), F.concat(F.lit("objects/custom_"), F.col("n_nationkey")).alias("glb"))
+    return ops.add_objects(carrier(spark, sf, "scene_objects"), models)
+
+
+def object_replace(spark: SparkSession, sf: str) -> DataFrame:
+    objects = carrier(spark, sf, "scene_objects")
+    return ops.replace_models(objects, objects.filter("obj_id % 4 = 0")).select("scene", "obj_id", "glb", "source", "editor_scale")
+
+
+def scene_summary(spark: SparkSession, sf: str) -> DataFrame:
+    return ops.scene_summary(carrier(spark, sf, "scene_objects"))
+
+
+def scene_json(spark: SparkSession, sf: str) -> DataFrame:
+    objects = carrier(spark, sf, "scene_objects")
+    rooms = objects.select("scene").distinct().select("scene", *[F.lit(v).alias(k) for k, v in (("xmin", 0.0), ("xmax", 4.0), ("zmin", 0.0), ("zmax", 3.0), ("height", 2.5))])
+    return ops.scene_documents(objects, rooms)
+
+
+def job_latest_state(spark: SparkSession, sf: str) -> DataFrame:
+    return jobs.latest_job_state(carrier(spark, sf, "job_events"))
+
+
+def job_progress_windows(spark: SparkSession, sf: str) -> DataFrame:
+    return jobs.windowed_progress(carrier(spark, sf, "job_events")).select(F.date_format("start", "yyyy-MM-dd HH:mm").alias("start"), "state", "n")
+
+
+def object_stability(spark: SparkSession, sf: str) -> DataFrame:
+    points = carrier(spark, sf, "points").withColumn("inst_id", F.col("obj_id"))
+    b = instances.robust_bounds(points.withColumn("half", F.col("frame") % 4), ["inst_id", "half"])
+    return audit.stability(b).select("inst_id", *_r("centre", "extent"))
+
+
+def cloud_planarity(spark: SparkSession, sf: str) -> DataFrame:
+    return audit.planarity(carrier(spark, sf, "points").withColumn("z", F.col("z") / 100), ["obj_id"]).select("obj_id", *_r("planarity", "normal_y"))
+
+
+def geometry_audit(spark: SparkSession, sf: str) -> DataFrame:
+    k = F.col("inst_id")
+    e = carrier(spark, sf, "placed").select(
+        "inst_id", "label", F.col("frames_seen").alias("frames"), (k % 4).alias("hits"), (k * 7 % 100 / 100.0).alias("inside"), (k * 11 % 60 / 100.0).alias("overlap"), F.when(k % 5 > 0, k * 13 % 100 / 100.0).alias("reprojection"),
+        (k * 17 % 100 / 100.0).alias("centre"), (k * 19 % 100 / 100.0).alias("extent"), (k * 23 % 100 / 100.0).alias("planarity"), (k * 29 % 100 / 100.0).alias("normal_y"), (k * 31 % 120 / 100.0).alias("floor_gap"), F.lit(2.5).alias("room_height"),
+    )
+    return audit.audit(e, places=6)
+
+
+def reflector_containment(spark: SparkSession, sf: str) -> DataFrame:
+    cells = carrier(spark, sf, "mask_cells").select((F.expr("mask_id div 5")).alias("frame"), F.col("mask_id").alias("det_id"), F.col("ix").alias("u"), F.col("iy").alias("v"))
+    refl = cells.filter("det_id % 5 < 2").select("frame", F.col("det_id").alias("refl_id"), F.when(F.col("det_id") % 5 == 0, "mirror").otherwise("tv").alias("label"), "u", "v")
+    return audit.reflector_containment(cells, refl).select("det_id", F.round("ratio", 6).alias("ratio"), F.concat_ws(",", "labels").alias("labels"))
+
+
+def exclude_mask(spark: SparkSession, sf: str) -> DataFrame:
+    cells = carrier(spark, sf, "mask_cells").select((F.expr("mask_id div 5")).alias("frame"), F.col("mask_id").alias("det_id"), F.col("ix").alias("u"), F.col("iy").alias("v"))
+    ids = cells.select("det_id").distinct()
+    return audit.exclude_mask(ids.filter("det_id % 2 = 0"), cells, ids.filter("det_id % 6 = 0"), (16, 10))
+
+
+def scene_build(spark: SparkSession, sf: str) -> DataFrame:
+    """The whole relational scene build over the observed points."""
+    labels = carrier(spark, sf, "points").select("scene", F.col("obj_id").alias("inst_id")).distinct().withColumn("label", F.expr("CASE inst_id % 3 WHEN 0 THEN 'server rack' WHEN 1 THEN 'monitor' ELSE 'sofa' END"))
+    return plan.build_scene(carrier(spark, sf, "points").withColumn("inst_id", F.col("obj_id")), labels).select("scene", "inst_id", "label", *_r("px", "py", "pz", "yaw", "w", "h", "d", places=4), "metric", "rep")
+
+
+_MERGE = """u AS (SELECT * FROM {upd} QUALIFY row_number() OVER (PARTITION BY obj_id ORDER BY ord DESC) = 1),
+j AS (SELECT o.*, u.obj_id IS NOT NULL AS hit, u.label AS ul, u.px AS ux, u.py AS uy, u.pz AS uz, u.yaw AS uw, coalesce(u.editor_scale, o.editor_scale, 1) AS sc FROM scene_objects o LEFT JOIN u ON u.obj_id = o.obj_id),
+k AS (SELECT *, sc BETWEEN 0.01 AND 100 AND (ul IS NULL OR (len(trim(ul)) BETWEEN 1 AND 100 AND NOT regexp_matches(ul, '[\\x00-\\x1f]'))) AS good FROM j),
+g AS (SELECT *, hit AND NOT bool_or(hit AND NOT good) OVER (PARTITION BY scene) AS go FROM k)
+SELECT scene, obj_id, CASE WHEN go THEN coalesce(trim(ul), label) ELSE label END AS label, CASE WHEN go THEN round(ux, 4) ELSE px END AS px, CASE WHEN go THEN round(uy, 4) ELSE py END AS py, CASE WHEN go THEN round(uz, 4) ELSE pz END AS pz, CASE WHEN go THEN round(uw, 5) ELSE yaw END AS yaw,
+  CASE WHEN go THEN round(sc, 5) ELSE editor_scale END AS editor_scale, glb, go AS updated FROM g"""
+_GONE = "dl AS (SELECT * FROM scene_objects WHERE obj_id % 3 = 1 OR obj_id % 10 = 2), st AS (SELECT * FROM scene_objects ANTI JOIN dl USING (scene, obj_id))"
+
+QUERIES = {f.__name__: f for f in (
+    layout_merge, layout_validation, asset_gc, object_delete, object_add, object_replace, scene_summary, scene_json, job_latest_state, job_progress_windows, object_stability, cloud_planarity, geometry_audit,
+    reflector_containment, exclude_mask, scene_build,
+)}
+ORACLES = {
+    "layout_merge": duck("scene_objects layout_updates", _MERGE.format(upd="layout_updates")),
+    "layout_validation": duck("scene_objects layout_updates", """b AS (SELECT * REPLACE (CASE WHEN ord % 397 = 1 THEN '  ' WHEN ord % 401 = 1 THEN 'a' || chr(9) || 'b' ELSE label END AS label, CASE WHEN ord % 409 = 1 THEN 500.0::DOUBLE ELSE editor_scale END AS editor_scale) FROM layout_updates), """ + _MERGE.format(upd="b")),
+    "asset_gc": duck("scene_objects", f"{_GONE}, c AS (SELECT DISTINCT scene, unnest([glb, 'objects/' || obj_id || '.glb', 'objects/' || obj_id || '_custom.glb', 'objects/' || obj_id || '_trellis.glb']) AS path FROM dl) SELECT scene, path FROM c WHERE (scene, path) NOT IN (SELECT (scene, glb) FROM st)"),
+    "object_delete": duck("scene_objects", f"{_GONE} SELECT scene, obj_id, glb FROM st"),
+    "object_add": duck("scene_objects", """SELECT scene, obj_id, label, px, py, pz, yaw, editor_scale, glb FROM scene_objects
+UNION ALL SELECT 0, n_nationkey + 1000000, trim(n_name), 0, 0, 0, 0, 1, 'objects/custom_' || n_nationkey FROM nation WHERE n_nationkey % 5 <> 0"""),
+    "object_replace": duck("scene_objects", "SELECT scene, obj_id, CASE WHEN obj_id % 4 = 0 THEN 'objects/' || obj_id || '_custom.glb' ELSE glb END AS glb, CASE WHEN obj_id % 4 = 0 THEN 'custom-upload' END AS source, CASE WHEN obj_id % 4 = 0 THEN 1 ELSE editor_scale END AS editor_scale FROM scene_objects"),
+    "scene_summary": duck("scene_objects", "SELECT scene, count(*) AS n_objects, count(glb) - count(DISTINCT glb) AS n_reused, count(DISTINCT label) AS n_labels FROM scene_objects GROUP BY scene"),
+    "job_latest_state": duck("job_events", """SELECT job_id, arg_max(state, (ts, event_id)) FILTER (WHERE state <> 'cancel') AS state, arg_max(frac, (ts, event_id)) FILTER (WHERE state <> 'cancel') AS frac, bool_or(state = 'cancel') AS cancelled, count(*) AS n_events FROM job_events GROUP BY job_id"""),
+    "job_progress_windows": duck("job_events", "SELECT strftime(time_bucket(INTERVAL 1 HOUR, ts), '%Y-%m-%d %H:%M') AS start, state, count(*) AS n FROM job_events GROUP BY ALL"),
+    "object_stability": duck("points", """b AS (SELECT obj_id, frame % 4 AS k, """ + ", ".join(f"quantile_cont({c}, 0.05) AS l{c}, quantile_cont({c}, 0.95) AS h{c}" for c in "xyz") + """ FROM points GROUP BY obj_id, frame % 4 HAVING count(*) >= 10),
+e AS (SELECT obj_id, """ + ", ".join(f"greatest(h{c} - l{c}, 1e-6) AS e{c}, (l{c} + h{c}) / 2 AS c{c}" for c in "xyz") + """ FROM b),
+r AS (SELECT obj_id, """ + ", ".join(f"median(e{c}) AS re{c}, median(c{c}) AS rc{c}" for c in "xyz") + """ FROM e GROUP BY obj_id),
+d AS (SELECT e.obj_id, sqrt((cx - rcx) ** 2 + (cy - rcy) ** 2 + (cz - rcz) ** 2) AS drift, greatest(sqrt(rex ** 2 + rey ** 2 + rez ** 2), 1e-6) AS dd, [abs(ex - rex) / greatest(rex, 1e-6), abs(ey - rey) / greatest(rey, 1e-6), abs(ez - rez) / greatest(rez, 1e-6)] AS g FROM e JOIN r USING (obj_id)),
+x AS (SELECT obj_id, exp(-median(g) / 0.35) AS extent FROM (SELECT obj_id, unnest(g) AS g FROM d) GROUP BY obj_id)
+SELECT d.obj_id AS inst_id, round(exp(-median(drift) / (0.20::DOUBLE * any_value(dd))), 6) AS centre, round(any_value(extent), 6) AS extent FROM d JOIN x ON x.obj_id = d.obj_id GROUP BY d.obj_id"""),
+    "geometry_audit": duck("placed", """e AS (SELECT inst_id AS k, label, frames_seen AS f, inst_id % 4 AS hits, inst_id * 7 % 100 / 100.0::DOUBLE AS ins, inst_id * 11 % 60 / 100.0::DOUBLE AS ov, CASE WHEN inst_id % 5 > 0 THEN inst_id * 13 % 100 / 100.0::DOUBLE END AS rp, inst_id * 17 % 100 / 100.0::DOUBLE AS ce, inst_id * 19 % 100 / 100.0::DOUBLE AS ex,
+  inst_id * 23 % 100 / 100.0::DOUBLE AS pl, inst_id * 29 % 100 / 100.0::DOUBLE AS ny, inst_id * 31 % 120 / 100.0::DOUBLE AS gap FROM placed),
+g AS (SELECT *, least(greatest(CASE WHEN rp IS NOT NULL THEN 0.30::DOUBLE * ov + 0.30::DOUBLE * rp + 0.20::DOUBLE * ce + 0.20::DOUBLE * ex ELSE 0.50::DOUBLE * ov + 0.25::DOUBLE * ce + 0.25::DOUBLE * ex END, 0), 1) AS geometry,
+  (label <> 'monitor' AND pl >= 0.75 AND ny <= 0.45) OR (f >= 2 AND ov < 0.15 AND (coalesce(rp < 0.25, false) OR ce < 0.5)) AS conflict FROM e),
+h AS (SELECT *, CASE WHEN ins > 0 THEN least(greatest(0.55::DOUBLE * ins + 0.25::DOUBLE * CAST(conflict AS INT) + 0.20::DOUBLE * (1 - ov), 0), 1) ELSE 0 END AS refl, CASE WHEN label IN ('server rack', 'table', 'chair') THEN greatest(gap, 0) / 2.5 ELSE 0 END AS gr FROM g)
+SELECT k AS inst_id, round(geometry, 6) AS geometry, round(refl, 6) AS reflection, conflict, CASE WHEN f >= 2 AND hits >= 2 AND ins >= 0.70 AND conflict AND refl >= 0.65 THEN 'rejected_reflection' WHEN f <= 3 AND gr >= 0.30 THEN 'rejected_unsupported' WHEN ins >= 0.50 OR f < 2 THEN 'uncertain' ELSE 'accepted' END AS status FROM h"""),
+    "reflector_containment": duck("mask_cells", """n AS (SELECT mask_id, count(*) AS n FROM mask_cells GROUP BY mask_id),
+h AS (SELECT a.mask_id, b.mask_id AS r, CASE WHEN b.mask_id % 5 = 0 THEN 'mirror' ELSE 'tv' END AS label, count(*) AS k FROM mask_cells a JOIN mask_cells b ON a.mask_id // 5 = b.mask_id // 5 AND a.ix = b.ix AND a.iy = b.iy AND a.mask_id <> b.mask_id WHERE b.mask_id % 5 < 2 GROUP BY a.mask_id, b.mask_id)
+SELECT n.mask_id AS det_id, round(max(coalesce(k, 0) / greatest(n, 1)), 6) AS ratio, coalesce(string_agg(DISTINCT label, ',' ORDER BY label) FILTER (WHERE k / n >= 0.5), '') AS labels FROM n LEFT JOIN h ON h.mask_id = n.mask_id GROUP BY n.mask_id"""),
+    "exclude_mask": duck("mask_cells", "SELECT DISTINCT mask_id // 5 AS frame, ix + a AS u, iy + b AS v FROM mask_cells, range(-1, 2) p(a), range(-1, 2) q(b) WHERE mask_id % 2 = 0 AND mask_id % 6 <> 0 AND ix + a BETWEEN 0 AND 15 AND iy + b BETWEEN 0 AND 9"),
+}
