@@ -10,6 +10,7 @@ from ..operators import scene_objects as ops
 from ..plans import scene as plan
 from ..sources.carriers import carrier, duck
 from ..streaming import jobs
+from .points import fit_sql
 
 
 def _r(*names: str, places: int = 6) -> list:
@@ -116,7 +117,25 @@ QUERIES = {f.__name__: f for f in (
     layout_merge, layout_validation, asset_gc, object_delete, object_add, object_replace, scene_summary, scene_json, job_latest_state, job_progress_windows, object_stability, cloud_planarity, geometry_audit,
     reflector_containment, exclude_mask, scene_build,
 )}
+_BUILD = f"""lv AS (SELECT scene, quantile_cont(y, 0.03) AS fl, median(x) AS mx, median(z) AS mz FROM points GROUP BY scene),
+pt AS (SELECT p.scene, obj_id AS inst_id, frame, x, y - fl AS y, z FROM points p JOIN lv ON p.scene = lv.scene),
+cv AS (SELECT inst_id, var_samp(x) AS a, covar_samp(x, z) AS b, var_samp(z) AS c FROM pt GROUP BY inst_id),
+yw AS (SELECT inst_id, CASE WHEN th >= pi() / 2 THEN th - pi() ELSE th END AS yaw, sqrt((m + r) / greatest(m - r, 1e-9)) AS ratio FROM (SELECT inst_id, atan2(2 * b, a - c) / 2 AS th, (a + c) / 2 AS m, sqrt(((a - c) / 2) ** 2 + b * b) AS r FROM cv)),
+sn AS (SELECT inst_id, CASE WHEN abs(q - round_even(q / (pi() / 2), 0) * (pi() / 2)) <= radians(15) THEN round_even(q / (pi() / 2), 0) * (pi() / 2) ELSE q END AS yaw FROM (SELECT inst_id, CASE WHEN ratio >= 1.2 THEN yaw ELSE 0 END AS q FROM yw)),
+tu AS (SELECT pt.scene, pt.inst_id, yaw, cos(-yaw) AS c, sin(-yaw) AS s, cos(-yaw) * x - sin(-yaw) * z AS xr, sin(-yaw) * x + cos(-yaw) * z AS zr, y, frame FROM pt JOIN sn ON pt.inst_id = sn.inst_id),
+q AS (SELECT scene, inst_id, yaw, any_value(c) AS c, any_value(s) AS s, quantile_cont(xr, 0.02) AS xl, quantile_cont(xr, 0.98) AS xh, quantile_cont(zr, 0.02) AS zl, quantile_cont(zr, 0.98) AS zh, quantile_cont(y, 0.02) AS yl, quantile_cont(y, 0.98) AS yh,
+  count(*) AS n_points, count(DISTINCT frame) AS frames_seen, CASE inst_id % 3 WHEN 0 THEN 'server rack' WHEN 1 THEN 'monitor' ELSE 'sofa' END AS label FROM tu GROUP BY scene, inst_id, yaw),
+b AS (SELECT *, CASE WHEN yl < 0.12 * CASE label WHEN 'server rack' THEN 3.5 ELSE 1 END THEN 0 ELSE yl END AS base FROM q),
+bx AS (SELECT *, greatest(xh - xl, 0.02) AS w0, greatest(yh - base, 0.02) AS h0, greatest(zh - zl, 0.02) AS d0 FROM b),
+sc AS (SELECT scene, coalesce(2 / median(CASE WHEN label = 'server rack' AND h0 > 1e-3 THEN h0 END), 1) AS k, count(*) FILTER (WHERE label = 'server rack') > 0 AS metric FROM bx GROUP BY scene),
+mv AS (SELECT bx.scene, inst_id, label, (c * (xl + xh) / 2 + s * (zl + zh) / 2 - mx) * k AS px, base * k AS py, (-s * (xl + xh) / 2 + c * (zl + zh) / 2 - mz) * k AS pz, yaw, w0 * k AS w, h0 * k AS h, d0 * k AS d, metric, frames_seen, n_points FROM bx JOIN sc ON bx.scene = sc.scene JOIN lv ON lv.scene = bx.scene),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY scene, label ORDER BY w * h * d DESC, inst_id) - 1 AS rank FROM mv),
+ac AS (SELECT p.scene, p.label, p.inst_id AS earlier, q.inst_id AS later FROM ranked p JOIN ranked q ON p.scene = q.scene AND p.label = q.label AND p.rank < q.rank AND abs(q.w - p.w) / p.w <= 0.10 AND abs(q.h - p.h) / p.h <= 0.10 AND abs(q.d - p.d) / p.d <= 0.10),
+{fit_sql('ranked', 'ac', 'scene, label', 'inst_id', True)},
+rp AS (SELECT g.inst_id, first_value(g.inst_id) OVER (PARTITION BY g.scene, g.label, g.seed ORDER BY frames_seen DESC, n_points DESC, g.inst_id) AS rep FROM placed_ g JOIN mv ON mv.inst_id = g.inst_id)
+SELECT scene, mv.inst_id, label, round(px, 4) AS px, round(py, 4) AS py, round(pz, 4) AS pz, round(yaw, 4) AS yaw, round(w, 4) AS w, round(h, 4) AS h, round(d, 4) AS d, metric, rep FROM mv JOIN rp ON rp.inst_id = mv.inst_id"""
 ORACLES = {
+    "scene_build": duck("points", _BUILD),
     "layout_merge": duck("scene_objects layout_updates", _MERGE.format(upd="layout_updates")),
     "layout_validation": duck("scene_objects layout_updates", """b AS (SELECT * REPLACE (CASE WHEN ord % 397 = 1 THEN '  ' WHEN ord % 401 = 1 THEN 'a' || chr(9) || 'b' ELSE label END AS label, CASE WHEN ord % 409 = 1 THEN 500.0::DOUBLE ELSE editor_scale END AS editor_scale) FROM layout_updates), """ + _MERGE.format(upd="b")),
     "asset_gc": duck("scene_objects", f"{_GONE}, c AS (SELECT DISTINCT scene, unnest([glb, 'objects/' || obj_id || '.glb', 'objects/' || obj_id || '_custom.glb', 'objects/' || obj_id || '_trellis.glb']) AS path FROM dl) SELECT scene, path FROM c WHERE (scene, path) NOT IN (SELECT (scene, glb) FROM st)"),
