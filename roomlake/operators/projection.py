@@ -5,7 +5,7 @@ Cameras join on the frame key, so Spark picks broadcast or sort-merge by their s
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -159,3 +159,39 @@ def zero_crossings(volume: DataFrame) -> DataFrame:
         part = volume.withColumn("nxt", nxt).filter((a < 0) != (F.col("nxt") < 0)).select("scene", "ix", "iy", "iz", F.lit(axis).alias("axis"), (a / (a - F.col("nxt"))).alias("t"))
         out = part if out is None else out.unionAll(part)
     return out
+
+
+def smooth_depth(pixels: DataFrame, radius: int = 4, color: float = 0.03, space: float = 9.0) -> DataFrame:
+    """(frame, u, v, depth): edge-keeping smoothing of each frame's depth over a disc of neighbours.
+
+    Depth differences are relative to the frame's range. Neighbours outside the image don't count. A pixel is copied to the
+    cells around it and meets them by equi-join, so frames spread over tasks.
+    """
+    disc = [(a, b) for a in range(-radius, radius + 1) for b in range(-radius, radius + 1) if a * a + b * b <= radius * radius]
+    steps = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit((a * a + b * b) / (2 * space * space)).alias("far")) for a, b in disc])
+    span = pixels.groupBy("frame").agg(F.greatest(F.max("depth") - F.min("depth"), F.lit(1e-9)).alias("span"))
+    near = pixels.select("frame", "u", "v", F.col("depth").alias("other")).withColumn("m", F.explode(steps))
+    near = near.select("frame", (F.col("u") + F.col("m.a")).alias("u"), (F.col("v") + F.col("m.b")).alias("v"), "other", "m.far")
+    rows = pixels.select("frame", "u", "v", "depth").join(near, ["frame", "u", "v"]).join(span, "frame")
+    gap = (F.col("other") - F.col("depth")) / F.col("span") / color
+    weight = F.exp(-F.col("far") - gap * gap / 2)
+    return rows.withColumn("w", weight).groupBy("frame", "u", "v").agg((F.sum(F.col("w") * F.col("other")) / F.sum("w")).alias("depth"))
+
+
+def point_cloud(lifted: DataFrame, group: list[str], percent: float, drop_black: bool = False, drop_white: bool = False) -> DataFrame:
+    """Lifted pixels (wx, wy, wz, r, g, b, conf) to show: confidence at least the group's percentile, without near-black or near-white background."""
+    bars = lifted.groupBy(*group).agg(F.percentile("conf", percent / 100.0).alias("bar"))
+    rows = lifted.join(bars, group).filter((F.col("conf") >= F.col("bar")) & (F.col("conf") > 1e-5))
+    if drop_black:
+        rows = rows.filter(F.col("r") + F.col("g") + F.col("b") >= 16)
+    if drop_white:
+        rows = rows.filter(~((F.col("r") > 240) & (F.col("g") > 240) & (F.col("b") > 240)))
+    return rows.drop("bar")
+
+
+def padded_crops(boxes: DataFrame, width: int, height: int, pad: float = 0.12) -> DataFrame:
+    """Boxes x1 .. y2 widened by a share of their size and cut to the image, as whole pixels; boxes that leave nothing give no row."""
+    w, h = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
+    clip = lambda x, top: F.least(F.greatest(F.floor(x), F.lit(0)), F.lit(top)).cast("long")
+    out = boxes.withColumns({"cx1": clip(F.col("x1") - pad * w, width), "cy1": clip(F.col("y1") - pad * h, height), "cx2": clip(F.col("x2") + pad * w + 1, width), "cy2": clip(F.col("y2") + pad * h + 1, height)})
+    return out.filter("cx2 > cx1 and cy2 > cy1")

@@ -50,3 +50,9 @@ def quantile_frames(frames: DataFrame) -> DataFrame:
     n = F.col("_n")
     spots = F.array(*[F.rint((n - 1) * f).cast("long") for f in (0.0, 0.25, 0.5, 0.75, 1.0)])
     return _ordered(frames, ["video"], ["frame_idx"]).filter(F.array_contains(spots, F.col("_i"))).drop("_i", "_n")
+
+
+def hash_sample(df: DataFrame, group: list[str], key: str, k: int, seed: int = 0) -> DataFrame:
+    """At most k rows a group, the first in the order of a seeded hash of the key: the same rows on every run."""
+    w = Window.partitionBy(*group).orderBy(F.md5(F.concat_ws(":", F.lit(seed), F.col(key))), key)
+    return df.withColumn("_i", F.row_number().over(w)).filter(F.col("_i") <= k).drop("_i")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import instances as inst
 from ..operators import projection as proj
 from ..operators.detections import shared_frame_max_iou
+from ..operators.sampling import hash_sample as hashed
 from ..sources.carriers import carrier, duck
 from .detections import IOU
 
@@ -197,6 +198,24 @@ def mesh_quality(spark: SparkSession, sf: str) -> DataFrame:
     return inst.scan_mesh_quality(rows)
 
 
+def smooth_depth(spark: SparkSession, sf: str) -> DataFrame:
+    return proj.smooth_depth(carrier(spark, sf, "pixels"), color=0.3).select("frame", "u", "v", *_r("depth"))
+
+
+def point_cloud_export(spark: SparkSession, sf: str) -> DataFrame:
+    lifted = proj.unproject_pixels(carrier(spark, sf, "pixels"), carrier(spark, sf, "cameras"))
+    shown = proj.point_cloud(lifted.withColumn("scene", F.expr("frame div 4")), ["scene"], 30, drop_black=True, drop_white=True)
+    return shown.select("frame", "u", "v", *_r("wx", "wy", "wz"))
+
+
+def padded_crops(spark: SparkSession, sf: str) -> DataFrame:
+    return proj.padded_crops(carrier(spark, sf, "detections"), *IMAGE).select("det_id", "cx1", "cy1", "cx2", "cy2")
+
+
+def hash_sample(spark: SparkSession, sf: str) -> DataFrame:
+    return hashed(carrier(spark, sf, "points"), ["obj_id"], "pid", 40, seed=3).select("obj_id", "pid")
+
+
 _TO_WORLD = "round(r00 * ({x} - t0) + r10 * ({y} - t1) + r20 * ({z} - t2), 6) AS wx, round(r01 * ({x} - t0) + r11 * ({y} - t1) + r21 * ({z} - t2), 6) AS wy, round(r02 * ({x} - t0) + r12 * ({y} - t1) + r22 * ({z} - t2), 6) AS wz"
 _TO_WORLD_RAW = _TO_WORLD.replace("round(", "(").replace(", 6)", ")")
 _LIFT = {"x": "(u - cx) / fx * depth", "y": "(v - cy) / fy * depth", "z": "depth"}
@@ -272,6 +291,7 @@ QUERIES = {f.__name__: f for f in (
     unproject_points, project_points, visible_points, best_view_color, conf_gate, masked_gate, open_gate, depth_edges, detections_to_3d, cluster_3d_light,
     observation_bounds, label_vote, ghost_filter, separated_pairs, aabb_containment_pairs, split_track_pairs, nn_overlap_support, complete_link_groups, relaxed_track_pairs,
     cluster_observations, reprojection_agreement, tsdf_integrate, tsdf_zero_cross, support_image, mesh_quality,
+    smooth_depth, point_cloud_export, padded_crops, hash_sample,
 )}
 _VOTE = """v AS (SELECT inst_id, label, count(DISTINCT frame) AS fr, round(sum(score), 9) AS tot, max(score) AS top, sum(n_raw) AS pts, min(ord) AS first FROM observations GROUP BY ALL),
 w AS (SELECT * FROM v QUALIFY row_number() OVER (PARTITION BY inst_id ORDER BY fr DESC, tot DESC, top DESC, pts DESC, first) = 1),
@@ -321,6 +341,15 @@ pr AS (SELECT inst_id, obs_id, target, frame, fx * a / CASE WHEN abs(c) <= 1e-9
 h AS (SELECT *, CAST(round_even(pu, 0) AS BIGINT) AS u, CAST(round_even(pv, 0) AS BIGINT) AS v FROM pr WHERE pz > 1e-6 AND pu BETWEEN 0 AND 24 AND pv BETWEEN 0 AND 19),
 s AS (SELECT inst_id, obs_id, target, count(*) AS n, avg(CAST(h.frame * 5 + h.u // 5 = target AND depth > 1e-6 AND abs(pz - depth) <= 0.12 * depth + 0.08 AS INT)) AS share FROM h JOIN pixels p ON p.frame = h.frame AND p.u = h.u AND p.v = h.v GROUP BY ALL HAVING count(*) >= 3)
 SELECT inst_id, round(median(share), 6) AS agreement FROM s GROUP BY inst_id"""),
+    "smooth_depth": duck("pixels", """sp AS (SELECT frame, greatest(max(depth) - min(depth), 1e-9) AS span FROM pixels GROUP BY frame),
+ds AS (SELECT di, dj FROM range(-4, 5) p(di), range(-4, 5) q(dj) WHERE di * di + dj * dj <= 16),
+w AS (SELECT p.frame, p.u, p.v, o.depth AS other, exp(-(di * di + dj * dj) / 162.0::DOUBLE - ((o.depth - p.depth) / span / 0.3::DOUBLE) ** 2 / 2) AS w FROM pixels p JOIN sp ON sp.frame = p.frame, ds JOIN pixels o ON o.frame = p.frame AND o.u = p.u - di AND o.v = p.v - dj)
+SELECT frame, u, v, round(sum(w * other) / sum(w), 6) AS depth FROM w GROUP BY frame, u, v"""),
+    "point_cloud_export": duck("pixels cameras", f"""bs AS (SELECT frame // 4 AS scene, quantile_cont(conf, 0.3) AS bar FROM pixels GROUP BY ALL)
+SELECT p.frame, u, v, {_TO_WORLD.format(**_LIFT)} FROM pixels p JOIN cameras c ON p.frame = c.frame JOIN bs ON bs.scene = p.frame // 4 WHERE conf >= bar AND conf > 1e-5 AND r + g + b >= 16 AND NOT (r > 240 AND g > 240 AND b > 240)"""),
+    "padded_crops": duck("detections", """c AS (SELECT det_id, CAST(least(greatest(floor(x1 - 0.12::DOUBLE * (x2 - x1)), 0), 480) AS BIGINT) AS cx1, CAST(least(greatest(floor(y1 - 0.12::DOUBLE * (y2 - y1)), 0), 360) AS BIGINT) AS cy1,
+  CAST(least(greatest(floor(x2 + 0.12::DOUBLE * (x2 - x1) + 1), 0), 480) AS BIGINT) AS cx2, CAST(least(greatest(floor(y2 + 0.12::DOUBLE * (y2 - y1) + 1), 0), 360) AS BIGINT) AS cy2 FROM detections) SELECT * FROM c WHERE cx2 > cx1 AND cy2 > cy1"""),
+    "hash_sample": duck("points", "SELECT obj_id, pid FROM points QUALIFY row_number() OVER (PARTITION BY obj_id ORDER BY md5('3:' || pid), pid) <= 40"),
     "tsdf_integrate": duck("pixels cameras", f"{_TSDF} SELECT scene, ix, iy, iz, round(w, 6) AS w, round(tsdf, 6) AS tsdf, round(r, 6) AS r, round(g, 6) AS g, round(b, 6) AS b FROM vol"),
     "tsdf_zero_cross": duck("pixels cameras", f"{_TSDF}, " + "z AS (" + " UNION ALL ".join(f"SELECT scene, ix, iy, iz, '{a}' AS axis, tsdf AS p, lead(tsdf) OVER (PARTITION BY scene, {b}, {c} ORDER BY {a}) AS q FROM vol" for a, b, c in (("ix", "iy", "iz"), ("iy", "ix", "iz"), ("iz", "ix", "iy"))) + ") SELECT scene, ix, iy, iz, axis, round(p / (p - q), 6) AS t FROM z WHERE (p < 0) <> (q < 0)"),
     "support_image": duck("observations", """m AS (SELECT inst_id, obs_id, ord, label = 'monitor' AS lm, (obs_id * 7 % 101) / 100.0::DOUBLE AS support, (obs_id * 13 % 101) / 100.0::DOUBLE AS centre, score, obs_id % 900 AS sharp, obs_id % 2 AS mask,
