@@ -11,15 +11,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from .common import checkpointed, numbered
 
 #: Signature: SLOTS values of 16 bits, compared slot by slot. Two sets of similarity s differ in a slot with
-#: probability 1 - s, so at 0.8 a distance over RADIUS of 32 has probability 0.002, at 0.85 about 1e-4.
-SLOTS, RADIUS = 32, 13
+#: probability 1 - s, so at 0.8 a distance over RADIUS has probability 0.0006, at 0.85 below 1e-6.
+SLOTS, RADIUS = 64, 23
+#: A bucket with more members than this, in several components, is compared in blocks of BLOCK documents.
+HOT_BUCKET, BLOCK = 64, 64
 #: At most this many ids (16 MB) are broadcast to the scan of the texts.
 MAX_BROADCAST_IDS = 2_000_000
 #: Rounds in which each bucket compares its members with one leader before the exact round.
-STAR_ROUNDS = 2
+STAR_ROUNDS = 1
 _UPPER = bytes(range(65, 91))
 _LOWER = bytes.maketrans(_UPPER, _UPPER.lower())
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -81,7 +83,7 @@ def bucket_keys(sig: np.ndarray) -> np.ndarray:
     s = sig.astype(np.uint64)
     for c, (slots, _) in enumerate(chunks()):
         for gone in slots:
-            key = np.uint64(c * 64 + gone + 1) * _MIX
+            key = np.uint64((c * 64 + gone + 1) * int(_MIX) % (1 << 64))
             for k in slots:
                 if k != gone:
                     key = (key ^ s[..., k]) * _MIX
@@ -173,9 +175,10 @@ def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", words:
 
     Equal sets are one class, represented by its smallest key. Signatures are cut into chunks by pigeonhole and each chunk
     is indexed with each allowed error, so every pair within RADIUS shares a bucket. A bucket's members are first
-    compared with one leader (a few rounds, another leader each time), which joins large groups without all their
-    pairs; then every pair of a bucket between different components is compared. So no link between components
-    that the signatures see is lost, and pairs within a component are never enumerated. Every pair within the radius is confirmed on full sets.
+    compared with one leader (STAR_ROUNDS times, another leader each time), which joins large groups without all their
+    pairs; then all pairs of a bucket between different components are compared, in crowded buckets by blocks of
+    texts (_hot_links). So no link between components that the signatures see is lost, and pairs within a
+    component are never enumerated. Every link is confirmed on full sets.
 
     Null and empty texts have no shingles and stand alone; integer keys; a null key is a component of its own (null);
     repeated keys link if any of their texts do; an empty table gives no rows; other columns are not read.
@@ -193,9 +196,9 @@ def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", words:
         return pd.Series(list(bucket_keys(np.frombuffer(b"".join(sigs), np.uint16).reshape(len(sigs), SLOTS))))
 
     # what is joined to by bucket is written first, so that Spark can split a hot bucket of either side
-    entries = reps.select("rep", F.explode(keys("sig")).alias("bucket")).distinct()
+    entries = reps.select("rep", "n", F.explode(keys("sig")).alias("bucket"))
     crowded = checkpointed(entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("bucket"))
-    index = checkpointed(entries.join(crowded, "bucket").select("bucket", "rep"))
+    index = checkpointed(entries.join(crowded, "bucket").select("bucket", "rep", "n"))
     texts = checkpointed(_wanted_texts(slim, index.select(F.col("rep").alias("id")).distinct(), told))
     sigs = reps.select("rep", "n", "sig")
 
@@ -210,21 +213,23 @@ def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", words:
 
     links = spark.createDataFrame([], "a long, b long")
     placed = index.withColumn("root", F.col("rep"))
+    alike = lambda x, y: 100 * F.least(x, y) >= percent * F.greatest(x, y)  # noqa: E731  no link between sizes further apart
     for turn in range(STAR_ROUNDS):
         rank = F.xxhash64("rep", F.lit(turn))
         leaders = checkpointed(
-            placed.groupBy("bucket").agg(F.min_by(F.struct("rep", "root"), rank).alias("lead"), F.min("root").alias("r0"), F.max("root").alias("r1"))
-            .filter("r0 <> r1").select("bucket", F.col("lead.rep").alias("lead"), F.col("lead.root").alias("lead_root"))
+            placed.groupBy("bucket").agg(F.min_by(F.struct("rep", "root", "n"), rank).alias("lead"), F.min("root").alias("r0"), F.max("root").alias("r1"))
+            .filter("r0 <> r1").select("bucket", F.col("lead.rep").alias("lead"), F.col("lead.root").alias("lead_root"), F.col("lead.n").alias("lead_n"))
         )
-        pairs = placed.join(leaders, "bucket").filter("root <> lead_root")
+        pairs = placed.join(leaders, "bucket").filter((F.col("root") != F.col("lead_root")) & alike(F.col("n"), F.col("lead_n")))
         links = links.unionAll(confirm(pairs.select(F.least("rep", "lead").alias("a"), F.greatest("rep", "lead").alias("b")).distinct()))
-        roots = components(links)
-        placed = checkpointed(index.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("bucket", "rep", F.coalesce("root", "rep").alias("root")))
-    mixed = checkpointed(placed.groupBy("bucket").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 <> r1").select("bucket"))
+        placed = _with_roots(index, links)
+    mixed = checkpointed(placed.groupBy("bucket").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count(F.lit(1)).alias("size")).filter("r0 <> r1").select("bucket", "size"))
     open_ = checkpointed(placed.join(mixed, "bucket"))
-    other = open_.select("bucket", F.col("rep").alias("b"), F.col("root").alias("root_b"))
-    across = open_.select("bucket", F.col("rep").alias("a"), "root").join(other, "bucket").filter("root < root_b")
+    few = open_.filter(F.col("size") <= HOT_BUCKET).drop("size")
+    other = few.select("bucket", F.col("rep").alias("b"), F.col("root").alias("root_b"), F.col("n").alias("n_b"))
+    across = few.select("bucket", F.col("rep").alias("a"), "root", "n").join(other, "bucket").filter((F.col("root") < F.col("root_b")) & alike(F.col("n"), F.col("n_b")))
     links = links.unionAll(confirm(across.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()))
+    links = links.unionAll(_hot_links(open_.filter(F.col("size") > HOT_BUCKET), texts, words, percent))
     roots = components(links)
 
     classes = reps.select("digest", "rep").join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("root", "rep").alias("component_id"))
@@ -234,6 +239,79 @@ def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", words:
     )
 
 
+def _with_roots(index: DataFrame, links: DataFrame) -> DataFrame:
+    """Index rows with the component that the links so far put them in."""
+    roots = components(links).withColumnRenamed("node", "rep")
+    return checkpointed(index.join(roots, "rep", "left").select("bucket", "rep", "n", F.coalesce("root", "rep").alias("root")))
+
+
+def _hot_links(hot: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """Links (a, b) between components among the members of crowded mixed buckets, on full sets.
+
+    Buckets with the same largest component form a cluster, so both members of a pair are in one. Its members, in order of
+    component, are cut into blocks of BLOCK texts, and a task compares two blocks at a time: all their pairs by one product of 0/1 matrices. Only confirmed links
+    leave the task, one a pair of components; two blocks of one component are not compared. So a
+    cluster of any size is many small tasks, and no pair becomes a row.
+    """
+    spark = hot.sparkSession
+    hot = checkpointed(hot)
+    if hot.isEmpty():
+        return spark.createDataFrame([], "a long, b long")
+    shares = hot.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("k"))
+    cluster = checkpointed(shares.groupBy("bucket").agg(F.max(F.struct("k", "root")).alias("m")).select("bucket", F.col("m.root").alias("cluster")))
+    members = checkpointed(hot.join(cluster, "bucket").select("cluster", "rep", "root", "n").distinct())
+    placed = checkpointed(numbered(members, ["cluster"], ["root", "n", "rep"], "at").withColumn("block", F.expr(f"at div {BLOCK}")))
+    blocks = checkpointed(placed.groupBy("cluster", "block").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.min("n").alias("n0"), F.max("n").alias("n1")))
+    x, y = blocks.alias("x"), blocks.alias("y")
+    one = (F.col("x.r0") == F.col("x.r1")) & (F.col("y.r0") == F.col("y.r1")) & (F.col("x.r0") == F.col("y.r0"))
+    reach = (100 * F.col("x.n1") >= percent * F.col("y.n0")) & (100 * F.col("y.n1") >= percent * F.col("x.n0"))
+    tasks = x.join(y, (F.col("x.cluster") == F.col("y.cluster")) & (F.col("x.block") <= F.col("y.block")) & ~one & reach)
+    tasks = checkpointed(tasks.select("x.cluster", F.col("x.block").alias("p"), F.col("y.block").alias("q")))
+    loads = checkpointed(placed.join(texts.withColumnRenamed("id", "rep"), "rep").groupBy("cluster", "block").agg(F.collect_list(F.struct("rep", "root", "text")).alias("docs")))
+    both = tasks.join(loads.select("cluster", F.col("block").alias("p"), F.col("docs").alias("mine")), ["cluster", "p"]).join(loads.select("cluster", F.col("block").alias("q"), F.col("docs").alias("theirs")), ["cluster", "q"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingles = Shingler(words)
+        for batch in batches:
+            for k in range(batch.num_rows):
+                sides = []
+                for name in ("mine", "theirs"):
+                    docs = batch.column(name)[k].as_py()
+                    sides.append(([shingles(d["text"]) for d in docs], np.array([d["rep"] for d in docs]), np.array([d["root"] for d in docs])))
+                (xs, xi, xr), (ys, yi, yr) = sides
+                nx, ny = np.array([len(v) for v in xs]), np.array([len(v) for v in ys])
+                common = _common(xs, ys)
+                i, j = np.nonzero((100 * common >= percent * (nx[:, None] + ny - common)) & (xr[:, None] != yr))
+                if len(i):
+                    _, keep = np.unique(np.stack([xr[i], yr[j]]), axis=1, return_index=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(xi[i[keep]]), pa.array(yi[j[keep]])], names=["a", "b"])
+
+    # a row holds two blocks of texts, so few go to a worker at once
+    return checkpointed(both.select("mine", "theirs").mapInArrow(run, "a long, b long"))
+
+
+def _common(xs: list[np.ndarray], ys: list[np.ndarray]) -> np.ndarray:
+    """Sizes of all intersections of two lists of sets, by slices of the shared values."""
+    out = np.zeros((len(xs), len(ys)), np.int64)
+    flat = [np.concatenate(s) if s else np.empty(0, np.uint64) for s in (xs, ys)]
+    shared = np.intersect1d(*flat)
+    owners = [np.repeat(np.arange(len(s)), [len(v) for v in s]) for s in (xs, ys)]
+    spots = []
+    for values, owner in zip(flat, owners):
+        at = np.minimum(np.searchsorted(shared, values), max(len(shared) - 1, 0))
+        hit = shared[at] == values if len(shared) else np.zeros(len(values), bool)
+        spots.append((at[hit], owner[hit]))
+    for lo in range(0, len(shared), 8192):
+        sides = []
+        for (at, owner), s in zip(spots, (xs, ys)):
+            m = np.zeros((len(s), min(8192, len(shared) - lo)), np.float32)
+            pick = (at >= lo) & (at < lo + 8192)
+            m[owner[pick], at[pick] - lo] = 1
+            sides.append(m)
+        out += np.rint(sides[0] @ sides[1].T).astype(np.int64)
+    return out
+
+
 def _wanted_texts(slim: DataFrame, wanted: DataFrame, told: DataFrame) -> DataFrame:
     """(id, text) of the wanted ids; few ids go to the texts by broadcast, many meet them by sort-merge."""
     wanted = checkpointed(wanted)
