@@ -21,6 +21,14 @@ def _r(*names: str, places: int = 6) -> list:
     return [F.round(n, places).alias(n) for n in names]
 
 
+#: Added before rounding means of lattice values, which may end in a 5 just behind the last digit.
+TIE = 1.23e-8
+
+
+def _rt(*names: str) -> list:
+    return [F.round(F.col(n) + TIE, 6).alias(n) for n in names]
+
+
 def unproject_points(spark: SparkSession, sf: str) -> DataFrame:
     lifted = proj.unproject_pixels(carrier(spark, sf, "pixels"), carrier(spark, sf, "cameras"))
     return lifted.select("frame", "u", "v", *_r("wx", "wy", "wz"))
@@ -73,12 +81,12 @@ def _lifted(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def detections_to_3d(spark: SparkSession, sf: str) -> DataFrame:
-    return _lifted(spark, sf).select("det_id", "frame", "label", *_r("score", "cx3", "cy3", "cz3", "sx", "sy", "sz"))
+    return _lifted(spark, sf).select("det_id", "frame", "label", *_rt("score", "cx3", "cy3", "cz3", "sx", "sy", "sz"))
 
 
 def cluster_3d_light(spark: SparkSession, sf: str) -> DataFrame:
     dets = _lifted(spark, sf).withColumn("scene", F.expr("frame div 4"))
-    return inst.cluster_light(dets, ["scene", "label"]).select("scene", "label", "seed", *_r("score", "cx3", "cy3", "cz3", "sx", "sy", "sz"), "n")
+    return inst.cluster_light(dets, ["scene", "label"]).select("scene", "label", "seed", *_rt("score", "cx3", "cy3", "cz3", "sx", "sy", "sz"), "n")
 
 
 def observation_bounds(spark: SparkSession, sf: str) -> DataFrame:
@@ -238,7 +246,7 @@ q AS (SELECT det_id, count(*) AS n, quantile_cont(depth, 0.1) AS lo, quantile_co
 m AS (SELECT hit.*, n, depth >= lo AND depth <= hi AS core, count(*) FILTER (WHERE depth >= lo AND depth <= hi) OVER (PARTITION BY hit.det_id) AS n_core FROM hit JOIN q USING (det_id)),
 w AS (SELECT det_id, m.frame, label, score, {_TO_WORLD_RAW.format(**_LIFT)} FROM m JOIN cameras c ON m.frame = c.frame WHERE n < 10 OR n_core < 4 OR core),
 d3 AS (SELECT det_id, frame, label, score, avg(wx) AS cx3, avg(wy) AS cy3, avg(wz) AS cz3, greatest(max(wx) - min(wx), 0.05) AS sx, greatest(max(wy) - min(wy), 0.05) AS sy, greatest(max(wz) - min(wz), 0.05) AS sz FROM w GROUP BY det_id, frame, label, score)"""
-_ROUND3 = "round(score, 6) AS score, round(cx3, 6) AS cx3, round(cy3, 6) AS cy3, round(cz3, 6) AS cz3, round(sx, 6) AS sx, round(sy, 6) AS sy, round(sz, 6) AS sz"
+_ROUND3 = ", ".join(f"round({c} + {TIE}::DOUBLE, 6) AS {c}" for c in ("score", "cx3", "cy3", "cz3", "sx", "sy", "sz"))
 
 
 def fit_sql(ranked: str, accepts: str, group: str, item: str, seed_only: bool) -> str:
@@ -318,7 +326,7 @@ FROM pixels WINDOW r AS (PARTITION BY frame, v ORDER BY u), c AS (PARTITION BY f
 ranked AS (SELECT *, frame // 4 AS scene, row_number() OVER (PARTITION BY frame // 4, label ORDER BY det_id) - 1 AS rank FROM d3),
 ac AS (SELECT p.scene, p.label, p.det_id AS earlier, q.det_id AS later FROM ranked p JOIN ranked q ON p.scene = q.scene AND p.label = q.label AND p.rank < q.rank WHERE sqrt((p.cx3 - q.cx3) ** 2 + (p.cy3 - q.cy3) ** 2 + (p.cz3 - q.cz3) ** 2) < 0.5),
 {fit_sql('ranked', 'ac', 'scene, label', 'det_id', True)}
-SELECT d.scene, d.label, seed, round(max(score), 6) AS score, round(avg(cx3), 6) AS cx3, round(avg(cy3), 6) AS cy3, round(avg(cz3), 6) AS cz3, round(max(sx), 6) AS sx, round(max(sy), 6) AS sy, round(max(sz), 6) AS sz, count(*) AS n
+SELECT d.scene, d.label, seed, round(max(score) + {TIE}::DOUBLE, 6) AS score, round(avg(cx3) + {TIE}::DOUBLE, 6) AS cx3, round(avg(cy3) + {TIE}::DOUBLE, 6) AS cy3, round(avg(cz3) + {TIE}::DOUBLE, 6) AS cz3, round(max(sx) + {TIE}::DOUBLE, 6) AS sx, round(max(sy) + {TIE}::DOUBLE, 6) AS sy, round(max(sz) + {TIE}::DOUBLE, 6) AS sz, count(*) AS n
 FROM placed_ JOIN ranked d ON d.scene = placed_.scene AND d.label = placed_.label AND d.det_id = placed_.det_id GROUP BY d.scene, d.label, seed"""),
     "observation_bounds": duck("points", """b AS (SELECT obj_id, quantile_cont(x, 0.05) AS lx, quantile_cont(x, 0.95) AS hx, quantile_cont(y, 0.05) AS ly, quantile_cont(y, 0.95) AS hy, quantile_cont(z, 0.05) AS lz, quantile_cont(z, 0.95) AS hz, count(*) AS n FROM points GROUP BY obj_id)
 SELECT obj_id, round(lx, 6) AS lo_x, round(ly, 6) AS lo_y, round(lz, 6) AS lo_z, round(hx, 6) AS hi_x, round(hy, 6) AS hi_y, round(hz, 6) AS hi_z, round((lx + hx) / 2, 6) AS c_x, round((ly + hy) / 2, 6) AS c_y, round((lz + hz) / 2, 6) AS c_z,
