@@ -12,6 +12,17 @@ WORD_SPACE = " \t\n\x0b\x0c\r"
 WORD_SPACE_CLASS = r"[\x20\x09-\x0D]"
 
 
+#: Rows in a batch that Python workers get; whole texts are long, and a worker holds a batch several times.
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lower the session's Arrow batches to BATCH_ROWS rows; a lower setting stays."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Use the session's spark.checkpoint.dir; only where it is unset (tests), a temporary folder."""
     context = spark.sparkContext

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from .common import checkpointed, small_batches
 
 #: The shared vocabulary: the corpus's most frequent words; the rest is one unknown word.
 VOCABULARY = 50_000
@@ -20,6 +20,8 @@ MAX_BIGRAMS = 1 << 20
 #: Dirichlet weight of the backed-off distribution.
 SMOOTHING = 8.0
 _CHUNK_CHARS = 4_000_000
+#: Distinct words that a task counts before it hands them on.
+_HELD_WORDS = 300_000
 
 
 def _chunks(batch: pa.RecordBatch) -> Iterator[tuple[int, int]]:
@@ -88,18 +90,23 @@ def fit(docs: DataFrame, is_target: str = "is_target", text: str = "text", vocab
     kept bigrams only; the least count that is kept comes from a histogram of counts by magnitude.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     rows = docs.select(F.coalesce(F.col(is_target).cast("boolean"), F.lit(False)).alias("t"), F.col(text).alias("x"))
 
     def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: Counter[str] = Counter()
+        out = lambda: pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], names=["w", "n"])
         for batch in batches:
-            found: Counter[str] = Counter()
             for x in batch.column(0):
                 found.update((x.as_py() or "").split())
-            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], names=["w", "n"])
+            if len(found) > _HELD_WORDS:
+                yield out()
+                found.clear()
+        yield out()
 
     totals = rows.select("x").mapInArrow(count_words, "w string, n long").groupBy("w").agg(F.sum("n").alias("n"))
-    top = totals.orderBy(F.desc("n"), "w").limit(vocabulary).collect()
-    words = {r["w"]: k + 1 for k, r in enumerate(sorted(top, key=lambda r: (-r["n"], r["w"])))}
+    top = totals.orderBy(F.desc("n"), "w").limit(vocabulary).toArrow().to_pydict()
+    words = {w: k + 1 for k, (_, w) in enumerate(sorted(zip((-n for n in top["n"]), top["w"])))}
     v = len(words) + 2
     shared = spark.sparkContext.broadcast(words)
 
@@ -126,16 +133,18 @@ def fit(docs: DataFrame, is_target: str = "is_target", text: str = "text", vocab
     single = np.zeros((2, v))
     for column, k in ((F.col("c") % v, "next"), (F.floor(F.col("c") / v), "start")):
         some = pairs if k == "next" else pairs.filter(F.col("c") >= (v - 1) * v)
-        for r in some.groupBy(column.cast("long").alias("w")).agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).collect():  # at most v rows
-            single[:, r["w"]] = r["n0"], r["n1"]
+        sums = some.groupBy(column.cast("long").alias("w")).agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).toArrow()  # at most v rows
+        for m, n in enumerate(("n0", "n1")):
+            single[m, sums["w"].to_numpy()] = sums[n].to_numpy()
     kept, least = 0, 1 << 30
     for r in sorted(pairs.groupBy("size").count().collect(), key=lambda r: -r["size"]):  # a few hundred rows
         if kept + r["count"] > max_bigrams:
             break
         kept, least = kept + r["count"], r["size"]
-    table = pairs.filter(F.col("size") >= least).select("c", "n0", "n1").toPandas().sort_values("c") if kept else None
-    codes = table["c"].to_numpy(np.int64) if kept else np.empty(0, np.int64)
-    pair = table[["n0", "n1"]].to_numpy(np.float32).T.copy() if kept else np.zeros((2, 0), np.float32)
+    table = pairs.filter(F.col("size") >= least).select("c", "n0", "n1").toArrow()  # max_bigrams rows at most
+    order = np.argsort(table["c"].to_numpy())
+    codes = table["c"].to_numpy()[order]
+    pair = np.stack([table[n].to_numpy()[order].astype(np.float32) for n in ("n0", "n1")])
     return MatchedModels(words, single, codes, pair)
 
 
