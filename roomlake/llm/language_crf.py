@@ -224,7 +224,7 @@ def training_rows(docs: DataFrame, limit: int = MAX_TRAINING_ROWS, key: str = "d
     """(text, lang) of at most ``limit`` documents outside the held-out fold, the first in hash order."""
     open_ = docs.filter(crc_fold(key) != 1).filter(F.col(lang).isNotNull() & F.col(text).isNotNull() & F.col(key).isNotNull())
     ids = [r[0] for r in open_.select(key).distinct().orderBy(F.xxhash64(key), key).limit(limit).collect()]
-    few = docs.sparkSession.createDataFrame([(i,) for i in ids], f"{key} long")  # bounded by limit
+    few = docs.sparkSession.createDataFrame([(i,) for i in ids], docs.select(key).schema)  # bounded by limit
     rows = open_.select(key, text, lang).join(F.broadcast(few), key).dropDuplicates([key]).collect()
     return [(r[text], r[lang]) for r in sorted(rows, key=lambda r: r[key])]
 
