@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, LongType, StructField, StructType
 
-from .common import checkpointed
+from .common import checkpointed, small_batches
 
 #: Characters of the text that stand in a splitter; the digest orders texts that share them.
 SPLITTER_CHARS = 64
@@ -81,6 +81,7 @@ def exact_groups(
     """
     if keep not in ("min", "max"):
         raise ValueError("keep must be min or max")
+    small_batches(docs.sparkSession)
     body = F.coalesce(F.col(text), F.lit(""))
     body = normalise(body) if normalise else body
     rows = docs.select(body.alias("_body"), F.col(key), *carry, F.sha2(body.cast("binary"), 256).alias("text_sha256"))

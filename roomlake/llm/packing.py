@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, numbered
+from .common import checkpointed, numbered, small_batches
 from .word_bpe import word_bpe
 
 #: Characters that are encoded in one go, so that a worker's memory doesn't follow the batch.
@@ -60,7 +60,9 @@ def cut_documents(
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(columns, names=names)
                 at = to
+        bpe.clear()  # the worker lives on
 
+    small_batches(docs.sparkSession)
     return docs.select(key, text).mapInArrow(run, schema)
 
 

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_fold
+from .common import crc_fold, small_batches
 
 #: Chunks of WIDTH bytes start at every STRIDE-th byte, so they overlap and cover the whole text.
 WIDTH, STRIDE, DEPTH, FILTERS = 16, 4, 4, 16
@@ -147,7 +147,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, limit: int = MAX_TRAINING_
     """(text, label) of at most ``limit`` labelled rows outside the held-out fold, the first in hash order."""
     open_ = labels.filter(crc_fold(key) != 1).filter(F.col(label).isin(0, 1)).groupBy(key).agg(F.max(label).alias("_label"))
     ids = [r[0] for r in open_.select(key).orderBy(F.xxhash64(key), key).limit(limit).collect()]
-    few = docs.sparkSession.createDataFrame([(i,) for i in ids], f"{key} long")  # bounded by limit
+    few = docs.sparkSession.createDataFrame([(i,) for i in ids], docs.select(key).schema)  # bounded by limit
     picked = docs.select(key, text).join(F.broadcast(few), key).join(F.broadcast(open_.join(F.broadcast(few), key, "left_semi")), key)
     rows = picked.dropDuplicates([key]).collect()
     return [(r[text], int(r["_label"])) for r in sorted(rows, key=lambda r: r[key])]
@@ -168,6 +168,7 @@ def score_quality(docs: DataFrame, net: ByteCnn, key: str = "doc_id", text: str
             got = net.scores(batch.column(1).to_pylist()).astype(np.float64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(got, pa.float64())], names=[key, "score"])
 
+    small_batches(docs.sparkSession)
     scored = docs.select(key, text).mapInArrow(run, f"{key} {kind}, score double")
     return scored.select(key, (crc_fold(key) == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
@@ -179,4 +180,5 @@ def keep_quality(docs: DataFrame, net: ByteCnn, threshold: float = 0.5, text: st
         for t in texts:
             yield pd.Series(net.scores(t.where(t.notna(), None).tolist()).astype("float64"))
 
+    small_batches(docs.sparkSession)
     return docs.filter(score(F.col(text)) >= threshold)

@@ -16,8 +16,8 @@ import numpy as np
 import regex
 import tiktoken
 
-#: Words that the cache holds before it starts anew; about 100 MB.
-CACHE_WORDS = 400_000
+#: Words that the cache holds before it starts anew; about 40 MB.
+CACHE_WORDS = 200_000
 #: Separators that only Python takes for white space, and the start of a special token.
 ODD = ("\x1c", "\x1d", "\x1e", "\x1f", "<|")
 
