@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -11,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, numbered
+from .common import checkpointed, numbered, small_batches
 
 #: Signature: SLOTS values of 16 bits, compared slot by slot. Two sets of similarity s differ in a slot with
 #: probability 1 - s, so at 0.8 a distance over RADIUS has probability 0.0006, at 0.85 below 1e-6.
@@ -20,6 +21,12 @@ SLOTS, RADIUS = 64, 23
 HOT_BUCKET, BLOCK = 64, 64
 #: At most this many ids (16 MB) are broadcast to the scan of the texts.
 MAX_BROADCAST_IDS = 2_000_000
+#: Links that one task of the component search takes.
+LINKS_PER_TASK = 200_000
+#: Block pairs that one task compares, about.
+PAIRS_PER_TASK = 32
+#: Words whose hashes a task keeps before it starts anew.
+CACHE_WORDS = 150_000
 #: Rounds in which each bucket compares its members with one leader before the exact round.
 STAR_ROUNDS = 1
 _UPPER = bytes(range(65, 91))
@@ -49,7 +56,7 @@ class Shingler:
         if not found:
             return np.empty(0, np.uint64)
         known = self.known
-        if len(known) > 400_000:
+        if len(known) > CACHE_WORDS:
             known.clear()
         for w in set(found).difference(known):
             known[w] = int.from_bytes(hashlib.blake2b(w, digest_size=8).digest(), "little")
@@ -128,22 +135,30 @@ def components(links: DataFrame, nodes: str = "node") -> DataFrame:
     never gathered in one task.
     """
     edges = checkpointed(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u > v").distinct())
-    seen = None
-    while True:
+    state, seen = _state(edges), None
+    while state != seen:
+        # as few tasks as the links need: each step's files are counted by tasks, not by rows
+        few = max(1, math.ceil(state[0] / LINKS_PER_TASK))
+        edges = edges.coalesce(few)
         both = edges.select("u", "v").unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = checkpointed(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
-        large = checkpointed(both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u > v").distinct())
+        low = checkpointed(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")).coalesce(few))
+        large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u > v")
+        large = checkpointed(large.coalesce(few).distinct().coalesce(few))
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").filter("u > v").distinct()
-        edges = checkpointed(small)
-        state = tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())
-        if state == seen:
-            break
-        seen = state
+        stars = F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))
+        small = large.join(least, "u").select(F.explode(stars).alias("e")).select("e.*").filter("u > v")
+        edges = checkpointed(small.coalesce(few).distinct().coalesce(few))
+        state, seen = _state(edges), state
     own = edges.select(F.col("v").alias(nodes), F.col("v").alias("root")).distinct()
     return edges.select(F.col("u").alias(nodes), F.col("v").alias("root")).unionAll(own)
 
 
+def _state(edges: DataFrame) -> tuple:
+    """(number, digest) of the links."""
+    row = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
+    return row[0], row[1]
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose full shingle sets reach the similarity."""
 
@@ -184,6 +199,7 @@ def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", words:
     repeated keys link if any of their texts do; an empty table gives no rows; other columns are not read.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     slim = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
     told = checkpointed(slim.mapInArrow(_describe(words), "id long, n long, digest binary, sig binary"))
     valid = told.filter("digest is not null and id is not null")
@@ -267,6 +283,7 @@ def _hot_links(hot: DataFrame, texts: DataFrame, words: int, percent: int) -> Da
     reach = (100 * F.col("x.n1") >= percent * F.col("y.n0")) & (100 * F.col("y.n1") >= percent * F.col("x.n0"))
     tasks = x.join(y, (F.col("x.cluster") == F.col("y.cluster")) & (F.col("x.block") <= F.col("y.block")) & ~one & reach)
     tasks = checkpointed(tasks.select("x.cluster", F.col("x.block").alias("p"), F.col("y.block").alias("q")))
+    tasks = tasks.repartition(max(1, math.ceil(tasks.count() / PAIRS_PER_TASK)))
     loads = checkpointed(placed.join(texts.withColumnRenamed("id", "rep"), "rep").groupBy("cluster", "block").agg(F.collect_list(F.struct("rep", "root", "text")).alias("docs")))
     both = tasks.join(loads.select("cluster", F.col("block").alias("p"), F.col("docs").alias("mine")), ["cluster", "p"]).join(loads.select("cluster", F.col("block").alias("q"), F.col("docs").alias("theirs")), ["cluster", "q"])
 
