@@ -2,26 +2,34 @@
 
 from __future__ import annotations
 
+import hashlib
+import math
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import checkpointed, small_batches
 
-#: The shared vocabulary: the corpus's most frequent words; the rest is one unknown word.
+#: The shared vocabulary of fit(): the corpus's most frequent words; the rest is one unknown word.
 VOCABULARY = 50_000
-#: Bigrams that a model keeps at most (the most frequent; the rest backs off to single words). 16 MB.
+#: Bigrams that fit() keeps at most (the most frequent; the rest backs off to single words). 16 MB.
 MAX_BIGRAMS = 1 << 20
 #: Dirichlet weight of the backed-off distribution.
 SMOOTHING = 8.0
 _CHUNK_CHARS = 4_000_000
 #: Distinct words that a task counts before it hands them on.
 _HELD_WORDS = 300_000
+#: Tokens of a chunk of documents (at least one document), and about as many of a part of the table of counts.
+CHUNK_TOKENS = PART_TOKENS = 1 << 21
+#: The context of a text's first word, and the weights of a bigram's two word hashes in its code.
+_START, _BEFORE, _NEXT = np.uint64(0x5851F42D4C957F2D), np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
 def _chunks(batch: pa.RecordBatch) -> Iterator[tuple[int, int]]:
@@ -86,6 +94,8 @@ def tokens_of(texts: list[str | None], words: dict[str, int]) -> tuple[np.ndarra
 def fit(docs: DataFrame, is_target: str = "is_target", text: str = "text", vocabulary: int = VOCABULARY, max_bigrams: int = MAX_BIGRAMS) -> MatchedModels:
     """Counts over every whole text: target rows make the target model, all other rows the background.
 
+    Bounded models, small enough to broadcast, for tables outside ``docs``; corpus_cross_entropy_difference scores ``docs`` by all counts.
+
     Words and bigrams are counted in the tasks first and then summed by key. The driver gets the vocabulary and the
     kept bigrams only; the least count that is kept comes from a histogram of counts by magnitude.
     """
@@ -148,6 +158,151 @@ def fit(docs: DataFrame, is_target: str = "is_target", text: str = "text", vocab
     return MatchedModels(words, single, codes, pair)
 
 
+def _pack(values: np.ndarray) -> bytes:
+    """Byte planes, so that high zero bytes cost next to nothing."""
+    return zlib.compress(values.view(np.uint8).reshape(-1, values.itemsize).T.tobytes(), 1)
+
+
+def _unpack(data: bytes, kind: type) -> np.ndarray:
+    planes = np.frombuffer(zlib.decompress(data), np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    return np.ascontiguousarray(planes.T).view(kind).ravel()
+
+
+def _word_hashes(words: list[str], known: dict[str, int]) -> np.ndarray:
+    """64-bit hash of each word; ``known`` is the task's cache."""
+    if len(known) > _HELD_WORDS:
+        known.clear()
+    for w in set(words).difference(known):
+        known[w] = int.from_bytes(hashlib.blake2b(w.encode(), digest_size=8).digest(), "little")
+    return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+
+
+def _codes(h: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """A chunk's distinct codes (words, bigrams and the start), sorted; each token's word, bigram and context as places among them."""
+    n, first = len(h), (np.cumsum(sizes) - sizes)[sizes > 0]
+    before = np.concatenate([[_START], h])[:n]
+    before[first] = _START
+    codes, at = np.unique(np.concatenate([h, before * _BEFORE + h * _NEXT, [_START]]), return_inverse=True)
+    context = np.concatenate([at[-1:], at[:n]])[:n]
+    context[first] = at[-1]
+    return codes, at[:n], at[n : 2 * n], context
+
+
+def corpus_cross_entropy_difference(docs: DataFrame, key: str = "doc_id", text: str = "text", is_target: str = "is_target") -> DataFrame:
+    """The columns of cross_entropy_difference, by models of all words and all bigrams of ``docs`` themselves.
+
+    Documents go in chunks of about CHUNK_TOKENS tokens. A chunk sends its distinct words and bigrams with its counts to the
+    parts of the table of counts, by the leading bits of their 64-bit codes; a part sums them over all chunks and sends
+    each chunk the sums of what it asked for, so nothing is cut or broadcast and no task holds more than a chunk or a
+    part. The number of parts follows the corpus's tokens, and a frequent bigram is one entry a chunk. Two of n bigrams share a code with
+    probability n * n / 2 ** 65 or so: 0.5 at the 4e9 of 30 GB.
+    """
+    small_batches(docs.sparkSession)
+    kind = docs.select(key).schema[0].dataType.simpleString()
+    rows = docs.select(F.col(key).alias("k"), F.col(text).alias("x"), F.coalesce(F.col(is_target).cast("boolean"), F.lit(False)).alias("t"))
+
+    def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]]:
+        """Keys, target flags, sizes and word hashes of a few documents at a time."""
+        known: dict[str, int] = {}
+        for batch in batches:
+            for a, b in _chunks(batch):
+                words, sizes = [], np.zeros(b - a, np.int64)
+                for i, x in enumerate(batch.column(1).slice(a, b - a)):
+                    own = (x.as_py() or "").split()
+                    words += own
+                    sizes[i] = len(own)
+                yield batch.column(0).slice(a, b - a), batch.column(2).slice(a, b - a).to_numpy(zero_copy_only=False), sizes, _word_hashes(words, known)
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, seen = [0, 0], np.empty(0, np.uint64)
+        out = lambda h, n: pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), *(pa.array([x] * len(h), pa.int64()) for x in n)], names=["h", "n0", "n1"])
+        for _, target, sizes, h in texts(batches):
+            total = [total[0] + int(sizes[target].sum()), total[1] + int(sizes[~target].sum())]
+            seen = np.union1d(seen, h)
+            if len(seen) > _HELD_WORDS:
+                yield out(seen.view(np.int64), (0, 0))
+                seen = seen[:0]
+        yield out(seen.view(np.int64), (0, 0))
+        yield out([None], total)
+
+    distinct = rows.mapInArrow(measure, "h long, n0 long, n1 long").groupBy("h").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+    n_words, *tokens = [x or 0 for x in distinct.agg(F.count("h"), F.sum("n0"), F.sum("n1")).first()]
+    bits = max(0, math.ceil(math.log2(max(sum(tokens), 1) / PART_TOKENS)))
+    edges = np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits) if bits else np.empty(0, np.uint64)
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]] = []
+        task, done = TaskContext.get().partitionId(), 0
+
+        def asked() -> Iterator[pa.RecordBatch]:
+            keys = pa.concat_arrays([x[0] for x in held])
+            target, sizes, h = (np.concatenate([x[i] for x in held]) for i in (1, 2, 3))
+            codes, word, pair, _ = _codes(h, sizes)
+            mine, start = np.repeat(target, sizes), int(np.searchsorted(codes, _START))
+            counts = []
+            for m, owned in ((mine, target), (~mine, ~target)):
+                n = np.bincount(word[m], minlength=len(codes)) + np.bincount(pair[m], minlength=len(codes))
+                n[start] += np.count_nonzero(owned & (sizes > 0))
+                counts.append(n.astype(np.uint32))
+            # by task and content, so that a chunk that a re-run task makes otherwise is seen
+            name = hashlib.blake2b(f"{task}:{done}:".encode() + codes.tobytes() + sizes.tobytes(), digest_size=8).digest()
+            chunk = int.from_bytes(name, "little") >> 1
+            sorted_h, rank, often = np.unique(h, return_inverse=True, return_counts=True)
+            order = np.argsort(-often, kind="stable")
+            place = np.empty(len(order), np.uint32)
+            place[order] = np.arange(len(order), dtype=np.uint32)
+            own = pa.ListArray.from_arrays(pa.array([0, len(keys)], pa.int32()), keys)
+            yield row(chunk, -1 - chunk, own, _pack(sorted_h[order]), _pack(place[rank]), _pack(sizes))
+            bounds = [0, *np.searchsorted(codes, edges).tolist(), len(codes)]
+            none = pa.ListArray.from_arrays(pa.array([0, 0], pa.int32()), keys[:0])
+            for part, (a, b) in enumerate(zip(bounds, bounds[1:])):
+                if a < b:
+                    yield row(chunk, part, none, _pack(np.diff(codes[a:b], prepend=np.uint64(0))), *(_pack(n[a:b]) for n in counts))
+
+        def row(chunk: int, part: int, keys: pa.Array, *data: bytes) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([chunk]), pa.array([part]), keys, *(pa.array([x], pa.binary()) for x in data)], names=["chunk", "part", "keys", "x", "y", "z"])
+
+        for some in texts(batches):
+            held.append(some)
+            if sum(len(x[3]) for x in held) >= CHUNK_TOKENS:
+                yield from asked()
+                held.clear()
+                done += 1
+        if held:
+            yield from asked()
+
+    def add(group: pa.Table) -> pa.Table:
+        if group["part"][0].as_py() < 0:
+            return group
+        codes = [np.cumsum(_unpack(x.as_py(), np.uint64), dtype=np.uint64) for x in group["x"]]
+        _, at = np.unique(np.concatenate(codes), return_inverse=True)
+        ends = np.cumsum([len(x) for x in codes])[:-1]
+        for name in ("y", "z"):
+            sums = np.bincount(at, np.concatenate([_unpack(x.as_py(), np.uint32) for x in group[name]])).astype(np.uint64)
+            group = group.set_column(group.schema.get_field_index(name), name, pa.array([_pack(x) for x in np.split(sums[at], ends)], pa.binary()))
+        return group.set_column(group.schema.get_field_index("x"), "x", pa.array([b""] * len(codes), pa.binary()))
+
+    def score(group: pa.Table) -> pa.Table:
+        group = group.sort_by("part")
+        own = {c: group[c][0] for c in ("keys", "x", "y", "z")}
+        sizes = _unpack(own["z"].as_py(), np.int64)
+        codes, word, pair, context = _codes(_unpack(own["x"].as_py(), np.uint64)[_unpack(own["y"].as_py(), np.uint32)], sizes)
+        owner, per = np.repeat(np.arange(len(sizes)), sizes), []
+        for m, name in enumerate(("y", "z")):
+            n = np.concatenate([_unpack(x.as_py(), np.uint64) for x in group[name][1:]]).astype(np.float64)
+            if group["part"][0].as_py() >= 0 or len(n) != len(codes):
+                raise RuntimeError("a chunk of documents and its counts do not match: a task that was run again read other rows")
+            n *= max(tokens[0], 1) / max(tokens[m], 1)
+            alone = (n[word] + 1) / (tokens[m] * max(tokens[0], 1) / max(tokens[m], 1) + n_words + 2)
+            p = (n[pair] + SMOOTHING * alone) / (n[context] + SMOOTHING)
+            per.append(np.bincount(owner, -np.log(p), len(sizes)) / np.maximum(sizes, 1))
+        return pa.Table.from_arrays([own["keys"].values, pa.array(sizes), pa.array(per[0]), pa.array(per[1]), pa.array(per[0] - per[1])], names=[key, "n_tokens", "target_loss", "background_loss", "score"])
+
+    layout = f"chunk long, part long, keys array<{kind}>, x binary, y binary, z binary"
+    summed = rows.mapInArrow(ask, layout).groupBy("part").applyInArrow(add, layout)
+    return summed.groupBy("chunk").applyInArrow(score, f"{key} {kind}, n_tokens long, target_loss double, background_loss double, score double")
+
+
 def cross_entropy_difference(docs: DataFrame, models: MatchedModels, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per input row: key, n_tokens, target_loss, background_loss, score.
 

@@ -35,7 +35,7 @@ def op2_shard_rendezvous(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_lm_cross_entropy_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
     good = _table(spark, sf_dir, "labels").filter("quality = 1")
     docs = lm_scoring.mark_targets(_table(spark, sf_dir, "documents").select("doc_id", "text"), good)
-    return lm_scoring.cross_entropy_difference(docs, lm_scoring.fit(docs))
+    return lm_scoring.corpus_cross_entropy_difference(docs)
 
 
 def op4_langid_crf(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from roomlake.llm import chat, exact_dedup, language_crf, line_rules, lm_scoring, mixing, near_dedup, packing, quality_cnn, sharding, word_bpe
-from roomlake.llm.queries import tokenizer_path
+from roomlake.llm.queries import op3_lm_cross_entropy_difference, tokenizer_path
 
 from .conftest import text
 
@@ -136,6 +136,39 @@ def test_lm_keeps_the_most_frequent_pairs_only(spark, awkward):
     assert lm_scoring.cross_entropy_difference(docs.limit(0), empty).count() == 0
 
 
+def test_lm_corpus_scores_keep_every_word_and_pair(spark, awkward, monkeypatch):
+    docs = awkward.withColumn("is_target", F.when(F.col("doc_id") < 20, True))
+    show = lambda df: sorted(str((r.doc_id, r.n_tokens, round(r.target_loss, 6), round(r.background_loss, 6), round(r.score, 6))) for r in df.collect())
+    want = show(lm_scoring.cross_entropy_difference(docs, lm_scoring.fit(docs)))
+    monkeypatch.setattr(lm_scoring, "VOCABULARY", 5)
+    monkeypatch.setattr(lm_scoring, "MAX_BIGRAMS", 5)
+    assert show(lm_scoring.corpus_cross_entropy_difference(docs)) == want
+    # chunks of a document or two, many parts, a cache that is emptied
+    monkeypatch.setattr(lm_scoring, "CHUNK_TOKENS", 50)
+    monkeypatch.setattr(lm_scoring, "PART_TOKENS", 1000)
+    monkeypatch.setattr(lm_scoring, "_HELD_WORDS", 20)
+    monkeypatch.setattr(lm_scoring, "_CHUNK_CHARS", 100)
+    assert show(lm_scoring.corpus_cross_entropy_difference(docs)) == want
+    assert lm_scoring.corpus_cross_entropy_difference(docs.limit(0)).count() == 0
+
+
+def test_lm_query_counts_more_pairs_than_a_bounded_model(spark, tmp_path):
+    words = [f"w{k}" for k in range(3000)]
+    rng = random.Random(5)
+    texts = [rng.choices(words, k=18000) for _ in range(70)]
+    spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(0, 1)], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    assert len({p for t in texts for p in zip(t, t[1:])}) > lm_scoring.MAX_BIGRAMS
+    got = {r.doc_id: r.target_loss for r in op3_lm_cross_entropy_difference(spark, str(tmp_path)).collect()}
+    single, pair = collections.Counter(texts[0]), collections.Counter(zip(["", *texts[0]], texts[0]))
+    for k in (0, 1):
+        total = 0.0
+        for before, w in zip(["", *texts[k]], texts[k]):
+            alone = (single[w] + 1) / (18000 + len(words) + 2)
+            total -= math.log((pair[(before, w)] + lm_scoring.SMOOTHING * alone) / ((single[before] if before else 1) + lm_scoring.SMOOTHING))
+        assert abs(got[k] - total / 18000) < 1e-6
+
+
 # 4 language ID
 
 
