@@ -46,10 +46,9 @@ def op4_langid_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_mix_poisson(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
-    slim = docs.select("doc_id", "source", "text")
-    mixed = mixing.poisson_mix(slim.withColumn("chars", F.length("text").cast("long")), seed=17, shuffle=False).drop("text")
-    return mixed.repartitionByRange("shuffle_key").sortWithinPartitions("shuffle_key").select(
-        "doc_id", "source", F.col("copy").cast("long").alias("copy"), "chars", F.round("rate", 9).alias("rate"), "shuffle_key"
+    # the replicated texts go through the shuffle; their length is taken after it
+    return mixing.poisson_mix(docs, seed=17).select(
+        "doc_id", "source", F.col("copy").cast("long").alias("copy"), F.length("text").cast("long").alias("chars"), F.round("rate", 9).alias("rate"), "shuffle_key"
     )
 
 

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from roomlake.llm import chat, exact_dedup, language_crf, line_rules, lm_scoring, mixing, near_dedup, packing, quality_cnn, sharding, word_bpe
-from roomlake.llm.queries import op3_lm_cross_entropy_difference, tokenizer_path
+from roomlake.llm.queries import op3_lm_cross_entropy_difference, op5_mix_poisson, tokenizer_path
 
 from .conftest import text
 
@@ -244,6 +244,13 @@ def test_mixing_without_broadcast(awkward, monkeypatch):
     assert sorted(str((r.doc_id, r.copy, r.source)) for r in mixing.poisson_mix(awkward).collect()) == small
 
 
+def test_mix_query_shuffles_the_texts(spark):
+    plan = op5_mix_poisson(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan()
+    while plan.nodeName() != "RepartitionByExpression":
+        plan = plan.children().apply(0)
+    assert {"doc_id", "text", "shuffle_key"} <= {plan.output().apply(k).name() for k in range(plan.output().size())}
+
+
 # 6 near-dedup
 
 
