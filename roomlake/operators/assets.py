@@ -318,26 +318,32 @@ def carve_shell(centroids: DataFrame, rooms: DataFrame, margin: float = 0.06) ->
     return rows.filter(~near).select("scene", "face_id")
 
 
-def largest_component(faces: DataFrame, keys: list[str], rounds: int = 64) -> DataFrame:
+def largest_component(faces: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, face_id) of each mesh's largest set of faces that hang together by vertices (most faces, then least vertex).
 
-    Labels spread along edges and jump to their label's label, so long strips settle in a logarithm of their length; a
-    checkpoint cuts the lineage each round.
+    Two star steps alternate until nothing changes: every vertex hangs its larger neighbours on its least neighbour, then
+    itself and its smaller ones. So the rounds grow with the logarithm of a piece's length; a checkpoint cuts the lineage each step.
     """
     from ..session import checkpointed
 
-    corners = faces.select(*keys, "face_id", F.explode(F.array("a", "b", "c")).alias("vid"))
-    labels = checkpointed(corners.select(*keys, "vid").distinct().withColumn("lab", F.col("vid")))
-    corners = checkpointed(corners)
-    for _ in range(rounds):
-        by_face = corners.join(labels, [*keys, "vid"]).groupBy(*keys, "face_id").agg(F.min("lab").alias("low"))
-        spread = corners.join(by_face, [*keys, "face_id"]).groupBy(*keys, "vid").agg(F.min("low").alias("low"))
-        jump = spread.join(labels.select(*keys, F.col("vid").alias("low"), F.col("lab").alias("far")), [*keys, "low"], "left")
-        new = checkpointed(jump.select(*keys, "vid", F.least("low", F.coalesce("far", "low")).alias("lab")))
-        changed = new.join(labels.withColumnRenamed("lab", "old"), [*keys, "vid"]).filter("lab <> old").isEmpty()
-        labels = new
-        if changed:
-            break
+    def state(links: DataFrame) -> tuple:
+        row = links.agg(F.count(F.lit(1)), F.sum(F.xxhash64(*keys, "u", "v").cast("decimal(20,0)"))).first()
+        return row[0], row[1]
+
+    corners = checkpointed(faces.select(*keys, "face_id", F.explode(F.array("a", "b", "c")).alias("vid")))
+    pairs = faces.select(*keys, "a", F.explode(F.array("b", "c")).alias("o"))
+    links = checkpointed(pairs.select(*keys, F.greatest("a", "o").alias("u"), F.least("a", "o").alias("v")).filter("u > v").distinct())
+    now, seen = state(links), None
+    while now != seen:
+        both = links.unionByName(links.select(*keys, F.col("v").alias("u"), F.col("u").alias("v")))
+        low = both.groupBy(*keys, "u").agg(F.min("v").alias("m")).select(*keys, "u", F.least("u", "m").alias("m"))
+        large = checkpointed(both.join(low, [*keys, "u"]).filter("v > u").select(*keys, F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        least = large.groupBy(*keys, "u").agg(F.min("v").alias("m"))
+        stars = F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))
+        links = checkpointed(large.join(least, [*keys, "u"]).select(*keys, F.explode(stars).alias("e")).select(*keys, "e.*").filter("u > v").distinct())
+        now, seen = state(links), now
+    roots = links.select(*keys, F.col("u").alias("vid"), F.col("v").alias("root"))
+    labels = corners.select(*keys, "vid").distinct().join(roots, [*keys, "vid"], "left").select(*keys, "vid", F.coalesce("root", "vid").alias("lab"))
     owned = corners.join(labels, [*keys, "vid"]).groupBy(*keys, "face_id").agg(F.min("lab").alias("lab"))
     size = owned.groupBy(*keys, "lab").agg(F.count(F.lit(1)).alias("n"))
     best = size.groupBy(*keys).agg(F.max(F.struct("n", (-F.col("lab")).alias("neg"))).alias("m")).select(*keys, (-F.col("m.neg")).alias("lab"))

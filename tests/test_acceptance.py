@@ -1,6 +1,7 @@
 """Small cases with known answers for the scene operators."""
 
 import math
+import random
 
 import numpy as np
 import pytest
@@ -172,3 +173,15 @@ def test_linspace_keeps_ends(spark):
     df = spark.range(10).withColumn("g", F.lit(0))
     assert sorted(r.id for r in sampling.linspace_sample(df, ["g"], ["id"], 4).collect()) == [0, 3, 6, 9]
     assert sampling.linspace_sample(df, ["g"], ["id"], 20).count() == 10
+
+
+def test_largest_component_of_a_long_strip(spark):
+    rng = random.Random(3)
+    ids = rng.sample(range(1000), 1000)
+    up_down = [*range(0, 1000, 2), *range(999, 0, -2)]
+    rows = [(mesh, k, *v[k : k + 3]) for mesh, v in ((0, ids), (1, up_down)) for k in range(998)]
+    # smaller pieces apart, and a face of one vertex
+    rows += [(mesh, 998 + k, 2000 + k, 2001 + k, 2002 + k) for mesh in (0, 1) for k in range(5)] + [(0, 2000, 5000, 5000, 5000), (2, 0, 7, 7, 7)]
+    faces = spark.createDataFrame(rows, "mesh_id long, face_id long, a long, b long, c long")
+    got = sorted((r.mesh_id, r.face_id) for r in assets.largest_component(faces, ["mesh_id"]).collect())
+    assert got == sorted([(mesh, k) for mesh in (0, 1) for k in range(998)] + [(2, 0)])
