@@ -133,6 +133,14 @@ def color_field_filled(spark: SparkSession, sf: str) -> DataFrame:
     return room.fill_colors(seen.filter("wall = 0"), grid, ["scene", "wall"]).select("scene", "wall", "iy", "iu", "observed", *_r("r", "g", "b", places=5))
 
 
+def color_field_filled_walls(spark: SparkSession, sf: str) -> DataFrame:
+    """color_field_filled over all four walls."""
+    rooms = _rooms(spark, sf)
+    seen = room.wall_colors(_wide(spark, sf), rooms, least=1)
+    grid = room.walls_of(rooms).withColumn("iy", F.explode(F.expr("sequence(0L, ny - 1)"))).withColumn("iu", F.explode(F.expr("sequence(0L, nu - 1)"))).select("scene", "wall", "iy", "iu")
+    return room.fill_colors(seen, grid, ["scene", "wall"]).select("scene", "wall", "iy", "iu", "observed", *_r("r", "g", "b", places=5))
+
+
 def mask_dilate(spark: SparkSession, sf: str) -> DataFrame:
     cells = carrier(spark, sf, "mask_cells")
     cross = room.dilate(cells, ["mask_id"], (10, 16), box=False).withColumn("kind", F.lit("cross"))
@@ -187,7 +195,7 @@ fl AS (SELECT mask_id, iy, iu FROM g1 WHERE ob UNION SELECT g.mask_id, g.iy, g.i
 
 QUERIES = {f.__name__: f for f in (
     principal_yaw, placement, rack_scale, min_area_yaw, room_rect, surface_coverage, horizontal_infill, ceiling_support, surface_color, wall_specs, wall_ray_cells, wall_evidence,
-    wall_plane_supported, wall_fill, color_field_observed, color_field_filled, mask_dilate, mask_resize, mask_rectangles,
+    wall_plane_supported, wall_fill, color_field_observed, color_field_filled, color_field_filled_walls, mask_dilate, mask_resize, mask_rectangles,
 )}
 _WIDE = "wd AS (SELECT * REPLACE (CASE WHEN x < 2.5 THEN 1.0::DOUBLE ELSE x END AS x) FROM points)"
 _COLORS = f"""{_WALL}, {_WIDE}, {_NEAR.format(src='wd')},
@@ -247,6 +255,12 @@ c0 AS (SELECT * FROM cl WHERE wall = 0),
 ms AS (SELECT ce.* FROM ce ANTI JOIN c0 USING (scene, wall, iy, iu)),
 nn AS (SELECT ms.scene, ms.wall, ms.iy, ms.iu, 1 / greatest(sqrt((ms.iy - c0.iy) ** 2 + (ms.iu - c0.iu) ** 2), 0.75) ** 2 AS wt, r, g, b FROM ms JOIN c0 ON ms.scene = c0.scene QUALIFY row_number() OVER (PARTITION BY ms.scene, ms.iy, ms.iu ORDER BY (ms.iy - c0.iy) ** 2 + (ms.iu - c0.iu) ** 2, c0.iy, c0.iu) <= 4)
 SELECT scene, wall, iy, iu, true AS observed, round(r, 5) AS r, round(g, 5) AS g, round(b, 5) AS b FROM c0
+UNION ALL SELECT scene, wall, iy, iu, false, round(sum(r * wt) / sum(wt), 5), round(sum(g * wt) / sum(wt), 5), round(sum(b * wt) / sum(wt), 5) FROM nn GROUP BY scene, wall, iy, iu"""),
+    "color_field_filled_walls": duck("points", f"""{_COLORS},
+ce AS (SELECT scene, wall, iy, iu FROM wl, LATERAL (SELECT unnest(range(0, ny)) AS iy), LATERAL (SELECT unnest(range(0, nu)) AS iu)),
+ms AS (SELECT ce.* FROM ce ANTI JOIN cl USING (scene, wall, iy, iu)),
+nn AS (SELECT ms.scene, ms.wall, ms.iy, ms.iu, 1 / greatest(sqrt((ms.iy - cl.iy) ** 2 + (ms.iu - cl.iu) ** 2), 0.75) ** 2 AS wt, r, g, b FROM ms JOIN cl ON ms.scene = cl.scene AND ms.wall = cl.wall QUALIFY row_number() OVER (PARTITION BY ms.scene, ms.wall, ms.iy, ms.iu ORDER BY (ms.iy - cl.iy) ** 2 + (ms.iu - cl.iu) ** 2, cl.iy, cl.iu) <= 4)
+SELECT scene, wall, iy, iu, true AS observed, round(r, 5) AS r, round(g, 5) AS g, round(b, 5) AS b FROM cl
 UNION ALL SELECT scene, wall, iy, iu, false, round(sum(r * wt) / sum(wt), 5), round(sum(g * wt) / sum(wt), 5), round(sum(b * wt) / sum(wt), 5) FROM nn GROUP BY scene, wall, iy, iu"""),
     "mask_dilate": duck("mask_cells", f"""{_RUNS} SELECT mask_id, iy, ix, 'cross' AS kind FROM dl
 UNION ALL SELECT DISTINCT mask_id, iy + a, ix + b, 'box5' FROM mask_cells, range(-2, 3) p(a), range(-2, 3) q(b) WHERE iy + a BETWEEN 0 AND 9 AND ix + b BETWEEN 0 AND 15"""),

@@ -34,3 +34,10 @@ def test_query_equals_sql(spark, con, name):
 
 def test_every_oracle_has_a_query():
     assert set(all_oracles()) <= set(all_queries())
+
+
+def test_filled_colors_of_every_wall(spark, con):
+    test_query_equals_sql(spark, con, "color_field_filled_walls")
+    seen = {(r.scene, r.wall) for r in all_queries()["color_field_observed"](spark, SF).collect()}
+    filled = {(r.scene, r.wall) for r in all_queries()["color_field_filled_walls"](spark, SF).collect()}
+    assert filled == seen and len({wall for _, wall in filled}) > 1
