@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 from .common import checkpointed, numbered, small_batches
 
-#: Signature: SLOTS values of 16 bits, compared slot by slot. Two sets of similarity s differ in a slot with
-#: probability 1 - s, so at 0.8 a distance over RADIUS has probability 0.0006, at 0.85 below 1e-6.
+#: Signature: SLOTS values of 16 bits. Two sets of similarity s differ in a slot with probability 1 - s; within RADIUS
+#: differences they surely share a bucket, beyond it almost always: at 0.8 no bucket is shared with probability 3e-7.
 SLOTS, RADIUS = 64, 23
 #: A bucket with more members than this, in several components, is compared in blocks of BLOCK documents.
 HOT_BUCKET, BLOCK = 64, 64
@@ -114,19 +114,6 @@ def _describe(words: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Re
     return run
 
 
-def _distance(a: Column, b: Column) -> Column:
-    """Pandas UDF: slots in which two signatures differ."""
-
-    @F.pandas_udf("int")
-    def differing(x: pd.Series, y: pd.Series) -> pd.Series:
-        if not len(x):
-            return pd.Series([], dtype="int32")
-        p, q = (np.frombuffer(b"".join(v), np.uint16).reshape(len(v), SLOTS) for v in (x, y))
-        return pd.Series((p != q).sum(axis=1).astype("int32"))
-
-    return differing(a, b)
-
-
 def components(links: DataFrame, nodes: str = "node") -> DataFrame:
     """(node, root): smallest node reachable, for every node of the links (a, b).
 
@@ -192,7 +179,7 @@ def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", words:
     is indexed with each allowed error, so every pair within RADIUS shares a bucket. A bucket's members are first
     compared with one leader (STAR_ROUNDS times, another leader each time), which joins large groups without all their
     pairs; then all pairs of a bucket between different components are compared, in crowded buckets by blocks of
-    texts (_hot_links). So no link between components that the signatures see is lost, and pairs within a
+    texts (_hot_links). So no link between components that share a bucket is lost, and pairs within a
     component are never enumerated. Every link is confirmed on full sets.
 
     Null and empty texts have no shingles and stand alone; integer keys; a null key is a component of its own (null);
@@ -216,16 +203,9 @@ def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", words:
     crowded = checkpointed(entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("bucket"))
     index = checkpointed(entries.join(crowded, "bucket").select("bucket", "rep", "n"))
     texts = checkpointed(_wanted_texts(slim, index.select(F.col("rep").alias("id")).distinct(), told))
-    sigs = reps.select("rep", "n", "sig")
 
     def confirm(pairs: DataFrame) -> DataFrame:
-        near = (
-            pairs.join(sigs.select(F.col("rep").alias("a"), F.col("sig").alias("sig_a"), F.col("n").alias("n_a")), "a")
-            .join(sigs.select(F.col("rep").alias("b"), F.col("sig").alias("sig_b"), F.col("n").alias("n_b")), "b")
-            .filter(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
-            .filter(_distance(F.col("sig_a"), F.col("sig_b")) <= RADIUS).select("a", "b").distinct()
-        )
-        return checkpointed(_verified(checkpointed(near), texts, words, percent).distinct())
+        return checkpointed(_verified(checkpointed(pairs), texts, words, percent).distinct())
 
     links = spark.createDataFrame([], "a long, b long")
     placed = index.withColumn("root", F.col("rep"))

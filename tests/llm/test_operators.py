@@ -305,6 +305,20 @@ def test_near_groups_equal_brute_force(spark, awkward, monkeypatch, hot):
     assert all(sizes[i] in {len(shingles(t, 2)) for j, t in rows if j == i} for i in sizes)
 
 
+def test_near_links_beyond_the_radius(spark):
+    # at exactly 0.8, in a common bucket, with more than RADIUS slots apart
+    shingler, rows = near_dedup.Shingler(1), []
+    for k in range(20000):
+        a, b = (" ".join(f"w{k}x{i}" for i in own) for own in (range(9), range(1, 10)))
+        p, q = (near_dedup.signature(shingler(t)) for t in (a, b))
+        if (p != q).sum() > near_dedup.RADIUS and (near_dedup.bucket_keys(p) == near_dedup.bucket_keys(q)).any():
+            rows += [(2 * k, a), (2 * k + 1, b)]
+            break
+    assert rows
+    got = near_dedup.near_groups(spark.createDataFrame(rows, "doc_id long, text string"), words=1, percent=80).collect()
+    assert {r.component_id for r in got} == {rows[0][0]}
+
+
 def test_near_drop_and_empty(spark, awkward):
     kept = near_dedup.drop_near_copies(awkward)
     assert set(kept.columns) == set(awkward.columns)
