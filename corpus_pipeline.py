@@ -63,6 +63,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs
 
 
-#: A network decides in the first stage and a tokenizer cuts in the last, which SQL can't say; the tests compare the
-#: stages between with brute force.
+#: A network decides in the first stage and a tokenizer cuts in the last, which SQL can't say. The tests cover
+#: the operators one by one, not the chained stages.
 ORACLE_SQL = None
