@@ -14,21 +14,45 @@ WORD_SPACE_CLASS = r"[\x20\x09-\x0D]"
 
 #: Rows in a batch that Python workers get; whole texts are long, and a worker holds a batch several times.
 BATCH_ROWS = 1000
+#: At most this many offsets (16 MB or so) are broadcast when rows are numbered.
+MAX_BROADCAST_OFFSETS = 200_000
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Lower the session's Arrow batches to BATCH_ROWS rows; a lower setting stays."""
+    """Lower the session's Arrow batches to BATCH_ROWS rows; a lower setting stays.
+
+    Plans read the setting when they run, so it holds for the session from here on.
+    """
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
         spark.conf.set(name, str(BATCH_ROWS))
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the session's spark.checkpoint.dir; only where it is unset (tests), a temporary folder."""
+    """Use the session's spark.checkpoint.dir; where it is unset, a temporary folder, on a local master only."""
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        shared = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="checkpoint-"))
+        context.setCheckpointDir(shared_folder(spark))
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir, or a new temporary folder if the master is local; else an error, as executors couldn't read it."""
+    context = spark.sparkContext
+    shared = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not context.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return shared or tempfile.mkdtemp(prefix="checkpoint-")
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names for working columns that no column of ``df`` has (columns are told apart without case)."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
@@ -54,8 +78,9 @@ def numbered(df: DataFrame, groups: list[str], order: list[Column | str], out: s
 
     Rows are range-partitioned by (groups, order) with sampled splitters, so a large group spans
     many tasks. Each row's place in its partition is stored in a checkpoint; the table of
-    (partition, group) counts has at most partitions + groups rows, is summed to offsets and is
-    small enough to broadcast. ``df`` must be cheap to read twice (the splitters are sampled).
+    (partition, group) counts has at most partitions + groups rows and is summed to offsets; up to
+    MAX_BROADCAST_OFFSETS of them are broadcast, more are joined by (partition, group), a key that no
+    large group shares. ``df`` must be cheap to read twice (the splitters are sampled).
     Ties in ``order`` get distinct ranks in an arbitrary, but fixed, order.
     """
     keys = [F.col(g) for g in groups] + [F.col(o) if isinstance(o, str) else o for o in order]
@@ -69,6 +94,6 @@ def numbered(df: DataFrame, groups: list[str], order: list[Column | str], out: s
     before = F.expr("coalesce(sum(_n) over (partition by _tag order by _part rows between unbounded preceding and 1 preceding), 0)")
     starts = checkpointed(counts.select("_part", "_tag", (before - F.col("_first")).alias("_shift")))
     return (
-        placed.withColumn("_tag", tag).join(F.broadcast(starts), ["_part", "_tag"])
+        placed.withColumn("_tag", tag).join(F.broadcast(starts) if starts.count() <= MAX_BROADCAST_OFFSETS else starts, ["_part", "_tag"])
         .withColumn(out, (F.col("_at") + F.col("_shift")).cast("long")).drop("_part", "_at", "_tag", "_shift")
     )
