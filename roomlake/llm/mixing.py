@@ -2,29 +2,33 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType
 
-from .common import checkpointed, uniform_hash
+from .common import checkpointed, fresh, uniform_hash
 
 #: A table of rates with at most this many sources is broadcast; a longer one is joined by sort-merge.
 MAX_BROADCAST_SOURCES = 10_000
 NULL_SOURCE = "\x00null"
 
 
-def poisson_cdf(rate: Column) -> Column:
-    """Array of P(count <= k) for k = 0, 1, ... until the rest is below 1e-15 or so."""
-    top = F.ceil(rate + 10 * F.sqrt(rate) + 20).cast("int")
-    state = F.struct(F.lit(0.0).alias("log_fact"), F.lit(0.0).alias("total"), F.array().cast("array<double>").alias("cdf"))
+@F.pandas_udf(ArrayType(DoubleType()))
+def poisson_cdf(rates: pd.Series) -> pd.Series:
+    """Array of P(count <= k) for k = 0, 1, ... until the rest is below 1e-15 or so; [1.0] at rate 0. One a source."""
 
-    def step(s: Column, k: Column) -> Column:
-        fact = s["log_fact"] + F.when(k == 0, F.lit(0.0)).otherwise(F.log(F.greatest(k, F.lit(1)).cast("double")))
-        total = s["total"] + F.exp(k * F.log(rate) - rate - fact)
-        return F.struct(fact.alias("log_fact"), total.alias("total"), F.concat(s["cdf"], F.array(total)).alias("cdf"))
+    def one(rate: float) -> np.ndarray:
+        if not rate > 0:
+            return np.ones(1)
+        k = np.arange(math.ceil(rate + 10 * math.sqrt(rate) + 20) + 1, dtype=np.float64)
+        return np.cumsum(np.exp(k * math.log(rate) - rate - np.cumsum(np.log(np.maximum(k, 1)))))
 
-    return F.aggregate(F.sequence(F.lit(0), top), state, step)["cdf"]
+    return pd.Series([one(r) for r in rates], dtype=object)
 
 
 def mixing_rates(docs: DataFrame, weights: Mapping[str, float] | None, total: float | None, temperature: float, source: str, text: str) -> DataFrame:
@@ -41,7 +45,7 @@ def mixing_rates(docs: DataFrame, weights: Mapping[str, float] | None, total: fl
     budget = F.expr(whole.format("_size")) if total is None else F.lit(float(total))
     rate = budget * F.col("_goal") / F.expr(whole.format("_goal")) / F.col("_size")
     rated = goals.withColumn("rate", F.when(F.expr(whole.format("_goal")) > 0, rate).otherwise(F.lit(0.0)))
-    return rated.select("_source", "rate", F.when(F.col("rate") > 0, poisson_cdf(F.col("rate"))).otherwise(F.array(F.lit(1.0))).alias("_cdf"))
+    return rated.select("_source", "rate", poisson_cdf(F.col("rate")).alias("_cdf"))
 
 
 def poisson_mix(
@@ -56,15 +60,20 @@ def poisson_mix(
     The draw inverts the Poisson distribution at a hash of (seed, key), so it is the same on every run and on a re-tried
     task. The order is by a hash of (seed, key, copy): sampled ranges, sorted, so row order in the written files is the shuffle.
     A null source is a source of its own (named "\\x00null" in ``weights``); a null key draws as the text "null"; rows
-    of one key draw alike; null text counts as empty. An empty table gives no rows. Documents are never
-    grouped by source; only one sum a source is, and large tables of sources are joined by sort-merge.
+    of one key draw alike; null text counts as empty; long texts move whole. An empty table gives no rows. All columns of the
+    input are kept but those named copy, rate or shuffle_key, which are replaced. Documents are never
+    grouped by source; only one sum a source is, and large tables of sources are joined by sort-merge. A row looks its draw up
+    in its source's distribution, whose length is about the number of its copies.
     """
-    rates = checkpointed(mixing_rates(docs, weights, total, temperature, source, text))
+    made = ("copy", "rate", "shuffle_key")
+    docs = docs.drop(*[c for c in docs.columns if c.lower() in made])
+    name, cdf, n = fresh(docs, "_source", "_cdf", "_n")
+    rates = checkpointed(mixing_rates(docs, weights, total, temperature, source, text)).toDF(name, "rate", cdf)
     small = rates.count() <= MAX_BROADCAST_SOURCES
-    named = docs.withColumn("_source", F.coalesce(F.col(source), F.lit(NULL_SOURCE)))
-    joined = named.join(F.broadcast(rates) if small else rates, "_source")
+    named = docs.withColumn(name, F.coalesce(F.col(source), F.lit(NULL_SOURCE)))
+    joined = named.join(F.broadcast(rates) if small else rates, name)
     u = uniform_hash(F.lit(seed), F.col(key))
-    counts = joined.withColumn("_n", F.size(F.filter("_cdf", lambda c: c <= u)))
-    copies = counts.filter("_n > 0").withColumn("copy", F.explode(F.expr("sequence(0, _n - 1)"))).drop("_n", "_cdf", "_source")
+    counts = joined.withColumn(n, F.size(F.filter(cdf, lambda c: c <= u)))
+    copies = counts.filter(F.col(n) > 0).withColumn("copy", F.explode(F.sequence(F.lit(0), F.col(n) - 1))).drop(n, cdf, name)
     mixed = copies.withColumn("shuffle_key", F.md5(F.concat_ws(":", F.lit(seed).cast("string"), F.coalesce(F.col(key).cast("string"), F.lit("null")), F.col("copy").cast("string"), F.lit("order"))))
     return mixed.repartitionByRange("shuffle_key").sortWithinPartitions("shuffle_key") if shuffle else mixed
