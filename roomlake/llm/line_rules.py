@@ -14,6 +14,9 @@ BOILERPLATE = [
     "enable javascript", "lorem ipsum", "click here", "sign up", "log in", "read more", "share this", "skip to content",
     "subscribe to", "powered by", "follow us", "back to top",
 ]
+#: A phrase counts where no letter goes on before or after it, so "catalog in" holds no "log in". The phrases are English;
+#: the other rules read signs, lengths and final punctuation and hold for any language.
+PHRASE = r"(^|[^\p{L}])(" + "|".join(BOILERPLATE) + r")($|[^\p{L}])"
 FRAGMENT_WORDS = 8
 BOILERPLATE_WORDS = 25
 MAX_LOST_PERCENT = 30
@@ -45,7 +48,7 @@ def line_verdicts(lines: Column) -> Column:
         line, words = x["line"], x["words"]
         n = F.size(words)
         low, last = F.lower(line), F.substring(F.element_at(words, -1), -1, 1)
-        phrase = low.rlike("|".join(BOILERPLATE))
+        phrase = low.rlike(PHRASE)
         signs = F.length(line) - F.length(F.translate(line, SYMBOLS, ""))
         fails = (
             ((n < FRAGMENT_WORDS) & ~last.isin(TERMINAL))
@@ -74,14 +77,17 @@ def line_first_clean(docs: DataFrame, text: str = "text") -> DataFrame:
 
     Each line is judged on its own: a short line without final punctuation, a menu, a line of
     symbols or shouting, or a boilerplate phrase in a short line fails and is cut. Null text counts as empty;
-    a blank line never fails; rows, ties and repeated rows are judged one by one.
+    a blank line never fails; rows, ties and repeated rows are judged one by one; an empty table gives no rows; texts of any
+    length are judged whole. All columns of the input are kept but those named cleaned or lost_percent, which are replaced.
     """
-    judged = with_lines(docs, text)
+    made = ("cleaned", "lost_percent")
+    judged = with_lines(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(text).alias("_raw")), "_raw")
     pairs = F.arrays_zip(F.col("_lines.line").alias("line"), F.col("_verdicts.fails").alias("fails"))
     words = F.aggregate("_verdicts", F.lit(0), lambda a, v: a + v["n"])
     lost = F.aggregate("_verdicts", F.lit(0), lambda a, v: a + F.when(v["fails"], v["n"]).otherwise(0))
     cleaned = F.array_join(F.transform(F.filter(pairs, lambda p: ~p["fails"]), lambda p: p["line"]), "\n")
-    return judged.withColumns({"cleaned": cleaned, "lost_percent": 100.0 * lost / F.greatest(words, F.lit(1))}).drop("_text", "_lines", "_verdicts")
+    own = [F.col("_row").getField(c).alias(c) for c in docs.columns if c.lower() not in made]
+    return judged.select(*own, cleaned.alias("cleaned"), (100.0 * lost / F.greatest(words, F.lit(1))).alias("lost_percent"))
 
 
 def line_first_report(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -89,7 +95,8 @@ def line_first_report(docs: DataFrame, key: str = "doc_id", text: str = "text")
 
     kept is false if the base rules fail, else says whether the lines that stay hold enough of
     the words. Null text counts as empty (fails the base rules); null keys, ties and repeated rows keep their
-    own rows; an empty table gives no rows; other columns are ignored. Nothing is shuffled. Three-word
+    own rows; an empty table gives no rows; other columns are ignored, whatever their names. Texts of any length are read whole, a row
+    at a time. Nothing is shuffled. Three-word
     windows are compared by a 64-bit hash.
     """
     judged = with_lines(docs.select(F.col(key).alias("_key"), F.col(text).alias("_raw")), "_raw")
@@ -130,7 +137,7 @@ lj AS (SELECT *, len(ws) AS n,
      OR len(line) - len(translate(line, '{SYMBOLS}', '')) > len(ws)
      OR len(list_filter(ws, lambda w: w IN ({quoted(SEPARATORS)}))) * 5 >= len(ws)
      OR len(list_filter(ws, lambda w: w LIKE '%!!' OR w LIKE '%!!.')) * 2 > len(ws)
-     OR (len(ws) < {BOILERPLATE_WORDS} AND regexp_matches(lower(line), '{"|".join(BOILERPLATE)}'))) AS fails
+     OR (len(ws) < {BOILERPLATE_WORDS} AND regexp_matches(lower(line), '{PHRASE}'))) AS fails
   FROM lw),
 a AS (SELECT rid, CAST(sum(n) AS BIGINT) AS n_words, CAST(coalesce(sum(n) FILTER (WHERE fails), 0) AS BIGINT) AS lost,
    CAST(count(*) FILTER (WHERE n > 0) - count(DISTINCT line) FILTER (WHERE n > 0) AS BIGINT) AS n_dup_lines FROM lj GROUP BY rid),
