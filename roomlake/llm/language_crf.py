@@ -10,15 +10,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_fold
+from .common import crc_fold, small_batches
 
 #: Hashed affix and n-gram features; weights are one row each, the last row stays zero.
 BUCKETS = 1 << 16
 LEXICON_WORDS = 4000
-#: A chain is a line, cut after this many words.
-CHAIN_WORDS = 128
-#: Labelled documents that a fit may use at most, and the words it reads of them.
-MAX_TRAINING_ROWS = 1200
+#: A chain is a line. Messages go along SEGMENT_WORDS words of all chains at once; from segment to segment they are carried.
+SEGMENT_WORDS = 128
+#: Words of each of two lines that a fit splices.
+SPLICE_WORDS = 64
+#: Labelled documents that a fit may use at most, and the bytes of the longest text among them.
+MAX_TRAINING_ROWS, MAX_TRAINING_BYTES = 1200, 1 << 17
 CACHE_WORDS = 300_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -53,42 +55,96 @@ def word_features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def chains_of(text: str) -> list[list[str]]:
-    out = []
-    for line in text.lower().split("\n"):
-        words = line.split()
-        out += [words[k : k + CHAIN_WORDS] for k in range(0, len(words), CHAIN_WORDS)]
-    return out
+    return [words for line in text.lower().split("\n") if (words := line.split())]
+
+
+def _segments(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Lengths of the segments of all chains in order; whether a segment continues the one before."""
+    parts = -(-lengths // SEGMENT_WORDS)
+    size = np.full(int(parts.sum()), SEGMENT_WORDS)
+    last = np.cumsum(parts) - 1
+    some = parts > 0
+    size[last[some]] = lengths[some] - (parts[some] - 1) * SEGMENT_WORDS
+    joined = np.ones(len(size), bool)
+    joined[(last - parts + 1)[some]] = False
+    return size, joined
+
+
+def _carried(scores: np.ndarray, step: np.ndarray, begin: np.ndarray, size: np.ndarray, joined: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Messages over the cuts: alpha of the word before each segment (rows of segments that continue one), beta at each segment's last word.
+
+    A segment's transfer matrix takes the alpha before it to the alpha at its end; the matrices of all segments of
+    long chains are made at once, then alpha goes along a chain's segments and beta back.
+    """
+    n = step.shape[0]
+    into, out_of = np.ones((len(size), n)), np.ones((len(size), n))
+    followed = np.append(joined[1:], False)
+    long = np.flatnonzero(joined | followed)
+    if not len(long):
+        return into, out_of
+    first = long[~joined[long]]
+    matrix = np.zeros((len(long), n, n))
+    matrix[joined[long]] = np.eye(n)
+    # a chain's first segment has no alpha before it: all its rows start as the first word's scores
+    matrix[~joined[long]] = scores[begin[first]][:, None, :]
+    order = np.argsort(-size[long], kind="stable")
+    for t in range(int(size[long].max())):
+        live = order[: int(np.searchsorted(-size[long][order], -t, side="left"))]
+        if t == 0:
+            live = live[joined[long][live]]
+        m = (matrix[live] @ step) * scores[begin[long[live]] + t][:, None, :]
+        matrix[live] = m / m.sum(axis=(1, 2), keepdims=True)
+    place = np.cumsum(joined | followed) - 1
+    alpha = None
+    for s in long:
+        if not joined[s]:
+            alpha = matrix[place[s], 0]
+        else:
+            into[s] = alpha
+            alpha = alpha @ matrix[place[s]]
+        alpha = alpha / alpha.sum()
+    for s in long[::-1]:
+        if followed[s]:
+            beta = matrix[place[s + 1]] @ out_of[s + 1]
+            out_of[s] = beta / beta.sum()
+    return into, out_of
 
 
 def forward_backward(emit: np.ndarray, lengths: np.ndarray, moves: np.ndarray, want_moves: bool = False) -> tuple[np.ndarray, np.ndarray | None]:
-    """Posterior of each word's label for chains laid end to end; expected transitions if asked for."""
+    """Posterior of each word's label for chains of any length laid end to end; expected transitions if asked for."""
     n_labels = emit.shape[1]
     scores = np.exp(emit - emit.max(axis=1, keepdims=True))
     step = np.exp(moves)
-    order = np.argsort(-lengths, kind="stable")
-    begin = (np.cumsum(lengths) - lengths)[order]
-    size = lengths[order]
+    size, joined = _segments(np.asarray(lengths, np.int64))
+    begin = np.cumsum(size) - size
+    into, out_of = _carried(scores, step, begin, size, joined)
+    order = np.argsort(-size, kind="stable")
+    begin, size, joined, into = begin[order], size[order], joined[order], into[order]
     longest = int(size[0]) if len(size) else 0
-    live = [int(np.searchsorted(-size, -t, side="left")) for t in range(longest)]  # chains longer than t
+    live = [int(np.searchsorted(-size, -t, side="left")) for t in range(longest)]  # segments longer than t
     alpha = np.empty_like(scores)
     for t in range(longest):
         at = begin[: live[t]] + t
-        a = scores[at] if t == 0 else (alpha[at - 1] @ step) * scores[at]
+        if t:
+            a = (alpha[at - 1] @ step) * scores[at]
+        else:
+            a = np.where(joined[:, None], into @ step, 1.0) * scores[at]
         alpha[at] = a / a.sum(axis=1, keepdims=True)
     post = np.empty_like(scores)
-    beta = np.ones((len(size), n_labels))
+    beta = out_of[order]
     expected = np.zeros_like(step) if want_moves else None
     for t in range(longest - 1, -1, -1):
         k = live[t]
         at = begin[:k] + t
         g = alpha[at] * beta[:k]
         post[at] = g / g.sum(axis=1, keepdims=True)
+        b = scores[at] * beta[:k]
+        if want_moves:
+            before = alpha[at - 1] if t else into
+            joint = before[:, :, None] * step * b[:, None, :]
+            joint /= joint.sum(axis=(1, 2), keepdims=True)
+            expected += (joint if t else joint[joined]).sum(axis=0)
         if t:
-            b = scores[at] * beta[:k]
-            if want_moves:
-                before = alpha[at - 1]
-                joint = before[:, :, None] * step * b[:, None, :]
-                expected += (joint / joint.sum(axis=(1, 2), keepdims=True)).sum(axis=0)
             b = b @ step.T
             beta[:k] = b / b.sum(axis=1, keepdims=True)
     return post, expected
@@ -159,7 +215,7 @@ def fit(texts: list[str], langs: list[str], steps: int = 60, rate: float = 0.15,
     """Maximum likelihood by Adam over all chains at once.
 
     A document's label stands for all its words. Every second line is spliced with a line of another language's
-    document, so the transitions are learned from code-switched chains too.
+    document (SPLICE_WORDS of each), so the transitions are learned from code-switched chains too.
     """
     labels = sorted(set(langs))
     rng = np.random.default_rng(seed)
@@ -171,7 +227,7 @@ def fit(texts: list[str], langs: list[str], steps: int = 60, rate: float = 0.15,
             if i % 2 and others:
                 j = others[int(rng.integers(len(others)))]
                 other = pools[j][int(rng.integers(len(pools[j])))]
-                chain, tail = chain[: CHAIN_WORDS // 2], other[: CHAIN_WORDS // 2]
+                chain, tail = chain[:SPLICE_WORDS], other[:SPLICE_WORDS]
                 chains.append(chain + tail)
                 gold.append([k] * len(chain) + [j] * len(tail))
             else:
@@ -221,22 +277,30 @@ def fit(texts: list[str], langs: list[str], steps: int = 60, rate: float = 0.15,
 
 
 def training_rows(docs: DataFrame, limit: int = MAX_TRAINING_ROWS, key: str = "doc_id", text: str = "text", lang: str = "lang") -> list[tuple[str, str]]:
-    """(text, lang) of at most ``limit`` documents outside the held-out fold, the first in hash order."""
+    """(text, lang) of at most ``limit`` documents outside the held-out fold, the first in hash order.
+
+    Of rows with one key the one that is first by digest and lang counts. Texts over MAX_TRAINING_BYTES are left out, so the driver gets at
+    most MAX_TRAINING_ROWS times as much.
+    """
     open_ = docs.filter(crc_fold(key) != 1).filter(F.col(lang).isNotNull() & F.col(text).isNotNull() & F.col(key).isNotNull())
+    open_ = open_.filter(F.octet_length(text) <= MAX_TRAINING_BYTES).select(key, F.col(text).alias("_text"), F.col(lang).alias("_lang"))
     ids = [r[0] for r in open_.select(key).distinct().orderBy(F.xxhash64(key), key).limit(limit).collect()]
     few = docs.sparkSession.createDataFrame([(i,) for i in ids], docs.select(key).schema)  # bounded by limit
-    rows = open_.select(key, text, lang).join(F.broadcast(few), key).dropDuplicates([key]).collect()
-    return [(r[text], r[lang]) for r in sorted(rows, key=lambda r: r[key])]
+    row = F.struct(F.sha2(F.col("_text").cast("binary"), 256).alias("digest"), "_lang", "_text")
+    rows = open_.join(F.broadcast(few), key).groupBy(key).agg(F.min(row).alias("row")).collect()
+    return [(r["row"]["_text"], r["row"]["_lang"]) for r in sorted(rows, key=lambda r: r[key])]
 
 
 def predict_language(docs: DataFrame, net: LanguageCrf, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per input row: key, held_out, lang_pred, score.
 
-    Every word of the whole text gets label probabilities by forward-backward along its line; the label with the largest
+    Every word of the whole text gets label probabilities by forward-backward along its whole line; the label with the largest
     share of a text's words is predicted, and the share is the score. A null text, or one without a letter, is "und" with
     score 0. Null keys, ties and repeated rows are predicted alike; an empty table gives no rows; a tie goes
-    to the first label in order; other columns are not read.
+    to the first label in order; other columns are not read, whatever their names. Very long texts are read whole; a worker
+    holds one batch of texts and the words of about 2 million characters (or one text).
     """
+    small_batches(docs.sparkSession)
     kind = docs.select(key).schema[0].dataType.simpleString()
     shared = docs.sparkSession.sparkContext.broadcast(net)  # BUCKETS rows and LEXICON_WORDS words at most
 
