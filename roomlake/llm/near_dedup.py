@@ -17,14 +17,16 @@ from .common import checkpointed, numbered, small_batches
 #: Signature: SLOTS values of 16 bits. Two sets of similarity s differ in a slot with probability 1 - s; within RADIUS
 #: differences they surely share a bucket, beyond it almost always: at 0.8 no bucket is shared with probability 3e-7.
 SLOTS, RADIUS = 64, 23
+#: Signatures that differ in more slots are not compared on full sets, wherever they meet: at 0.8 that has probability 3e-7.
+SCREEN = 30
 #: A bucket with more members than this, in several components, is compared in blocks of BLOCK documents.
 HOT_BUCKET, BLOCK = 64, 64
 #: At most this many ids (16 MB) are broadcast to the scan of the texts.
 MAX_BROADCAST_IDS = 2_000_000
 #: Links that one task of the component search takes.
 LINKS_PER_TASK = 200_000
-#: Block pairs that one task compares, about.
-PAIRS_PER_TASK = 32
+#: A node with more than this share of all link ends is joined by broadcast; there are at most HUBS of them.
+HUBS = 512
 #: Words whose hashes a task keeps before it starts anew.
 CACHE_WORDS = 150_000
 #: Rounds in which each bucket compares its members with one leader before the exact round.
@@ -114,12 +116,39 @@ def _describe(words: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Re
     return run
 
 
+def _distance(a: Column, b: Column) -> Column:
+    """Pandas UDF: slots in which two signatures differ."""
+
+    @F.pandas_udf("int")
+    def differing(x: pd.Series, y: pd.Series) -> pd.Series:
+        if not len(x):
+            return pd.Series([], dtype="int32")
+        p, q = (np.frombuffer(b"".join(v), np.uint16).reshape(len(v), SLOTS) for v in (x, y))
+        return pd.Series((p != q).sum(axis=1).astype("int32"))
+
+    return differing(a, b)
+
+
+def _join_small(ends: DataFrame, told: DataFrame, n_ends: int) -> DataFrame:
+    """``ends`` (u, v) with ``told`` (u, m, degree), one row a node.
+
+    The ends of a hub, a node that has more than 1/HUBS of them, never move: the rows of the hubs, HUBS at most, are broadcast. So no
+    node's ends are gathered in one task beyond that share.
+    """
+    hub = F.col("degree") * HUBS > n_ends
+    hubs = checkpointed(told.filter(hub).select("u", "m"))
+    if hubs.isEmpty():
+        return ends.join(told.select("u", "m"), "u")
+    rest = ends.join(F.broadcast(hubs.select("u")), "u", "left_anti").join(told.filter(~hub).select("u", "m"), "u")
+    return ends.join(F.broadcast(hubs), "u").unionAll(rest)
+
+
 def components(links: DataFrame, nodes: str = "node") -> DataFrame:
     """(node, root): smallest node reachable, for every node of the links (a, b).
 
     Alternates two star steps: every node hangs its larger neighbours on its smallest neighbour, then
-    its smaller ones; checkpointed each time, until nothing changes. Minima are partial aggregates, so a hub is
-    never gathered in one task.
+    its smaller ones; checkpointed each time, until nothing changes. Minima are partial aggregates and a hub's
+    links are joined where they are (_join_small), so a hub is never gathered in one task.
     """
     edges = checkpointed(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u > v").distinct())
     state, seen = _state(edges), None
@@ -128,12 +157,13 @@ def components(links: DataFrame, nodes: str = "node") -> DataFrame:
         few = max(1, math.ceil(state[0] / LINKS_PER_TASK))
         edges = edges.coalesce(few)
         both = edges.select("u", "v").unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = checkpointed(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")).coalesce(few))
-        large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u > v")
+        low = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("degree"))
+        low = checkpointed(low.select("u", F.least("u", "m").alias("m"), "degree").coalesce(few))
+        large = _join_small(both, low, 2 * state[0]).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u > v")
         large = checkpointed(large.coalesce(few).distinct().coalesce(few))
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("degree"))
         stars = F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))
-        small = large.join(least, "u").select(F.explode(stars).alias("e")).select("e.*").filter("u > v")
+        small = _join_small(large, least, state[0]).select(F.explode(stars).alias("e")).select("e.*").filter("u > v")
         edges = checkpointed(small.coalesce(few).distinct().coalesce(few))
         state, seen = _state(edges), state
     own = edges.select(F.col("v").alias(nodes), F.col("v").alias("root")).distinct()
@@ -176,14 +206,15 @@ def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", words:
     ``percent`` * union on full sets; component_id is the smallest key reachable by links.
 
     Equal sets are one class, represented by its smallest key. Signatures are cut into chunks by pigeonhole and each chunk
-    is indexed with each allowed error, so every pair within RADIUS shares a bucket. A bucket's members are first
+    is indexed with each allowed error, so every pair within RADIUS shares a bucket; pairs up to SCREEN that share one are compared too. A bucket's members are first
     compared with one leader (STAR_ROUNDS times, another leader each time), which joins large groups without all their
     pairs; then all pairs of a bucket between different components are compared, in crowded buckets by blocks of
     texts (_hot_links). So no link between components that share a bucket is lost, and pairs within a
-    component are never enumerated. Every link is confirmed on full sets.
+    component are never enumerated. Every link is confirmed on full sets, whatever its bucket's size.
 
-    Null and empty texts have no shingles and stand alone; integer keys; a null key is a component of its own (null);
-    repeated keys link if any of their texts do; an empty table gives no rows; other columns are not read.
+    Null and empty texts have no shingles and stand alone; keys are integers (others raise an error); a null key is a component of its own (null);
+    repeated keys link if any of their texts do; an empty table gives no rows; other columns are not read, whatever their names.
+    Texts of any length are read whole; a worker holds one batch of them, or two blocks.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -204,8 +235,13 @@ def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", words:
     index = checkpointed(entries.join(crowded, "bucket").select("bucket", "rep", "n"))
     texts = checkpointed(_wanted_texts(slim, index.select(F.col("rep").alias("id")).distinct(), told))
 
+    sigs = reps.select("rep", "sig")
+
     def confirm(pairs: DataFrame) -> DataFrame:
-        return checkpointed(_verified(checkpointed(pairs), texts, words, percent).distinct())
+        told_a = pairs.join(sigs.select(F.col("rep").alias("a"), F.col("sig").alias("sig_a")), "a")
+        both = told_a.join(sigs.select(F.col("rep").alias("b"), F.col("sig").alias("sig_b")), "b")
+        near = both.filter(_distance(F.col("sig_a"), F.col("sig_b")) <= SCREEN).select("a", "b")
+        return checkpointed(_verified(checkpointed(near), texts, words, percent).distinct())
 
     links = spark.createDataFrame([], "a long, b long")
     placed = index.withColumn("root", F.col("rep"))
@@ -225,7 +261,7 @@ def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", words:
     other = few.select("bucket", F.col("rep").alias("b"), F.col("root").alias("root_b"), F.col("n").alias("n_b"))
     across = few.select("bucket", F.col("rep").alias("a"), "root", "n").join(other, "bucket").filter((F.col("root") < F.col("root_b")) & alike(F.col("n"), F.col("n_b")))
     links = links.unionAll(confirm(across.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()))
-    links = links.unionAll(_hot_links(open_.filter(F.col("size") > HOT_BUCKET), texts, words, percent))
+    links = links.unionAll(_hot_links(open_.filter(F.col("size") > HOT_BUCKET), texts.join(sigs.withColumnRenamed("rep", "id"), "id"), words, percent))
     roots = components(links)
 
     classes = reps.select("digest", "rep").join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("root", "rep").alias("component_id"))
@@ -246,7 +282,9 @@ def _hot_links(hot: DataFrame, texts: DataFrame, words: int, percent: int) -> Da
 
     Buckets with the same largest component form a cluster, so both members of a pair are in one. Its members, in order of
     component, are cut into blocks of BLOCK texts, and a task compares two blocks at a time: all their pairs by one product of 0/1 matrices. Only confirmed links
-    leave the task, one a pair of components; two blocks of one component are not compared. So a
+    leave the task, one a pair of components; two blocks of one component are not compared, nor blocks whose sizes rule a link out. Block p of
+    n goes with the n / 2 blocks after it, round the circle, so every block is on either side equally often: pairs are made
+    where their block p is and dealt by (cluster, p), then (cluster, q), keys with n / 2 pairs each. So a
     cluster of any size is many small tasks, and no pair becomes a row.
     """
     spark = hot.sparkSession
@@ -258,13 +296,15 @@ def _hot_links(hot: DataFrame, texts: DataFrame, words: int, percent: int) -> Da
     members = checkpointed(hot.join(cluster, "bucket").select("cluster", "rep", "root", "n").distinct())
     placed = checkpointed(numbered(members, ["cluster"], ["root", "n", "rep"], "at").withColumn("block", F.expr(f"at div {BLOCK}")))
     blocks = checkpointed(placed.groupBy("cluster", "block").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.min("n").alias("n0"), F.max("n").alias("n1")))
-    x, y = blocks.alias("x"), blocks.alias("y")
+    sizes = blocks.groupBy("cluster").agg(F.count(F.lit(1)).alias("blocks"))
+    x = blocks.join(sizes, "cluster").withColumn("d", F.explode(F.expr("sequence(0L, blocks div 2)"))).withColumn("q", F.expr("(block + d) % blocks"))
+    x = x.filter("d * 2 < blocks or (d * 2 = blocks and block < q)").alias("x")  # the opposite block is met from both sides
+    y = blocks.alias("y")
     one = (F.col("x.r0") == F.col("x.r1")) & (F.col("y.r0") == F.col("y.r1")) & (F.col("x.r0") == F.col("y.r0"))
     reach = (100 * F.col("x.n1") >= percent * F.col("y.n0")) & (100 * F.col("y.n1") >= percent * F.col("x.n0"))
-    tasks = x.join(y, (F.col("x.cluster") == F.col("y.cluster")) & (F.col("x.block") <= F.col("y.block")) & ~one & reach)
+    tasks = x.join(y, (F.col("x.cluster") == F.col("y.cluster")) & (F.col("x.q") == F.col("y.block")) & ~one & reach)
     tasks = checkpointed(tasks.select("x.cluster", F.col("x.block").alias("p"), F.col("y.block").alias("q")))
-    tasks = tasks.repartition(max(1, math.ceil(tasks.count() / PAIRS_PER_TASK)))
-    loads = checkpointed(placed.join(texts.withColumnRenamed("id", "rep"), "rep").groupBy("cluster", "block").agg(F.collect_list(F.struct("rep", "root", "text")).alias("docs")))
+    loads = checkpointed(placed.join(texts.withColumnRenamed("id", "rep"), "rep").groupBy("cluster", "block").agg(F.collect_list(F.struct("rep", "root", "sig", "text")).alias("docs")))
     both = tasks.join(loads.select("cluster", F.col("block").alias("p"), F.col("docs").alias("mine")), ["cluster", "p"]).join(loads.select("cluster", F.col("block").alias("q"), F.col("docs").alias("theirs")), ["cluster", "q"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -274,11 +314,13 @@ def _hot_links(hot: DataFrame, texts: DataFrame, words: int, percent: int) -> Da
                 sides = []
                 for name in ("mine", "theirs"):
                     docs = batch.column(name)[k].as_py()
-                    sides.append(([shingles(d["text"]) for d in docs], np.array([d["rep"] for d in docs]), np.array([d["root"] for d in docs])))
-                (xs, xi, xr), (ys, yi, yr) = sides
+                    sig = np.frombuffer(b"".join(d["sig"] for d in docs), np.uint16).reshape(len(docs), SLOTS)
+                    sides.append(([shingles(d["text"]) for d in docs], np.array([d["rep"] for d in docs]), np.array([d["root"] for d in docs]), sig))
+                (xs, xi, xr, xg), (ys, yi, yr, yg) = sides
                 nx, ny = np.array([len(v) for v in xs]), np.array([len(v) for v in ys])
                 common = _common(xs, ys)
-                i, j = np.nonzero((100 * common >= percent * (nx[:, None] + ny - common)) & (xr[:, None] != yr))
+                close = (xg[:, None, :] != yg).sum(axis=2) <= SCREEN
+                i, j = np.nonzero(close & (100 * common >= percent * (nx[:, None] + ny - common)) & (xr[:, None] != yr))
                 if len(i):
                     _, keep = np.unique(np.stack([xr[i], yr[j]]), axis=1, return_index=True)
                     yield pa.RecordBatch.from_arrays([pa.array(xi[i[keep]]), pa.array(yi[j[keep]])], names=["a", "b"])
@@ -319,6 +361,9 @@ def _wanted_texts(slim: DataFrame, wanted: DataFrame, told: DataFrame) -> DataFr
 
 
 def drop_near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
-    """The rows that stay, with all their columns: each component's smallest key (and its repeated rows, null keys too)."""
+    """The rows that stay, with all their columns: each component's smallest key (and its repeated rows, null keys too).
+
+    Nulls, ties, long texts and empty tables as in near_groups; no column of ``docs`` is touched, whatever its name.
+    """
     gone = near_groups(docs, key, text, words, percent).filter("not kept").select(F.col(key)).distinct()
     return docs.join(gone, key, "left_anti")
