@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 #: The template, fixed: "### <role>: <text></turn>\n". Inside a text or role these are written as below.
 ESCAPES = {"\\": "\\\\", "#": "\\h", "<": "\\l", ":": "\\c"}
 _IN_TEXT, _IN_ROLE = re.compile(r"[\\#<]"), re.compile(r"[\\#<:]")
@@ -64,6 +66,7 @@ def format_conversations(turns: DataFrame, conv: str = "conv_id", turn: str = "t
     ignored. Texts of any length stay whole. An example holds its context, so a conversation is the unit of work,
     as it is of the output; conversations are spread by key.
     """
+    small_batches(turns.sparkSession)
     kind = dict(turns.dtypes)[conv]
     whole = turns.groupBy(F.col(conv).cast("string").alias("conv_id")).agg(
         F.sort_array(F.collect_list(F.struct(F.col(turn).alias("t"), F.coalesce(F.col(role), F.lit("")).alias("r"), F.coalesce(F.col(text), F.lit("")).alias("x")))).alias("turns")

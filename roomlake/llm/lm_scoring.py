@@ -332,7 +332,11 @@ MAX_BROADCAST_KEYS = 2_000_000
 
 
 def mark_targets(docs: DataFrame, keys: DataFrame, key: str = "doc_id") -> DataFrame:
-    """``docs`` with is_target: whether the key is among ``keys``; few keys by broadcast, many by sort-merge."""
+    """``docs`` with is_target: whether the key is among ``keys``; few keys by broadcast, many by sort-merge.
+
+    A column named is_target is replaced; a null key is no target; all rows are kept.
+    """
+    docs = docs.drop(*[c for c in docs.columns if c.lower() == "is_target"])
     listed = checkpointed(keys.select(key).filter(F.col(key).isNotNull()).distinct())
     few = listed.count() <= MAX_BROADCAST_KEYS
     marked = listed.withColumn("is_target", F.lit(True))

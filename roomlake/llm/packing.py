@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, numbered, small_batches
+from .common import checkpointed, fresh, numbered, small_batches
 from .word_bpe import word_bpe
 
 #: Characters that are encoded in one go, so that a worker's memory doesn't follow the batch.
@@ -121,8 +121,11 @@ def place_pieces(pieces: DataFrame, capacity: int = 2048, tie: tuple[str, ...] =
 
     Only the histogram of lengths (capacity rows at most) comes to the driver. Pieces of a length
     are numbered across tasks, and a number's pattern, window and slot follow by arithmetic.
-    ``pieces`` must be cheap to read twice.
+    ``pieces`` must be cheap to read twice. All its columns are kept but those named sequence_id or offset, which are replaced.
+    An empty table gives no rows.
     """
+    pieces = pieces.drop(*[c for c in pieces.columns if c.lower() in ("sequence_id", "offset")])
+    (rank,) = fresh(pieces, "_rank")
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     if counts and not 1 <= min(counts) <= max(counts) <= capacity:
         raise ValueError("a piece must have 1 to capacity tokens")
@@ -140,15 +143,15 @@ def place_pieces(pieces: DataFrame, capacity: int = 2048, tie: tuple[str, ...] =
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            length, rank = f["length"].to_numpy(np.int64), f.pop("_rank").to_numpy(np.int64)
-            k = np.searchsorted(starts, length * (1 << 48) + rank, side="right") - 1
-            nth = rank - table[k, 1]
+            length, place = f["length"].to_numpy(np.int64), f.pop(rank).to_numpy(np.int64)
+            k = np.searchsorted(starts, length * (1 << 48) + place, side="right") - 1
+            nth = place - table[k, 1]
             f["sequence_id"] = table[k, 3] + nth // table[k, 2]
             f["offset"] = table[k, 4] + nth % table[k, 2] * length
             yield f
 
-    ranked = numbered(pieces, ["length"], list(tie), "_rank")
-    kept = ranked.drop("_rank")
+    ranked = numbered(pieces, ["length"], list(tie), rank)
+    kept = ranked.drop(rank)
     schema = ", ".join(f"`{n}` {t}" for n, t in [*kept.dtypes, ("sequence_id", "bigint"), ("offset", "bigint")])
     return ranked.mapInPandas(run, schema)
 

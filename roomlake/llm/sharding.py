@@ -34,7 +34,7 @@ def shard_documents(
     mean weight). Only key and shard count decide, so rows of one key (a hot key, repeated rows,
     a null key, which counts as the text "null") share a shard by law; they still get slots of
     their own and are numbered by many tasks. Null text counts as empty; an empty table gives no
-    rows; other columns are ignored, whatever their names. No text is shuffled.
+    rows; other columns are ignored, whatever their names. Texts of any length are hashed whole; none is shuffled.
     """
     if not weights or min(weights) < 0 or max(weights) <= 0:
         raise ValueError("weights must be non-negative, one at least positive")
