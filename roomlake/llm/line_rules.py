@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import fresh
+
 #: Fixed values of the rules.
 SYMBOLS = "#*$%&|<>"
 TERMINAL = [".", "!", "?", "…", ":", ";", '"', "'", "”", "»", ")", "]", "}"]
@@ -26,6 +30,19 @@ MAX_REPEAT_PERCENT = 50
 _SPACES = r"[\x20\x09-\x0D]+"
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with the value worked out once, also where a filter on the result is pushed below its projection."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _windows(words: Column) -> Column:
+    """Hashes of all windows of three words."""
+    n = F.size(words)
+    return F.when(n >= 3, F.transform(
+        F.sequence(F.lit(1), n - 2), lambda i: F.xxhash64(F.element_at(words, i), F.element_at(words, i + 1), F.element_at(words, i + 2))
+    )).otherwise(F.array().cast("array<bigint>"))
+
+
 def _repeats(h: Column) -> Column:
     """Words covered by windows whose hash occurs twice or more: sort the hashes, then measure the union of windows."""
     ranked = F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
@@ -35,10 +52,11 @@ def _repeats(h: Column) -> Column:
         mine = F.transform(s, lambda x, k: F.when((x["h"] == F.get(s, k - 1)["h"]) | (x["h"] == F.get(s, k + 1)["h"]), x["i"]))
         return F.sort_array(F.array_compact(mine))
 
-    at = F.transform(F.array(ranked), marked)
-    width = F.transform(at, lambda p: F.aggregate(
-        F.transform(p, lambda x, j: F.least(F.coalesce(F.get(p, j + 1) - x, F.lit(3)), F.lit(3))), F.lit(0), lambda a, b: a + b))
-    return F.when(F.size(F.array_distinct(h)) == F.size(h), 0).otherwise(F.get(width, F.lit(0)))
+    def width(p: Column) -> Column:
+        steps = F.transform(p, lambda x, j: F.least(F.coalesce(F.get(p, j + 1) - x, F.lit(3)), F.lit(3)))
+        return F.aggregate(steps, F.lit(0), lambda a, b: a + b)
+
+    return F.when(F.size(F.array_distinct(h)) == F.size(h), 0).otherwise(_let(_let(ranked, marked), width))
 
 
 def line_verdicts(lines: Column) -> Column:
@@ -62,14 +80,15 @@ def line_verdicts(lines: Column) -> Column:
     return F.transform(lines, judge)
 
 
-def with_lines(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Adds _text, _lines (line and its words) and _verdicts."""
-    body = docs.withColumn("_text", F.coalesce(F.col(text), F.lit("")))
-    parted = body.withColumn("_lines", F.transform(
-        F.split("_text", "\n"),
-        lambda l: F.struct(l.alias("line"), F.filter(F.split(l, _SPACES), lambda w: w != "").alias("words")),
-    ))
-    return parted.withColumn("_verdicts", line_verdicts(F.col("_lines")))
+def parted(text: Column) -> Column:
+    """Array of (line, words) structs."""
+    return F.transform(
+        F.split(text, "\n"), lambda l: F.struct(l.alias("line"), F.filter(F.split(l, _SPACES), lambda w: w != "").alias("words"))
+    )
+
+
+def _lost(verdicts: Column) -> Column:
+    return F.aggregate(verdicts, F.lit(0), lambda a, v: a + F.when(v["fails"], v["n"]).otherwise(0))
 
 
 def line_first_clean(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -81,13 +100,20 @@ def line_first_clean(docs: DataFrame, text: str = "text") -> DataFrame:
     length are judged whole. All columns of the input are kept but those named cleaned or lost_percent, which are replaced.
     """
     made = ("cleaned", "lost_percent")
-    judged = with_lines(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(text).alias("_raw")), "_raw")
-    pairs = F.arrays_zip(F.col("_lines.line").alias("line"), F.col("_verdicts.fails").alias("fails"))
-    words = F.aggregate("_verdicts", F.lit(0), lambda a, v: a + v["n"])
-    lost = F.aggregate("_verdicts", F.lit(0), lambda a, v: a + F.when(v["fails"], v["n"]).otherwise(0))
-    cleaned = F.array_join(F.transform(F.filter(pairs, lambda p: ~p["fails"]), lambda p: p["line"]), "\n")
-    own = [F.col("_row").getField(c).alias(c) for c in docs.columns if c.lower() not in made]
-    return judged.select(*own, cleaned.alias("cleaned"), (100.0 * lost / F.greatest(words, F.lit(1))).alias("lost_percent"))
+
+    def judge(lines: Column, verdicts: Column) -> Column:
+        kept = F.filter(F.arrays_zip(lines["line"].alias("line"), verdicts["fails"].alias("fails")), lambda p: ~p["fails"])
+        words = F.aggregate(verdicts, F.lit(0), lambda a, v: a + v["n"])
+        return F.struct(
+            F.array_join(F.transform(kept, lambda p: p["line"]), "\n").alias("cleaned"),
+            (100.0 * _lost(verdicts) / F.greatest(words, F.lit(1))).alias("lost_percent"),
+        )
+
+    (found,) = fresh(docs, "_found")
+    body = F.coalesce(F.col(text), F.lit(""))
+    judged = docs.withColumn(found, _let(parted(body), lambda lines: _let(line_verdicts(lines), lambda v: judge(lines, v))))
+    own = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in made]
+    return judged.select(*own, F.col(found)["cleaned"].alias("cleaned"), F.col(found)["lost_percent"].alias("lost_percent"))
 
 
 def line_first_report(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -99,23 +125,21 @@ def line_first_report(docs: DataFrame, key: str = "doc_id", text: str = "text")
     at a time. Nothing is shuffled. Three-word
     windows are compared by a 64-bit hash.
     """
-    judged = with_lines(docs.select(F.col(key).alias("_key"), F.col(text).alias("_raw")), "_raw")
-    counted = judged.select(
-        F.col("_key"), "_text",
-        F.flatten("_lines.words").alias("_words"),
-        F.transform(F.filter("_lines", lambda x: F.size(x["words"]) > 0), lambda x: x["line"]).alias("_full"),
-        F.aggregate("_verdicts", F.lit(0), lambda a, v: a + F.when(v["fails"], v["n"]).otherwise(0)).alias("_lost"),
-    )
-    n = F.size("_words")
-    windows = F.when(n >= 3, F.transform(
-        F.sequence(F.lit(1), n - 2), lambda i: F.xxhash64(F.element_at("_words", i), F.element_at("_words", i + 1), F.element_at("_words", i + 2))
-    )).otherwise(F.array().cast("array<bigint>"))
-    shown = counted.withColumn("_h", windows).select(
-        F.col("_key").alias(key), n.cast("long").alias("n_words"),
+    def measure(lines: Column) -> Column:
+        full = F.transform(F.filter(lines, lambda x: F.size(x["words"]) > 0), lambda x: x["line"])
+        return F.struct(
+            _let(F.flatten(lines["words"]), lambda w: F.struct(F.size(w).alias("n"), _let(_windows(w), _repeats).alias("repeats"))).alias("words"),
+            _let(full, lambda f: F.size(f) - F.size(F.array_distinct(f))).alias("dup"),
+            _lost(line_verdicts(lines)).alias("lost"),
+        )
+
+    slim = docs.select(F.col(key).alias("_key"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
+    shown = slim.withColumn("_found", _let(parted(F.col("_text")), measure)).select(
+        F.col("_key").alias(key), F.col("_found.words.n").cast("long").alias("n_words"),
         F.length(F.translate("_text", " \t\n\x0b\x0c\r", "")).cast("long").alias("word_chars"),
         (F.length("_text") - F.length(F.translate("_text", SYMBOLS, ""))).cast("long").alias("n_symbols"),
-        (F.size("_full") - F.size(F.array_distinct("_full"))).cast("long").alias("n_dup_lines"),
-        _repeats(F.col("_h")).cast("long").alias("n_repeat_words"), F.col("_lost").cast("long").alias("_lost"),
+        F.col("_found.dup").cast("long").alias("n_dup_lines"), F.col("_found.words.repeats").cast("long").alias("n_repeat_words"),
+        F.col("_found.lost").cast("long").alias("_lost"),
     )
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     return shown.withColumn("base_failed", failed).withColumn(
