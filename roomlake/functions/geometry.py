@@ -13,14 +13,19 @@ def overlap(lo_a: Column, hi_a: Column, lo_b: Column, hi_b: Column) -> Column:
     return F.greatest(F.least(hi_a, hi_b) - F.greatest(lo_a, lo_b), F.lit(0.0))
 
 
-def box_iou(a: str, b: str) -> Column:
-    """Intersection over union of XYXY boxes held by aliases ``a`` and ``b``."""
-    c = lambda t, n: F.col(f"{t}.{n}")
-    inter = overlap(c(a, "x1"), c(a, "x2"), c(b, "x1"), c(b, "x2")) * overlap(c(a, "y1"), c(a, "y2"), c(b, "y1"), c(b, "y2"))
-    area = lambda t: F.greatest(c(t, "x2") - c(t, "x1"), F.lit(0.0)) * F.greatest(c(t, "y2") - c(t, "y1"), F.lit(0.0))
+def iou_of(a: Column | dict[str, Column], b: Column | dict[str, Column]) -> Column:
+    """Intersection over union of two XYXY boxes, each a struct (or columns by name) x1, y1, x2, y2."""
+    inter = overlap(a["x1"], a["x2"], b["x1"], b["x2"]) * overlap(a["y1"], a["y2"], b["y1"], b["y2"])
+    area = lambda t: F.greatest(t["x2"] - t["x1"], F.lit(0.0)) * F.greatest(t["y2"] - t["y1"], F.lit(0.0))
     return inter / F.greatest(area(a) + area(b) - inter, F.lit(1e-9))
 
 
+def box_iou(a: str, b: str) -> Column:
+    """Intersection over union of the XYXY boxes of rows with aliases ``a`` and ``b``."""
+    side = lambda t: {n: F.col(f"{t}.{n}") for n in ("x1", "y1", "x2", "y2")}
+    return iou_of(side(a), side(b))
+
+
 def norm(*xs: Column) -> Column:
     return F.sqrt(sum((x * x for x in xs[1:]), xs[0] * xs[0]))
 

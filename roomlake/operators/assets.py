@@ -12,8 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geometry import norm
-from .greedy import first_fit_fold, rank_items
-from .room import prefab_kind
+from .greedy import first_fit_by, first_fit_fold, rank_items
+from .room import grid_shape, prefab_kind
 from .sampling import linspace_sample
 
 
@@ -22,15 +22,12 @@ def size_groups(placed: DataFrame, group: list[str], tolerance: float = 0.15) ->
 
     Axes are not sorted: a swapped footprint would show the shared asset turned.
     """
-    ranked = rank_items(placed, group, [F.desc(F.col("w") * F.col("h") * F.col("d")), F.asc("inst_id")])
-    p, q = ranked.alias("p"), ranked.alias("q")
-    on = F.col("p.rank") < F.col("q.rank")
-    for g in group:
-        on = on & (F.col(f"p.{g}") == F.col(f"q.{g}"))
-    for c in "whd":
-        on = on & (F.abs(F.col(f"q.{c}") - F.col(f"p.{c}")) / F.greatest(F.col(f"p.{c}"), F.lit(1e-6)) <= tolerance)
-    accepts = p.join(q, on).select(*[F.col(f"p.{g}").alias(g) for g in group], F.col("p.inst_id").alias("earlier"), F.col("q.inst_id").alias("later"))
-    return first_fit_fold(ranked, accepts, group, "inst_id", seed_only=True)
+    alike = lambda a, b: (
+        (F.abs(b["w"] - a["w"]) / F.greatest(a["w"], F.lit(1e-6)) <= tolerance) & (F.abs(b["h"] - a["h"]) / F.greatest(a["h"], F.lit(1e-6)) <= tolerance)
+        & (F.abs(b["d"] - a["d"]) / F.greatest(a["d"], F.lit(1e-6)) <= tolerance)
+    )
+    order = [-(F.col("w") * F.col("h") * F.col("d")), F.col("inst_id")]
+    return first_fit_by(placed, group, order, "inst_id", ["w", "h", "d"], alike).select(*group, "inst_id", "seed", "cluster")
 
 
 def visual_groups(coarse: DataFrame, similar: DataFrame, group: list[str], least: float = 0.90) -> DataFrame:
@@ -102,7 +99,7 @@ def raw_scan(points: DataFrame, most: int = 300_000) -> DataFrame:
     finite = points.filter(~F.isnan("x") & ~F.isnan("y") & ~F.isnan("z") & (F.abs("x") < 1e30) & (F.abs("y") < 1e30) & (F.abs("z") < 1e30))
     top = finite.groupBy("scene").agg(F.max(F.greatest("r", "g", "b")).alias("top"))
     byte = lambda k: F.floor(F.least(F.greatest(F.col(k) * F.when(F.col("top") <= 1.5, 255.0).otherwise(1.0), F.lit(0.0)), F.lit(255.0))).alias(k)
-    return linspace_sample(finite, ["scene"], ["pid"], most).join(top, "scene").select("scene", "pid", "x", "y", "z", byte("r"), byte("g"), byte("b"))
+    return linspace_sample(finite, ["scene"], ["pid"], most, wide=True).join(top, "scene").select("scene", "pid", "x", "y", "z", byte("r"), byte("g"), byte("b"))
 
 
 FIT_SCHEMA = "inst_id long, reason string, score double, agreement double, yaw_degrees double, sx double, sy double, sz double, tx double, tz double"
@@ -209,7 +206,7 @@ def level_rotations(points: DataFrame, ups: DataFrame, tries: int = 400, least:
     from .sampling import stride_sample
 
     band = tall.join(q, "scene").filter(F.col("hgt") <= F.col("q")[1])
-    thin = stride_sample(band, ["scene"], ["pid"], most).select("scene", "x", "y", "z", "ux", "uy", "uz", "trusted", (0.02 * F.greatest(F.col("q")[2] - F.col("q")[0], F.lit(1e-6))).alias("eps"))
+    thin = stride_sample(band, ["scene"], ["pid"], most, wide=True).select("scene", "x", "y", "z", "ux", "uy", "uz", "trusted", (0.02 * F.greatest(F.col("q")[2] - F.col("q")[0], F.lit(1e-6))).alias("eps"))
 
     def run(f: pd.DataFrame) -> pd.DataFrame:
         p, up, eps = f[["x", "y", "z"]].to_numpy(), f[["ux", "uy", "uz"]].to_numpy()[0], f["eps"].iloc[0]
@@ -247,6 +244,19 @@ def box_corners(boxes: DataFrame, keys: list[str]) -> DataFrame:
     return rows.select(*keys, "k.corner", (F.col("cx3") + F.col("c") * F.col("dx") + F.col("s") * F.col("dz")).alias("x"), (F.col("cy3") + F.col("k.b") * F.col("sy")).alias("y"), (F.col("cz3") - F.col("s") * F.col("dx") + F.col("c") * F.col("dz")).alias("z"))
 
 
+#: Corner numbers of a box's twelve edges, by bit: a pair differs in one of the three axes.
+EDGES = [(k, k | 1 << bit) for bit in range(3) for k in range(8) if not k >> bit & 1]
+
+
+def box_edges(boxes: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, edge, x0, y0, z0, x1, y1, z1): the twelve edges of each box of box_corners, as its wire frame."""
+    corners = box_corners(boxes, keys)
+    by = corners.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("corner", F.struct("x", "y", "z")))).alias("at"))  # eight a box
+    pairs = F.array(*[F.struct(F.lit(k).cast("long").alias("edge"), F.lit(a).cast("long").alias("a"), F.lit(b).cast("long").alias("b")) for k, (a, b) in enumerate(EDGES)])
+    rows = by.withColumn("e", F.explode(pairs)).select(*keys, "e.edge", F.col("at")[F.col("e.a")].alias("p"), F.col("at")[F.col("e.b")].alias("q"))
+    return rows.select(*keys, "edge", *[F.col(f"p.{c}").alias(f"{c}0") for c in "xyz"], *[F.col(f"q.{c}").alias(f"{c}1") for c in "xyz"])
+
+
 def label_palette(labels: DataFrame, group: list[str], colors: int = 10) -> DataFrame:
     """(group, label, color): index into a palette by sorted label."""
     from pyspark.sql.window import Window
@@ -360,6 +370,34 @@ def wall_patches(rects: DataFrame, walls: DataFrame, gap: float = 0.01, thicknes
     )
 
 
+def horizontal_patches(rects: DataFrame, rooms: DataFrame, gap: float = 0.01, thickness: float = 0.02) -> DataFrame:
+    """(scene, surface, x, y, z, dx, dz): centre and size of a thin box for each rectangle of filled floor or ceiling cells (y0, y1 along z, u0, u1 along x), just outside the room."""
+    shaped = grid_shape(rooms)
+    r = rects.join(shaped, "scene")
+    sx, sz = (F.col("xmax") - F.col("xmin")) / F.col("nx"), (F.col("zmax") - F.col("zmin")) / F.col("nz")
+    out = F.when(F.col("surface") == "floor", F.lit(-(gap + thickness / 2))).otherwise(F.col("height") + (gap + thickness / 2))
+    return r.select(
+        "scene", "surface", (F.col("xmin") + (F.col("u0") + F.col("u1")) / 2 * sx).alias("x"), out.alias("y"), (F.col("zmin") + (F.col("y0") + F.col("y1")) / 2 * sz).alias("z"),
+        ((F.col("u1") - F.col("u0")) * sx).alias("dx"), ((F.col("y1") - F.col("y0")) * sz).alias("dz"),
+    )
+
+
+def colored_patches(cells: DataFrame, rooms: DataFrame, gap: float = 0.01) -> DataFrame:
+    """(scene, surface, iz, ix, corner, x, y, z, r, g, b): the four corners of a coloured quad for each filled cell (surface, iz, ix, r, g, b).
+
+    Corners go round so that the floor is seen from above and the ceiling from below.
+    """
+    r = cells.join(grid_shape(rooms), "scene")
+    floor = F.col("surface") == "floor"
+    steps = [(0, 0), (1, 0), (1, 1), (0, 1)]
+    corner = lambda order: F.array(*[F.struct(F.lit(k).cast("long").alias("corner"), F.lit(steps[i][0]).alias("a"), F.lit(steps[i][1]).alias("b")) for k, i in enumerate(order)])
+    rows = r.withColumn("q", F.explode(F.when(floor, corner([0, 3, 2, 1])).otherwise(corner([0, 1, 2, 3]))))
+    return rows.select(
+        "scene", "surface", "iz", "ix", "q.corner", (F.col("xmin") + (F.col("ix") + F.col("q.a")) / F.col("nx") * (F.col("xmax") - F.col("xmin"))).alias("x"),
+        F.when(floor, F.lit(-gap)).otherwise(F.col("height") + gap).alias("y"), (F.col("zmin") + (F.col("iz") + F.col("q.b")) / F.col("nz") * (F.col("zmax") - F.col("zmin"))).alias("z"), "r", "g", "b",
+    )
+
+
 def photo_texture(vertices: DataFrame, width: int, height: int, least: float = 0.6) -> DataFrame:
     """(mesh_id, vid, tu, tv): texture coordinates of meshes whose photo sees enough vertices (pu, pv, seen)."""
     share = vertices.groupBy("mesh_id").agg(F.avg(F.col("seen").cast("double")).alias("share")).filter(F.col("share") >= least)

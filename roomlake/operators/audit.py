@@ -64,6 +64,28 @@ def planarity(points: DataFrame, keys: list[str], least: int = 30) -> DataFrame:
     return cov.mapInPandas(run, ", ".join(f"{k} {types[k]}" for k in keys) + ", planarity double, normal_y double")
 
 
+def evidence(seen: DataFrame, overlap: DataFrame, steady: DataFrame, flat: DataFrame, reflected: DataFrame | None = None, agreement: DataFrame | None = None) -> DataFrame:
+    """What audit needs, one row an instance of ``seen`` (inst_id, label, frames, floor_gap, ...), joined from its sources.
+
+    overlap: median_pair_overlap; steady: stability; flat: planarity by inst_id; reflected: inst_id, hits, inside (from
+    reflector_ratios); agreement: reprojection_agreement. What an instance lacks counts as 0, but an unknown agreement stays null.
+    """
+    rows = seen.join(overlap, "inst_id", "left").join(steady, "inst_id", "left").join(flat, "inst_id", "left")
+    rows = rows.join(reflected, "inst_id", "left") if reflected is not None else rows.withColumns({"hits": F.lit(0).cast("long"), "inside": F.lit(0.0)})
+    rows = rows.join(agreement.withColumnRenamed("agreement", "reprojection"), "inst_id", "left") if agreement is not None else rows.withColumn("reprojection", F.lit(None).cast("double"))
+    return rows.fillna(0.0, ["overlap", "centre", "extent", "planarity", "normal_y", "inside"]).fillna(0, ["hits"])
+
+
+def reflector_ratios(contained: DataFrame, members: DataFrame) -> DataFrame:
+    """(inst_id, hits, inside): frames in which an instance's mask is 0.70 or more inside a reflector; median of its ratios of 0.50 or more.
+
+    contained: det_id, ratio (reflector_containment); members: inst_id, det_id, frame.
+    """
+    rows = members.join(contained, "det_id")
+    hits = F.countDistinct(F.when(F.col("ratio") >= 0.70, F.col("frame")))
+    return rows.groupBy("inst_id").agg(hits.alias("hits"), F.coalesce(F.median(F.when(F.col("ratio") >= 0.50, F.col("ratio"))), F.lit(0.0)).alias("inside"))
+
+
 def audit(evidence: DataFrame, places: int = 3) -> DataFrame:
     """Evidence with geometry, reflection and status.
 

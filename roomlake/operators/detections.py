@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.geometry import box_iou
-from ..functions.labels import REFLECTORS, has_word
-from .greedy import keep_fold, rank_items
+from ..functions.geometry import box_iou, iou_of
+from ..functions.labels import OPENINGS, REFLECTORS, has_word
+from .greedy import keep_by, rank_items
 
 NMS_IOU, DISTINCT_IOU, INSIDE_RATIO = 0.70, 0.15, 0.5
 
@@ -27,9 +27,15 @@ def iou_pairs(dets: DataFrame, least: float) -> DataFrame:
     return pairs.select("a.frame", "a.label", F.col("a.det_id").alias("earlier"), F.col("b.det_id").alias("later"), "iou")
 
 
+def _suppressed(dets: DataFrame, least: float) -> DataFrame:
+    """The rows that suppression keeps, with all their columns: one shuffle by (frame, label), the fold inside its aggregate."""
+    fields = [c for c in dets.columns if c not in ("frame", "label")]
+    return keep_by(dets, ["frame", "label"], [-F.col("score"), F.col("det_id")], fields, lambda a, b: iou_of(a, b) >= least)
+
+
 def suppress_overlapping(dets: DataFrame, least: float = NMS_IOU) -> DataFrame:
-    """Non-maximum suppression: (frame, label, det_id) of the boxes that stay."""
-    return keep_fold(score_ranked(dets), iou_pairs(dets, least), ["frame", "label"], "det_id")
+    """Non-maximum suppression: (frame, label, det_id) of the boxes that stay, best score first, then detection order."""
+    return _suppressed(dets.select("frame", "label", "det_id", "score", "x1", "y1", "x2", "y2"), least).select("frame", "label", "det_id")
 
 
 def cannot_link_pairs(dets: DataFrame) -> DataFrame:
@@ -72,13 +78,48 @@ def first_per_frame(dets: DataFrame, n: int = 20) -> DataFrame:
     return dets.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= n)
 
 
-def second_pass_frames(n_frames: int, passes: int = 12) -> list[int]:
-    """Frames that get a second detector pass: every ceil(n / passes)-th and the last."""
-    step = max(1, -(-n_frames // passes))
-    return sorted({*range(0, n_frames, step), n_frames - 1}) if n_frames else []
+def second_pass_frames(frames: DataFrame, passes: int = 12) -> DataFrame:
+    """(video, frame) that get a second detector pass: every ceil(n / passes)-th frame of a video's n, and the last.
+
+    frames: video, frame, numbered from 0 without gaps.
+    """
+    n = frames.groupBy("video").agg((F.max("frame") + 1).alias("n"))
+    step = F.greatest(F.ceil(F.col("n") / F.lit(float(passes))), F.lit(1))
+    return frames.join(n, "video").filter((F.col("frame") % step == 0) | (F.col("frame") == F.col("n") - 1)).select("video", "frame")
+
+
+def second_pass_missing(found: DataFrame, frames: DataFrame, planar: list[str], threshold: float) -> DataFrame:
+    """(frame, label, threshold): planar labels that the first pass missed in the frames of the second, and the lower bar for them."""
+    wanted = frames.select("frame").withColumn("label", F.explode(F.array(*[F.lit(x) for x in planar])))
+    return wanted.join(found.select("frame", "label").distinct(), ["frame", "label"], "left_anti").withColumn("threshold", F.lit(max(0.18, threshold - 0.08)))
 
 
 def merge_passes(first: DataFrame, second: DataFrame) -> DataFrame:
     """Concatenate two detector passes and suppress overlaps across them."""
-    both = first.unionByName(second)
-    return both.join(suppress_overlapping(both), ["frame", "label", "det_id"], "left_semi")
+    return _suppressed(first.unionByName(second), NMS_IOU)
+
+
+def mask_gate(dets: DataFrame, least_pixels: int = 16, least_iou: float = 0.5, most: int = 20) -> DataFrame:
+    """The first ``most`` detections of each frame with has_mask: enough pixels and a good enough estimate of the mask's own quality.
+
+    dets: frame, det_id, mask_pixels, mask_iou (null where there is no mask).
+    """
+    good = F.coalesce((F.col("mask_iou") >= least_iou) & (F.col("mask_pixels") >= least_pixels), F.lit(False))
+    return first_per_frame(dets, most).drop("rn").withColumn("has_mask", good)
+
+
+def admitted(dets: DataFrame, mask_pixels: DataFrame, good_pixels: DataFrame, least: int = 30) -> DataFrame:
+    """(frame, det_id, n_good): detections that become observations: with a mask, not an opening, enough good pixels under the mask.
+
+    mask_pixels: frame, det_id, u, v; good_pixels: frame, u, v. The mask meets the good pixels by pixel, counts are partial aggregates.
+    """
+    solid = dets.filter(~has_word(F.col("label"), OPENINGS)).select("frame", "det_id")
+    held = mask_pixels.join(good_pixels.select("frame", "u", "v"), ["frame", "u", "v"]).groupBy("frame", "det_id").agg(F.count(F.lit(1)).alias("n_good"))
+    return held.filter(F.col("n_good") >= least).join(solid, ["frame", "det_id"])
+
+
+def status_lines(dets3d: DataFrame, group: list[str]) -> DataFrame:
+    """(group, place, line): a scene's detected objects, best score first, as lines of its status text."""
+    place = F.row_number().over(Window.partitionBy(*group).orderBy(F.desc("score"), F.asc("det_id"))).cast("long")
+    rows = dets3d.withColumn("place", place)
+    return rows.select(*group, "place", F.format_string("**%d. %s** (%d%%)", F.col("place"), F.upper("label"), F.rint(F.col("score") * 100).cast("long")).alias("line"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.geometry import box_iou, norm, overlap
-from .greedy import first_fit_fold, rank_items
+from .greedy import first_fit_by, first_fit_fold, rank_items
 
 AXES = ("x", "y", "z")
 
@@ -136,6 +136,24 @@ def cloud_support(points: DataFrame, pairs: DataFrame, scales: DataFrame, ratio:
     return both.select("earlier", "later", F.greatest("sa", "sb").alias("support_max"), F.sqrt(F.col("sa") * F.col("sb")).alias("support_mean"))
 
 
+def mesh_support(points: DataFrame, surface: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(mesh_id, support): share of an instance's points with a surface sample within max(0.025, 0.06 of its diagonal).
+
+    points: mesh_id, pid, x, y, z; surface: mesh_id, x, y, z, sampled from its mesh; sizes: mesh_id, diag. As in cloud_support only the
+    existence of a neighbour matters: an equi-join on grid cells of the tolerance, the distinct surface cells' points copied to the 27 cells around.
+    """
+    tol = sizes.select("mesh_id", F.greatest(F.lit(0.025), 0.06 * F.col("diag")).alias("tol"))
+    cells = [F.floor(F.col(c) / F.col("tol")).alias(f"k{c}") for c in AXES]
+    a = points.join(tol, "mesh_id").select("mesh_id", "pid", "tol", *AXES, *cells)
+    b = surface.join(tol, "mesh_id").select("mesh_id", *[F.col(c).alias(f"{c}b") for c in AXES], *cells)
+    steps = F.array(*[F.struct(F.lit(i).alias("x"), F.lit(j).alias("y"), F.lit(k).alias("z")) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1)])
+    wide = b.withColumn("s", F.explode(steps)).select("mesh_id", *[f"{c}b" for c in AXES], *[(F.col(f"k{c}") + F.col(f"s.{c}")).alias(f"k{c}") for c in AXES])
+    close = norm(*[F.col(c) - F.col(f"{c}b") for c in AXES]) <= F.col("tol")
+    hit = a.join(wide, ["mesh_id", "kx", "ky", "kz"]).filter(close).groupBy("mesh_id").agg(F.countDistinct("pid").alias("k"))
+    total = points.groupBy("mesh_id").agg(F.count(F.lit(1)).alias("n"))
+    return total.join(hit, "mesh_id", "left").select("mesh_id", (F.coalesce("k", F.lit(0)) / F.col("n")).alias("support"))
+
+
 def merge_complete_link(instances: DataFrame, accepts: DataFrame, group: str) -> DataFrame:
     """(group, inst_id, seed, cluster): first-fit grouping in evidence order; all members must accept."""
     ranked = evidence_rank(instances, group)
@@ -148,15 +166,10 @@ def evidence_rank(instances: DataFrame, group: str) -> DataFrame:
 
 def cluster_light(dets3d: DataFrame, group: list[str], distance: float = 0.5) -> DataFrame:
     """Merged detections: each joins the first seed of its label nearer than ``distance``; best score, mean centre, largest size."""
-    ranked = rank_items(dets3d, group, [F.asc("det_id")])
-    p, q = ranked.alias("p"), ranked.alias("q")
-    on = F.col("p.rank") < F.col("q.rank")
-    for g in group:
-        on = on & (F.col(f"p.{g}") == F.col(f"q.{g}"))
-    near = norm(*[F.col(f"p.{c}") - F.col(f"q.{c}") for c in ("cx3", "cy3", "cz3")]) < distance
-    accepts = p.join(q, on).filter(near).select(*[F.col(f"p.{g}").alias(g) for g in group], F.col("p.det_id").alias("earlier"), F.col("q.det_id").alias("later"))
-    found = first_fit_fold(ranked, accepts, group, "det_id", seed_only=True)
-    return dets3d.join(found, [*group, "det_id"]).groupBy(*group, "seed").agg(
+    fields = ["score", "cx3", "cy3", "cz3", "sx", "sy", "sz"]
+    near = lambda a, b: norm(*[a[c] - b[c] for c in ("cx3", "cy3", "cz3")]) < distance
+    found = first_fit_by(dets3d, group, [F.col("det_id")], "det_id", fields, near)
+    return found.groupBy(*group, "seed").agg(
         F.max("score").alias("score"), *[F.avg(c).alias(c) for c in ("cx3", "cy3", "cz3")], *[F.max(c).alias(c) for c in ("sx", "sy", "sz")], F.count(F.lit(1)).alias("n")
     )
 
@@ -187,11 +200,11 @@ def cluster_observations(obs: DataFrame, group: list[str]) -> DataFrame:
                 continue
             label[seed] = seed
             members = [seed]
-            later = np.arange(seed + 1, len(f))
+            later = seed + 1 + np.flatnonzero(label[seed + 1 :] < 0)
             far = np.linalg.norm(at[later] - at[seed], axis=1)
-            for j, d in sorted(zip(later, far), key=lambda x: x[1]):
-                if label[j] >= 0 or d >= 0.6 * max(diag[seed], diag[j], 1e-6):
-                    continue
+            near = far < 0.6 * np.maximum(np.maximum(diag[seed], diag[later]), 1e-6)
+            later, far = later[near], far[near]
+            for j in later[np.argsort(far, kind="stable")]:
                 if all(frame[m] != frame[j] or iou(box[m], box[j]) > 0.15 for m in members):
                     label[j] = seed
                     members.append(j)

@@ -5,12 +5,18 @@ Cameras join on the frame key, so Spark picks broadcast or sort-merge by their s
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import geometry as G
+from .sampling import linspace_sample
 
+#: A scene's points and cameras meet in this many parts at least, whatever the scene's size.
+SCENE_PARTS = 32
+#: Voxels of one slab task.
+SLAB = 65_536
 BIAS_RATIO, BIAS = 0.08, 0.03
 AGREE_RATIO, AGREE = 0.12, 0.08
 
@@ -40,13 +46,41 @@ def visible(sampled: DataFrame) -> DataFrame:
     return sampled.filter((F.col("seen") > 1e-6) & (F.col("pz") <= F.col("seen") * (1 + BIAS_RATIO) + BIAS))
 
 
+def scene_transform(rotation: np.ndarray, shift: np.ndarray) -> np.ndarray:
+    """4 x 4 matrix that takes world points into the first camera's frame, y up and z toward the viewer; from that camera's R (3 x 3) and t."""
+    first = np.eye(4)
+    first[:3, :3], first[:3, 3] = rotation, shift
+    return np.linalg.inv(first) @ np.diag([1.0, -1.0, -1.0, 1.0])
+
+
+def apply_transform(points: DataFrame, matrix: np.ndarray, columns: tuple[str, str, str] = ("x", "y", "z")) -> DataFrame:
+    """Points after a rigid or similarity transform: three linear expressions; chains of transforms are multiplied beforehand."""
+    old = [F.col(c) for c in columns]
+    new = [sum((F.lit(float(matrix[k, j])) * old[j] for j in range(1, 3)), F.lit(float(matrix[k, 0])) * old[0]) + F.lit(float(matrix[k, 3])) for k in range(3)]
+    return points.select(*[c for c in points.columns if c not in columns], *[n.alias(c) for n, c in zip(new, columns)])
+
+
+def mask_points_local(mask_pixels: DataFrame, pixels: DataFrame, cameras: DataFrame, matrix: np.ndarray, most: int = 6000) -> DataFrame:
+    """(det_id, u, v, x, y, z): at most ``most`` evenly spaced pixels of each mask (row by row), as points after ``matrix``.
+
+    mask_pixels: det_id, frame, u, v. Pixels without finite depth go after the choice.
+    """
+    picked = linspace_sample(mask_pixels, ["det_id"], ["v", "u"], most)
+    seen = picked.join(pixels.select("frame", "u", "v", "depth"), ["frame", "u", "v"]).filter(F.col("depth").isNotNull() & ~F.isnan("depth") & (F.abs("depth") < float("inf")))
+    lifted = unproject_pixels(seen, cameras).select("det_id", "u", "v", F.col("wx").alias("x"), F.col("wy").alias("y"), F.col("wz").alias("z"))
+    return apply_transform(lifted, matrix)
+
+
 def best_view_color(points: DataFrame, pixels: DataFrame, cameras: DataFrame, width: int, height: int) -> DataFrame:
     """(pid, frame, r, g, b): colour from the visible frame with the least depth, first frame of ties.
 
-    Every point meets every camera of its scene, by equi-join on scene.
+    Every point meets every camera of its scene. Points are dealt by (scene, part), the cameras, some hundred rows a scene, copied to
+    all SCENE_PARTS parts, so a large scene is no single task.
     """
     pu, pv, pz = G.project(F.col("x"), F.col("y"), F.col("z"))
-    seen = points.select("pid", "scene", "x", "y", "z").join(cameras, "scene").select("pid", "frame", pu.alias("pu"), pv.alias("pv"), pz.alias("pz"))
+    spread = cameras.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(SCENE_PARTS - 1))))
+    rows = points.select("pid", "scene", "x", "y", "z", F.pmod(F.xxhash64("pid"), F.lit(SCENE_PARTS)).cast("int").alias("part"))
+    seen = rows.join(spread, ["scene", "part"]).select("pid", "frame", pu.alias("pu"), pv.alias("pv"), pz.alias("pz"))
     good = visible(sample_depth(seen, pixels, width, height))
     best = good.groupBy("pid").agg(F.min(F.struct("pz", "frame", "pr", "pg", "pb")).alias("m"))
     return best.select("pid", "m.frame", F.col("m.pr").alias("r"), F.col("m.pg").alias("g"), F.col("m.pb").alias("b"))
@@ -121,20 +155,26 @@ def reprojection_agreement(points: DataFrame, observations: DataFrame, mask: Dat
 def integrate_volume(pixels: DataFrame, cameras: DataFrame, lower: tuple[float, ...], upper: tuple[float, ...], dims: tuple[int, ...], trunc: float, bar: float, width: int, height: int) -> DataFrame:
     """(scene, ix, iy, iz, w, tsdf, r, g, b): truncated signed distances of the scene's grid, fused over its frames.
 
-    Voxels are exploded from each scene, each meets its scene's cameras and one pixel of each; sums are partial
+    Each scene's grid is cut into slabs of SLAB voxels, which are dealt out and then exploded, so a large grid is many tasks; the cameras
+    meet the slabs, not the voxels. A voxel takes one pixel of each camera; sums are partial
     aggregates. The sum starts at ``trunc`` with weight 0, as the fusion rule has it; unseen voxels are
     trunc and grey.
     """
     nx, ny, nz = dims
     step = [(b - a) / (n - 1) for a, b, n in zip(lower, upper, dims)]
     at = [F.lit(a) + F.col(c) * F.lit(s) for a, c, s in zip(lower, ("ix", "iy", "iz"), step)]
-    scenes = cameras.select("scene").distinct()
-    cells = scenes.withColumn("id", F.explode(F.sequence(F.lit(0), F.lit(nx * ny * nz - 1)))).select(
-        "scene", F.floor(F.col("id") / (ny * nz)).alias("ix"), (F.floor(F.col("id") / nz) % ny).alias("iy"), (F.col("id") % nz).cast("long").alias("iz")
-    )
+    slabs = cameras.select("scene").distinct().withColumn("slab", F.explode(F.sequence(F.lit(0), F.lit((nx * ny * nz - 1) // SLAB))))
+
+    def voxels(rows: DataFrame, *kept: str) -> DataFrame:
+        last = F.least((F.col("slab") + 1) * SLAB, F.lit(nx * ny * nz)) - 1
+        spread = rows.repartition("scene", "slab").withColumn("id", F.explode(F.sequence(F.col("slab") * SLAB, last)))
+        return spread.select("scene", *kept, F.floor(F.col("id") / (ny * nz)).alias("ix"), (F.floor(F.col("id") / nz) % ny).alias("iy"), (F.col("id") % nz).cast("long").alias("iz"))
+
+    cells = voxels(slabs)
+    views = [c for c in cameras.columns if c != "scene"]
     a, b, c = G.to_camera(*at)
     deep = F.when(c > 0, c).otherwise(F.lit(1.0))
-    seen = cells.join(cameras, "scene").select("scene", "ix", "iy", "iz", "frame", (F.col("fx") * a / deep + F.col("cx")).alias("pu"), (F.col("fy") * b / deep + F.col("cy")).alias("pv"), c.alias("pz"))
+    seen = voxels(slabs.join(cameras, "scene"), *views).select("scene", "ix", "iy", "iz", "frame", (F.col("fx") * a / deep + F.col("cx")).alias("pu"), (F.col("fy") * b / deep + F.col("cy")).alias("pv"), c.alias("pz"))
     hit = seen.filter((F.col("pz") > 0) & F.rint("pu").between(0, width - 1) & F.rint("pv").between(0, height - 1)).withColumns({"u": F.rint("pu").cast("long"), "v": F.rint("pv").cast("long")})
     joined = hit.join(pixels.select("frame", "u", "v", "depth", "conf", "r", "g", "b"), ["frame", "u", "v"])
     sdf = F.col("depth") - F.col("pz")

@@ -241,15 +241,30 @@ def surface_coverage(points: DataFrame, rooms: DataFrame, least: int = 20) -> Da
     return names.join(seen, ["scene", "surface"], "left").select("scene", "surface", F.when(F.col("n") >= least, F.col("k") / 100.0).otherwise(0.0).alias("coverage"))
 
 
+def grid_shape(rooms: DataFrame) -> DataFrame:
+    """Rooms with nx and nz, the cells of their floor and ceiling grids."""
+    count = lambda a, b: F.least(F.greatest(F.ceil((F.col(b) - F.col(a)) / CELL), F.lit(1)), F.lit(MAX_U)).cast("long")
+    return rooms.withColumns({"nx": count("xmin", "xmax"), "nz": count("zmin", "zmax")})
+
+
+def horizontal_planes(rooms: DataFrame) -> DataFrame:
+    """Rooms with their grid shape, once for the floor and once for the ceiling (surface, level)."""
+    levels = F.array(F.struct(F.lit("floor").alias("surface"), F.lit(0.0).alias("level")), F.struct(F.lit("ceiling").alias("surface"), F.col("height").alias("level")))
+    return grid_shape(rooms).withColumn("s", F.explode(levels)).select("*", "s.*").drop("s")
+
+
+def horizontal_cells(points: DataFrame, planes: DataFrame) -> DataFrame:
+    """Points near a floor or ceiling plane and over the room, with their cell iz, ix."""
+    on = (F.abs(F.col("y") - F.col("level")) <= F.greatest(F.lit(0.04), 0.04 * F.greatest("height", F.lit(1e-6)))) & F.col("x").between(F.col("xmin"), F.col("xmax")) & F.col("z").between(F.col("zmin"), F.col("zmax"))
+    cell = lambda v, lo, hi, n: F.least(F.floor((F.col(v) - F.col(lo)) / F.greatest(F.col(hi) - F.col(lo), F.lit(1e-9)) * F.col(n)), F.col(n) - 1)
+    return points.join(planes, "scene").filter(on).withColumns({"ix": cell("x", "xmin", "xmax", "nx"), "iz": cell("z", "zmin", "zmax", "nz")})
+
+
 def horizontal_infill(points: DataFrame, rooms: DataFrame, least: int = 3) -> DataFrame:
     """(scene, surface, iz, ix, support_count, observed, fill): every floor and ceiling cell of 0.2 m; cells with too few points are filled."""
-    count = lambda a, b: F.least(F.greatest(F.ceil((F.col(b) - F.col(a)) / CELL), F.lit(1)), F.lit(MAX_U)).cast("long")
-    shaped = rooms.withColumns({"nx": count("xmin", "xmax"), "nz": count("zmin", "zmax")})
-    planes = shaped.withColumn("s", F.explode(F.array(F.struct(F.lit("floor").alias("surface"), F.lit(0.0).alias("level")), F.struct(F.lit("ceiling").alias("surface"), F.col("height").alias("level"))))).select("*", "s.*").drop("s")
+    planes = horizontal_planes(rooms)
     spine = planes.withColumn("ix", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nx") - 1))).withColumn("iz", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nz") - 1))).select("scene", "surface", "iz", "ix")
-    near = points.join(planes, "scene").filter((F.abs(F.col("y") - F.col("level")) <= F.greatest(F.lit(0.04), 0.04 * F.greatest("height", F.lit(1e-6)))) & F.col("x").between(F.col("xmin"), F.col("xmax")) & F.col("z").between(F.col("zmin"), F.col("zmax")))
-    cell = lambda v, lo, hi, n: F.least(F.floor((F.col(v) - F.col(lo)) / F.greatest(F.col(hi) - F.col(lo), F.lit(1e-9)) * F.col(n)), F.col(n) - 1)
-    seen = near.withColumns({"ix": cell("x", "xmin", "xmax", "nx"), "iz": cell("z", "zmin", "zmax", "nz")}).groupBy("scene", "surface", "iz", "ix").agg(F.count(F.lit(1)).alias("k"))
+    seen = horizontal_cells(points, planes).groupBy("scene", "surface", "iz", "ix").agg(F.count(F.lit(1)).alias("k"))
     rows = spine.join(seen, ["scene", "surface", "iz", "ix"], "left").withColumn("support_count", F.coalesce("k", F.lit(0)).cast("long"))
     return rows.select("scene", "surface", "iz", "ix", "support_count", (F.col("support_count") >= least).alias("observed"), (F.col("support_count") < least).alias("fill"))
 
@@ -283,21 +298,43 @@ def wall_colors(points: DataFrame, rooms: DataFrame, least: int = 2) -> DataFram
     return views.groupBy(*keys).agg(*[F.median(k).alias(k) for k in "rgb"])
 
 
+def horizontal_colors(points: DataFrame, rooms: DataFrame, least: int = 2) -> DataFrame:
+    """(scene, surface, iz, ix, r, g, b) of observed floor and ceiling cells: mean of each frame with enough points, then median over frames."""
+    keys = ["scene", "surface", "iz", "ix"]
+    views = horizontal_cells(points, horizontal_planes(rooms)).groupBy(*keys, "frame").agg(F.count(F.lit(1)).alias("n"), *[F.avg(k).alias(k) for k in "rgb"]).filter(F.col("n") >= least)
+    return views.groupBy(*keys).agg(*[F.median(k).alias(k) for k in "rgb"])
+
+
 def fill_colors(observed: DataFrame, grid: DataFrame, keys: list[str], k: int = 4) -> DataFrame:
     """(keys, iy, iu, observed, r, g, b): cells of the grid with their own colour, or the inverse-square mean of the k nearest observed cells.
 
-    Ties in distance go by row and column. The join pairs cells of one wall only, at most 64 x 96.
+    Ties in distance go by row and column; a grid without an observed cell gives no rows. A grid has at most 96 x 96 cells and is one numpy group; its missing cells meet the observed ones
+    a few hundred at a time, so no pair becomes a row.
     """
-    joined = grid.join(observed.withColumn("seen", F.lit(True)), [*keys, "iy", "iu"], "left")
-    missing = joined.filter("seen is null").select(*keys, "iy", "iu")
-    known = observed.select(*keys, F.col("iy").alias("ky"), F.col("iu").alias("ku"), "r", "g", "b")
-    gap = (F.col("iy") - F.col("ky")) * (F.col("iy") - F.col("ky")) + (F.col("iu") - F.col("ku")) * (F.col("iu") - F.col("ku"))
-    near = missing.join(known, keys).withColumn("d2", gap)
-    rn = F.row_number().over(Window.partitionBy(*keys, "iy", "iu").orderBy("d2", "ky", "ku"))
-    top = near.withColumn("rn", rn).filter(F.col("rn") <= k).withColumn("wt", 1 / F.pow(F.greatest(F.sqrt("d2"), F.lit(0.75)), F.lit(2.0)))
-    made = top.groupBy(*keys, "iy", "iu").agg(*[(F.sum(F.col(c) * F.col("wt")) / F.sum("wt")).alias(c) for c in "rgb"])
-    own = joined.filter("seen").select(*keys, "iy", "iu", F.lit(True).alias("observed"), "r", "g", "b")
-    return own.unionByName(made.withColumn("observed", F.lit(False)))
+    joined = grid.select(*keys, "iy", "iu").join(observed.withColumn("seen", F.lit(True)), [*keys, "iy", "iu"], "left").withColumn("seen", F.coalesce("seen", F.lit(False)))
+
+    def run(f: pd.DataFrame) -> pd.DataFrame:
+        f = f.sort_values(["iy", "iu"], kind="stable").reset_index(drop=True)
+        at, seen, rgb = f[["iy", "iu"]].to_numpy(np.int64), f["seen"].to_numpy(bool), f[["r", "g", "b"]].to_numpy(float)
+        known, missing = np.flatnonzero(seen), np.flatnonzero(~seen)
+        if not len(known):
+            missing = missing[:0]
+        n = min(k, len(known))
+        for a in range(0, len(missing), 512):
+            rows = missing[a : a + 512]
+            d2 = ((at[rows][:, None, :] - at[known]) ** 2).sum(2)
+            order = d2 * len(known) + np.arange(len(known))  # known cells stand in order of row and column
+            near = np.sort(np.argpartition(order, n - 1, axis=1)[:, :n], axis=1)
+            weight = 1 / np.maximum(np.sqrt(np.take_along_axis(d2, near, 1)), 0.75) ** 2
+            rgb[rows] = (rgb[known][near] * weight[..., None]).sum(1) / weight.sum(1, keepdims=True)
+        kept = np.sort(np.concatenate([known, missing]))
+        out = f.loc[kept, [*keys, "iy", "iu"]].copy()
+        out["observed"] = seen[kept]
+        out["r"], out["g"], out["b"] = rgb[kept].T
+        return out
+
+    types = dict(joined.dtypes)
+    return joined.groupBy(*keys).applyInPandas(run, ", ".join(f"{c} {types[c]}" for c in keys) + ", iy long, iu long, observed boolean, r double, g double, b double")
 
 
 def dilate(cells: DataFrame, keys: list[str], shape: tuple[int, int], box: bool, reach: int = 1) -> DataFrame:

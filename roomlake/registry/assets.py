@@ -12,7 +12,7 @@ from .points import fit_sql
 
 
 def _r(*names: str, places: int = 5) -> list:
-    return [F.round(n, places).alias(n) for n in names]
+    return [(F.round(n, places) + 0.0).alias(n) for n in names]
 
 
 def size_groups(spark: SparkSession, sf: str) -> DataFrame:
@@ -33,20 +33,21 @@ def asset_fit(spark: SparkSession, sf: str) -> DataFrame:
 
 def _descriptors(spark: SparkSession, sf: str) -> DataFrame:
     e = F.col("embedding")
-    d = spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", "label", F.transform(e, lambda x: x.cast("double")).alias("v"))
+    d = spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", F.expr("vec_id div 64").alias("scene"), "label", F.transform(e, lambda x: x.cast("double")).alias("v"))
     size = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
     d = d.withColumn("hist", F.transform("v", lambda x: x / size))
     return d.select(
-        F.col("vec_id"), "label", F.when(F.col("vec_id") % 17 != 0, F.col("hist")).alias("hist"), F.transform("v", lambda x, i: F.pmod(F.floor(x * 1000) + i, F.lit(256)).cast("double")).alias("thumb"),
+        F.col("vec_id"), "scene", "label", F.when(F.col("vec_id") % 17 != 0, F.col("hist")).alias("hist"), F.transform("v", lambda x, i: F.pmod(F.floor(x * 1000) + i, F.lit(256)).cast("double")).alias("thumb"),
         F.transform("v", lambda x, i: F.pmod(i + F.floor(F.abs(x) * 10), F.lit(4)) != 0).alias("mask"), F.transform("v", lambda x, i: F.pmod(i, F.lit(5)) == 0).alias("edge"),
     )
 
 
 def _similar(spark: SparkSession, sf: str) -> DataFrame:
+    """Pairs of one label in one scene (64 vectors), as objects are compared inside a size group of their scene."""
     d = _descriptors(spark, sf)
-    a = d.select(F.col("vec_id").alias("a"), "label", *[F.col(c).alias(f"{c}_a") for c in ("hist", "thumb", "mask", "edge")])
-    b = d.select(F.col("vec_id").alias("b"), "label", *[F.col(c).alias(f"{c}_b") for c in ("hist", "thumb", "mask", "edge")])
-    return a.join(b, "label").filter("a < b").select("a", "b", assets.appearance_similarity().alias("similarity"))
+    a = d.select(F.col("vec_id").alias("a"), "scene", "label", *[F.col(c).alias(f"{c}_a") for c in ("hist", "thumb", "mask", "edge")])
+    b = d.select(F.col("vec_id").alias("b"), "scene", "label", *[F.col(c).alias(f"{c}_b") for c in ("hist", "thumb", "mask", "edge")])
+    return a.join(b, ["scene", "label"]).filter("a < b").select("a", "b", assets.appearance_similarity().alias("similarity"))
 
 
 def appearance_similarity(spark: SparkSession, sf: str) -> DataFrame:
@@ -54,9 +55,9 @@ def appearance_similarity(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def visual_groups(spark: SparkSession, sf: str) -> DataFrame:
-    coarse = spark.read.parquet(f"{sf}/embeddings.parquet").select(F.col("label").cast("long").alias("scene"), F.lit(0).cast("long").alias("seed"), F.col("vec_id").alias("inst_id"), F.col("vec_id").alias("ord"))
+    coarse = spark.read.parquet(f"{sf}/embeddings.parquet").select(F.expr("vec_id div 64").cast("long").alias("scene"), F.col("label").cast("long").alias("seed"), F.col("vec_id").alias("inst_id"), F.col("vec_id").alias("ord"))
     rounded = _similar(spark, sf).withColumn("similarity", F.round("similarity", 6))
-    return assets.visual_groups(coarse, rounded, ["scene"], least=0.62).select("scene", "inst_id", F.col("seed").alias("first"), "cluster")
+    return assets.visual_groups(coarse, rounded, ["scene"], least=0.62).select("scene", F.col("coarse").alias("label"), "inst_id", F.col("seed").alias("first"), "cluster")
 
 
 def fit_points_dedupe(spark: SparkSession, sf: str) -> DataFrame:
@@ -87,6 +88,12 @@ def box_corners(spark: SparkSession, sf: str) -> DataFrame:
     return assets.box_corners(boxes, ["inst_id"]).select("inst_id", "corner", *_r("x", "y", "z"))
 
 
+def box_edges(spark: SparkSession, sf: str) -> DataFrame:
+    p = carrier(spark, sf, "placed")
+    boxes = p.select("inst_id", F.col("px").alias("cx3"), F.col("h").alias("cy3"), F.col("pz").alias("cz3"), F.col("w").alias("sx"), F.col("h").alias("sy"), F.col("d").alias("sz"), ((F.col("inst_id") % 7) / 5.0).alias("yaw"))
+    return assets.box_edges(boxes, ["inst_id"]).select("inst_id", "edge", *_r("x0", "y0", "z0", "x1", "y1", "z1"))
+
+
 def label_palette(spark: SparkSession, sf: str) -> DataFrame:
     return assets.label_palette(carrier(spark, sf, "detections"), ["frame"])
 
@@ -157,7 +164,7 @@ _REPS = f"{_GROUPS}, rp AS (SELECT g.scene, g.label, g.seed, g.inst_id, first_va
 _SIM = """d AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings),
 e AS (SELECT vec_id, label, list_transform(v, lambda x: x / sqrt(list_sum(list_transform(v, lambda y: y * y)))) AS hist, list_transform(v, lambda x, i: (((CAST(floor(x * 1000) AS BIGINT) + i - 1) % 256) + 256) % 256) AS thumb,
   list_transform(v, lambda x, i: (i - 1 + CAST(floor(abs(x) * 10) AS BIGINT)) % 4 <> 0) AS mask, list_transform(v, lambda x, i: (i - 1) % 5 = 0) AS edge FROM d),
-pz AS (SELECT a.vec_id AS a, b.vec_id AS b, a.label, a.hist AS ha, b.hist AS hb, list_zip(a.thumb, b.thumb, a.mask, b.mask, a.edge, b.edge) AS z FROM e a JOIN e b ON a.label = b.label AND a.vec_id < b.vec_id),
+pz AS (SELECT a.vec_id AS a, b.vec_id AS b, a.label, a.hist AS ha, b.hist AS hb, list_zip(a.thumb, b.thumb, a.mask, b.mask, a.edge, b.edge) AS z FROM e a JOIN e b ON a.vec_id // 64 = b.vec_id // 64 AND a.label = b.label AND a.vec_id < b.vec_id),
 q AS (SELECT a, b, label, a % 17 = 0 OR b % 17 = 0 AS none, list_dot_product(ha, hb) AS color, len(list_filter(z, lambda t: t[3] OR t[4])) AS un, len(list_filter(z, lambda t: t[3] AND t[4])) AS it,
   coalesce(list_sum(list_transform(list_filter(z, lambda t: t[3] OR t[4]), lambda t: abs(t[1] - t[2]))), 0) AS gap, len(list_filter(z, lambda t: t[5] OR t[6])) AS eu, len(list_filter(z, lambda t: t[5] AND t[6])) AS ei FROM pz),
 sim AS (SELECT a, b, label, round(CASE WHEN none OR un = 0 THEN 0 ELSE least(greatest(0.40::DOUBLE * least(greatest(color, 0), 1) + 0.25::DOUBLE * (1 - gap / un / 255) + 0.20::DOUBLE * it / un + 0.15::DOUBLE * CASE WHEN eu > 0 THEN ei / eu ELSE 1 END, 0), 1) END, 6) AS similarity FROM q)"""
@@ -167,7 +174,7 @@ f0 AS (SELECT mesh_id, vid AS face_id, row_number() OVER k - 1 AS n, vid AS a, l
 fc AS (SELECT mesh_id, face_id, a, b, c FROM f0 WHERE c IS NOT NULL AND n % 9 < 5 AND (mesh_id % 3 > 0 OR face_id % 7 > 0))"""
 
 QUERIES = {f.__name__: f for f in (
-    size_groups, asset_reps, asset_fit, appearance_similarity, visual_groups, fit_points_dedupe, raw_scan, prefab_parts, mesh_source, box_corners, label_palette, crop_faces, largest_component,
+    size_groups, asset_reps, asset_fit, appearance_similarity, visual_groups, fit_points_dedupe, raw_scan, prefab_parts, mesh_source, box_corners, box_edges, label_palette, crop_faces, largest_component,
     carve_shell, wall_patches, photo_texture, local_mesh, model_fit, level_rotations,
 )}
 ORACLES = {
@@ -179,8 +186,8 @@ SELECT inst_id, CASE WHEN inst_id = rep THEN 'scan-dense' ELSE 'reuse:scan-dense
   CASE WHEN inst_id <> rep THEN round(-((-rd / 3) + rd / 1.5::DOUBLE) / 2, 5) END AS oz, CASE WHEN inst_id <> rep THEN round(w / greatest(rw / 2 + rw / 2, 1e-6), 5) END AS mx, CASE WHEN inst_id <> rep THEN round(h / greatest((rh - 0.1::DOUBLE) + 0.1::DOUBLE, 1e-6), 5) END AS my, CASE WHEN inst_id <> rep THEN round(d / greatest(rd / 1.5::DOUBLE + rd / 3, 1e-6), 5) END AS mz FROM j"""),
     "appearance_similarity": "WITH " + _SIM + " SELECT a, b, similarity FROM sim",
     "visual_groups": "WITH RECURSIVE " + _SIM + f""",
-ranked AS (SELECT CAST(label AS BIGINT) AS scene, vec_id AS inst_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS rank FROM embeddings),
-ac AS (SELECT CAST(label AS BIGINT) AS scene, a AS earlier, b AS later FROM sim WHERE similarity >= 0.62), {fit_sql('ranked', 'ac', 'scene', 'inst_id', False)} SELECT scene, inst_id, seed AS first, cluster FROM placed_""",
+ranked AS (SELECT vec_id // 64 AS scene, CAST(label AS BIGINT) AS label, vec_id AS inst_id, row_number() OVER (PARTITION BY vec_id // 64, label ORDER BY vec_id) - 1 AS rank FROM embeddings),
+ac AS (SELECT a // 64 AS scene, CAST(label AS BIGINT) AS label, a AS earlier, b AS later FROM sim WHERE similarity >= 0.62), {fit_sql('ranked', 'ac', 'scene, label', 'inst_id', False)} SELECT scene, label, inst_id, seed AS first, cluster FROM placed_""",
     "fit_points_dedupe": duck("points", """b AS (SELECT obj_id AS inst_id, pid, x - ((obj_id % 8) * 1.5::DOUBLE + 0.3::DOUBLE) AS lx, y AS ly, z - ((obj_id // 8) % 5 * 1.5::DOUBLE + 0.25::DOUBLE) AS lz FROM points),
 n AS (SELECT * FROM b WHERE abs(lx) <= 0.5::DOUBLE * (0.5::DOUBLE + 0.15::DOUBLE) AND ly >= -0.10::DOUBLE * 1.5::DOUBLE AND ly <= 1.10::DOUBLE * 1.5::DOUBLE AND abs(lz) <= 0.4::DOUBLE * (0.5::DOUBLE + 0.15::DOUBLE)),
 vx AS (SELECT *, greatest(sqrt(0.5::DOUBLE * 0.5::DOUBLE + 1.5::DOUBLE * 1.5::DOUBLE + 0.4::DOUBLE * 0.4::DOUBLE) / 70, 1e-5) AS s FROM n),
@@ -196,6 +203,18 @@ SELECT k AS inst_id, CASE WHEN src LIKE 'scan-%' AND k * 23 % 10 < 5 THEN src ||
     "box_corners": duck("placed", """k AS (SELECT k, CASE WHEN k & 1 = 1 THEN 0.5::DOUBLE ELSE -0.5 END AS a, CASE WHEN (k >> 1) & 1 = 1 THEN 0.5::DOUBLE ELSE -0.5 END AS b, CASE WHEN (k >> 2) & 1 = 1 THEN 0.5::DOUBLE ELSE -0.5 END AS c FROM range(0, 8) t(k)),
 p AS (SELECT *, (inst_id % 7) / 5.0::DOUBLE AS yaw FROM placed)
 SELECT inst_id, k AS corner, round(px + cos(yaw) * a * w + sin(yaw) * c * d, 5) AS x, round(h + b * h, 5) AS y, round(pz - sin(yaw) * a * w + cos(yaw) * c * d, 5) AS z FROM p, k"""),
+    "box_edges": duck("placed", """p AS (SELECT *, (inst_id % 7) / 5.0::DOUBLE AS yaw FROM placed),
+k AS (SELECT inst_id, k, px + cos(yaw) * a * w + sin(yaw) * c * d AS x, h + b * h AS y, pz - sin(yaw) * a * w + cos(yaw) * c * d AS z
+  FROM p, (SELECT k, CASE WHEN k & 1 = 1 THEN 0.5::DOUBLE ELSE -0.5 END AS a, CASE WHEN (k >> 1) & 1 = 1 THEN 0.5::DOUBLE ELSE -0.5 END AS b, CASE WHEN (k >> 2) & 1 = 1 THEN 0.5::DOUBLE ELSE -0.5 END AS c FROM range(0, 8) t(k))),
+e AS (SELECT row_number() OVER (ORDER BY bit, k) - 1 AS edge, k AS f, k + (1 << bit) AS t FROM range(0, 3) b(bit), range(0, 8) c(k) WHERE (k >> bit) & 1 = 0)
+SELECT m.inst_id, edge, round(m.x, 5) AS x0, round(m.y, 5) AS y0, round(m.z, 5) AS z0, round(n.x, 5) AS x1, round(n.y, 5) AS y1, round(n.z, 5) AS z1 FROM e JOIN k m ON m.k = f JOIN k n ON n.k = t AND n.inst_id = m.inst_id"""),
+    "prefab_parts": duck("placed", f"""b AS (SELECT inst_id, {_KIND} AS kind, w, h, d, greatest(floor(h / 0.12::DOUBLE), 4) AS n, least(w, d) * 0.06::DOUBLE AS leg, least(0.04::DOUBLE * h / 0.75::DOUBLE, h * 0.2::DOUBLE) AS top FROM placed)
+SELECT inst_id, kind, kind = 'rack' AND w > d AS turned, CASE kind WHEN 'rack' THEN 3 + CAST(n AS BIGINT) WHEN 'desk' THEN 5 WHEN 'monitor' THEN 3 ELSE 4 END AS n_parts, round(CASE kind
+  WHEN 'rack' THEN w * h * 0.985::DOUBLE * d + w * h * 0.015::DOUBLE * d + w * 0.92::DOUBLE * h * 0.9::DOUBLE * d * 0.02::DOUBLE + n * (w * 0.8::DOUBLE * h * 0.012::DOUBLE * d * 0.005::DOUBLE)
+  WHEN 'desk' THEN w * top * d + 4 * leg * leg * (h - top)
+  WHEN 'monitor' THEN w * h * 0.7::DOUBLE * greatest(d * 0.15::DOUBLE, 0.01) + w * 0.12::DOUBLE * h * 0.25::DOUBLE * greatest(d * 0.3::DOUBLE, 0.02) + w * 0.45::DOUBLE * h * 0.04::DOUBLE * greatest(d * 0.8::DOUBLE, 0.04)
+  ELSE w * h * 0.06::DOUBLE * d + w * h * 0.5::DOUBLE * d * 0.12::DOUBLE + w * 0.1::DOUBLE * h * 0.45::DOUBLE * w * 0.1::DOUBLE + w * 0.9::DOUBLE * h * 0.03::DOUBLE * d * 0.9::DOUBLE END, 6) AS volume,
+  round(CASE kind WHEN 'chair' THEN h * 0.98::DOUBLE ELSE h END, 6) AS top FROM b"""),
     "label_palette": duck("detections", "SELECT frame, label, (dense_rank() OVER (PARTITION BY frame ORDER BY label) - 1) % 10 AS color FROM (SELECT DISTINCT frame, label FROM detections)"),
     "crop_faces": f"""WITH {_MESH},
 i AS (SELECT mesh_id, vid FROM v WHERE abs(x) <= 0.8::DOUBLE / 2 * 1.15::DOUBLE AND y >= -0.9::DOUBLE * ((1.15::DOUBLE - 1) / 2) AND y <= 0.9::DOUBLE * (1 + (1.15::DOUBLE - 1) / 2) AND abs(z) <= 0.85::DOUBLE / 2 * 1.15::DOUBLE),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import detections as ops
 from ..operators import sampling
+from ..operators.projection import confidence_gate
 from ..sources.carriers import carrier, duck
 
 #: IoU of boxes a and b in SQL.
@@ -76,6 +77,32 @@ def quantile_frames(spark: SparkSession, sf: str) -> DataFrame:
     return sampling.quantile_frames(carrier(spark, sf, "frames_sharp")).select("video", "frame_idx")
 
 
+def second_pass_frames(spark: SparkSession, sf: str) -> DataFrame:
+    frames = carrier(spark, sf, "frames_sharp").select("video", F.col("frame_idx").alias("frame"))
+    return ops.second_pass_frames(frames, 12).select("video", "frame")
+
+
+def second_pass_labels(spark: SparkSession, sf: str) -> DataFrame:
+    dets = carrier(spark, sf, "detections")
+    frames = dets.select(F.expr("frame div 40").alias("video"), (F.col("frame") % 40).alias("frame")).distinct()
+    numbered = frames.groupBy("video").agg(F.max("frame").alias("top")).withColumn("frame", F.explode(F.expr("sequence(0L, top)"))).select("video", "frame")
+    again = ops.second_pass_frames(numbered, 12).select((F.col("video") * 40 + F.col("frame")).alias("frame"))
+    return ops.second_pass_missing(dets, again, ["monitor", "window", "door"], 0.3).select("frame", "label", F.round("threshold", 6).alias("threshold"))
+
+
+def mask_gate(spark: SparkSession, sf: str) -> DataFrame:
+    dets = carrier(spark, sf, "detections").withColumns({"mask_pixels": F.col("det_id") % 40, "mask_iou": F.when(F.col("det_id") % 7 > 0, F.col("score"))})
+    return ops.mask_gate(dets).select("frame", "det_id", "has_mask")
+
+
+def observation_admission(spark: SparkSession, sf: str) -> DataFrame:
+    """Masks over the pixels that pass the confidence gate."""
+    masks = carrier(spark, sf, "mask_cells").select((F.col("mask_id") % 64).alias("frame"), F.col("mask_id").alias("det_id"), F.col("ix").alias("u"), F.col("iy").alias("v"))
+    dets = masks.select("frame", "det_id").distinct().withColumn("label", F.expr("CASE det_id % 5 WHEN 0 THEN 'glass door' WHEN 1 THEN 'window' ELSE 'chair' END"))
+    pixels = carrier(spark, sf, "pixels").withColumns({"scene": F.expr("frame div 4"), "edge": F.lit(False), "excluded": F.lit(False)})
+    return ops.admitted(dets, masks, confidence_gate(pixels, ["scene"], 20), least=3)
+
+
 def _fold(source: str, least: str, extra: str = "") -> str:
     return f"""{extra}ranked AS (SELECT *, row_number() OVER (PARTITION BY frame, label ORDER BY score DESC, det_id) - 1 AS rank FROM {source}),
 c AS (SELECT a.frame, a.label, b.det_id, list(a.det_id) AS xs FROM ranked a JOIN ranked b ON a.frame = b.frame AND a.label = b.label AND a.rank < b.rank WHERE {IOU} >= {least} GROUP BY ALL),
@@ -91,7 +118,8 @@ QUERIES = {
     "box_iou_pairs": box_iou_pairs, "nms_keep": nms_keep, "nms_frame_counts": nms_frame_counts, "cannot_link_pairs": cannot_link_pairs,
     "same_frame_duplicates": same_frame_duplicates, "shared_frame_max_iou": shared_frame_max_iou, "top_n_per_frame": top_n_per_frame,
     "merge_detector_passes": merge_detector_passes, "linspace_sample": linspace_sample, "stride_sample": stride_sample,
-    "sharpest_frames": sharpest_frames, "resample_frames": resample_frames, "quantile_frames": quantile_frames,
+    "sharpest_frames": sharpest_frames, "resample_frames": resample_frames, "quantile_frames": quantile_frames, "second_pass_frames": second_pass_frames,
+    "second_pass_labels": second_pass_labels, "mask_gate": mask_gate, "observation_admission": observation_admission,
 }
 ORACLES = {
     "box_iou_pairs": duck("detections", f"""{_RANKED},
@@ -121,4 +149,12 @@ SELECT video, target, frame_idx, sharpness FROM (SELECT t.video, target, f.frame
 SELECT video, frame_idx FROM n WHERE n >= 2 AND (n <= 60 OR i IN (SELECT CAST(round_even(k * (n.n - 1) / 59.0, 0) AS BIGINT) FROM range(0, 60) t(k)))"""),
     "quantile_frames": duck("frames_sharp", """n AS (SELECT video, frame_idx, row_number() OVER (PARTITION BY video ORDER BY frame_idx) - 1 AS i, count(*) OVER (PARTITION BY video) AS n FROM frames_sharp)
 SELECT video, frame_idx FROM n WHERE i IN (SELECT CAST(round_even(q * (n.n - 1), 0) AS BIGINT) FROM (VALUES (0.0::DOUBLE), (0.25), (0.5), (0.75), (1.0)) t(q))"""),
+    "second_pass_frames": duck("frames_sharp", "n AS (SELECT video, max(frame_idx) + 1 AS n FROM frames_sharp GROUP BY video) SELECT f.video, frame_idx AS frame FROM frames_sharp f JOIN n ON f.video = n.video WHERE frame_idx % CAST(greatest(ceil(n / 12.0), 1) AS BIGINT) = 0 OR frame_idx = n - 1"),
+    "second_pass_labels": duck("detections", """n AS (SELECT frame // 40 AS video, max(frame % 40) + 1 AS n FROM detections GROUP BY ALL),
+g AS (SELECT video * 40 + k AS frame FROM n, LATERAL (SELECT unnest(range(0, n)) AS k) WHERE k % CAST(greatest(ceil(n / 12.0), 1) AS BIGINT) = 0 OR k = n - 1)
+SELECT frame, label, 0.22::DOUBLE AS threshold FROM g, (VALUES ('monitor'), ('window'), ('door')) l(label) WHERE NOT EXISTS (SELECT 1 FROM detections d WHERE d.frame = g.frame AND d.label = l.label)"""),
+    "mask_gate": duck("detections", "SELECT frame, det_id, det_id % 7 > 0 AND score >= 0.5 AND det_id % 40 >= 16 AS has_mask FROM detections QUALIFY row_number() OVER (PARTITION BY frame ORDER BY det_id) <= 20"),
+    "observation_admission": duck("mask_cells pixels", """b AS (SELECT frame // 4 AS scene, quantile_cont(CASE WHEN conf > 1e-5 THEN conf END, 0.2) AS bar FROM pixels GROUP BY ALL),
+g AS (SELECT frame, u, v FROM pixels JOIN b ON scene = frame // 4 WHERE conf >= bar AND conf > 1e-5)
+SELECT mask_id % 64 AS frame, mask_id AS det_id, count(*) AS n_good FROM mask_cells m JOIN g ON g.frame = mask_id % 64 AND g.u = ix AND g.v = iy WHERE mask_id % 5 > 1 GROUP BY mask_id HAVING count(*) >= 3"""),
 }

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import instances as inst
+from ..operators import placements, room
 from ..operators import projection as proj
 from ..operators.detections import shared_frame_max_iou
+from ..operators.detections import status_lines as status_text
 from ..operators.sampling import hash_sample as hashed
 from ..sources.carriers import carrier, duck
 from .detections import IOU
@@ -18,7 +21,7 @@ VOLUME = ((-2.0, -1.0, 0.0), (2.0, 1.0, 3.0), (17, 9, 13), 0.75, 2.0)
 
 
 def _r(*names: str, places: int = 6) -> list:
-    return [F.round(n, places).alias(n) for n in names]
+    return [(F.round(n, places) + 0.0).alias(n) for n in names]
 
 
 #: Added before rounding means of lattice values, which may end in a 5 just behind the last digit.
@@ -158,6 +161,48 @@ def relaxed_track_pairs(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("scene", "earlier", "later", *_r("containment"))
 
 
+def _track_labels(spark: SparkSession, sf: str) -> DataFrame:
+    return _tracks(spark, sf).select("scene", "inst_id").distinct().withColumn("label", F.expr("CASE inst_id % 3 WHEN 0 THEN 'server rack' WHEN 1 THEN 'monitor' ELSE 'sofa' END"))
+
+
+def _track_placements(spark: SparkSession, sf: str) -> DataFrame:
+    placed = room.place_instances(_tracks(spark, sf), _track_labels(spark, sf).drop("scene"), ["inst_id"], 0.01, 0.02)
+    evidence = _ranked_bounds(spark, sf).select("scene", "inst_id", "frames_seen", "score", "n_points", "rank")
+    return placements.placement_boxes(placed.join(evidence, "inst_id"))
+
+
+def placement_aabb(spark: SparkSession, sf: str) -> DataFrame:
+    turned = carrier(spark, sf, "placed").withColumn("yaw", (F.col("inst_id") % 24) / F.lit(7.0))
+    return placements.placement_boxes(turned).select("inst_id", *_r("lo_x", "lo_y", "lo_z", "hi_x", "hi_y", "hi_z"))
+
+
+def _placed_duplicates(spark: SparkSession, sf: str) -> DataFrame:
+    found = placements.placed_candidates(_track_placements(spark, sf), separated_pairs(spark, sf), "scene")
+    support = inst.cloud_support(_tracks(spark, sf), placements.needs_support(found), _ranked_bounds(spark, sf), ratio=0.15)
+    return placements.placed_duplicates(found, support, "scene")
+
+
+def placed_duplicates(spark: SparkSession, sf: str) -> DataFrame:
+    """Placed tracks that are one object: the support of unclear pairs comes from the tracks' own points."""
+    return _placed_duplicates(spark, sf).select("scene", "earlier", "later", *_r("containment"))
+
+
+def _consolidated(spark: SparkSession, sf: str) -> DataFrame:
+    return placements.consolidate(_ranked_bounds(spark, sf).drop("rank"), _placed_duplicates(spark, sf), "scene")
+
+
+def consolidate_placements(spark: SparkSession, sf: str) -> DataFrame:
+    return _consolidated(spark, sf)
+
+
+def consolidated_instances(spark: SparkSession, sf: str) -> DataFrame:
+    """Votes over the observations of every consolidated group; a track's points of one frame are one observation."""
+    tracks = _tracks(spark, sf).withColumn("label", F.expr("CASE pid % 3 WHEN 0 THEN 'server rack' WHEN 1 THEN 'monitor' ELSE 'sofa' END"))
+    obs = tracks.groupBy("inst_id", "frame").agg(F.min_by("label", "pid").alias("label"), F.count(F.lit(1)).alias("n_raw"), F.min("pid").alias("obs_id"))
+    obs = obs.withColumns({"score": (F.col("obs_id") % 64) / F.lit(64.0), "ord": F.col("obs_id")})
+    return placements.revote(obs, _consolidated(spark, sf))
+
+
 def cluster_observations(spark: SparkSession, sf: str) -> DataFrame:
     obs = carrier(spark, sf, "observations").select(
         "obs_id", "ord", "label", (F.expr("inst_id div 20")).alias("scene"), "frame", "score", (F.col("inst_id") % 20).cast("double").alias("cx3"),
@@ -216,6 +261,31 @@ def point_cloud_export(spark: SparkSession, sf: str) -> DataFrame:
     return shown.select("frame", "u", "v", *_r("wx", "wy", "wz"))
 
 
+#: A camera turned by the 3-4-5 triangle about +Y, as the first of a scene.
+FIRST_CAMERA = (np.array([[0.8, 0.0, 0.6], [0.0, 1.0, 0.0], [-0.6, 0.0, 0.8]]), np.array([0.5, 0.25, 2.0]))
+TO_SCENE = proj.scene_transform(*FIRST_CAMERA)
+
+
+def scene_points(spark: SparkSession, sf: str) -> DataFrame:
+    return proj.apply_transform(carrier(spark, sf, "points").select("pid", "x", "y", "z"), TO_SCENE).select("pid", *_r("x", "y", "z"))
+
+
+def mask_points_local(spark: SparkSession, sf: str) -> DataFrame:
+    masks = carrier(spark, sf, "mask_cells").select(F.col("mask_id").alias("det_id"), (F.col("mask_id") % 4).alias("frame"), F.col("ix").alias("u"), F.col("iy").alias("v"))
+    return proj.mask_points_local(masks, carrier(spark, sf, "pixels"), carrier(spark, sf, "cameras"), TO_SCENE, most=7).select("det_id", "u", "v", *_r("x", "y", "z"))
+
+
+def mesh_support(spark: SparkSession, sf: str) -> DataFrame:
+    """The points of even frames against those of odd frames as samples of the surface."""
+    pts = carrier(spark, sf, "points").withColumn("mesh_id", F.col("obj_id"))
+    sizes = inst.robust_bounds(pts, ["mesh_id"]).select("mesh_id", "diag")
+    return inst.mesh_support(pts.filter("frame % 2 = 0").select("mesh_id", "pid", "x", "y", "z"), pts.filter("frame % 2 = 1").select("mesh_id", "x", "y", "z"), sizes).select("mesh_id", *_r("support"))
+
+
+def status_lines(spark: SparkSession, sf: str) -> DataFrame:
+    return status_text(carrier(spark, sf, "detections"), ["frame"])
+
+
 def padded_crops(spark: SparkSession, sf: str) -> DataFrame:
     return proj.padded_crops(carrier(spark, sf, "detections"), *IMAGE).select("det_id", "cx1", "cy1", "cx2", "cy2")
 
@@ -286,6 +356,26 @@ ds AS (SELECT earlier, later, a.pid AS pa, b.pid AS pb, sqrt((a.x - b.x) ** 2 +
 s1 AS (SELECT earlier, later, avg(CAST(k AS DOUBLE)) AS sa FROM (SELECT earlier, later, pa, CAST(bool_or(near) AS INT) AS k FROM ds GROUP BY ALL) GROUP BY earlier, later),
 s2 AS (SELECT earlier, later, avg(CAST(k AS DOUBLE)) AS sb FROM (SELECT earlier, later, pb, CAST(bool_or(near) AS INT) AS k FROM ds GROUP BY ALL) GROUP BY earlier, later),
 su AS (SELECT earlier, later, greatest(sa, sb) AS support_max, sqrt(sa * sb) AS support_mean FROM s1 JOIN s2 USING (earlier, later))"""
+#: Placements of the tracks as boxes, in evidence order, and the pairs of them that may be one object.
+_PLACED_TRACKS = """cv AS (SELECT inst_id, var_samp(x) AS a, covar_samp(x, z) AS b, var_samp(z) AS c FROM tr GROUP BY inst_id),
+yw AS (SELECT inst_id, CASE WHEN th >= pi() / 2 THEN th - pi() ELSE th END AS yaw, sqrt((m + r) / greatest(m - r, 1e-9)) AS ratio FROM (SELECT inst_id, atan2(2 * b, a - c) / 2 AS th, (a + c) / 2 AS m, sqrt(((a - c) / 2) ** 2 + b * b) AS r FROM cv)),
+sn AS (SELECT inst_id, CASE WHEN abs(q - round_even(q / (pi() / 2), 0) * (pi() / 2)) <= radians(15) THEN round_even(q / (pi() / 2), 0) * (pi() / 2) ELSE q END AS yaw FROM (SELECT inst_id, CASE WHEN ratio >= 1.2 THEN yaw ELSE 0 END AS q FROM yw)),
+tu AS (SELECT tr.inst_id, yaw, cos(-yaw) AS c, sin(-yaw) AS s, cos(-yaw) * x - sin(-yaw) * z AS xr, sin(-yaw) * x + cos(-yaw) * z AS zr, y FROM tr JOIN sn ON tr.inst_id = sn.inst_id),
+qq AS (SELECT inst_id, yaw, any_value(c) AS c, any_value(s) AS s, quantile_cont(xr, 0.02) AS xl, quantile_cont(xr, 0.98) AS xh, quantile_cont(zr, 0.02) AS zl, quantile_cont(zr, 0.98) AS zh, quantile_cont(y, 0.02) AS yl, quantile_cont(y, 0.98) AS yh FROM tu GROUP BY inst_id, yaw),
+ba AS (SELECT *, CASE WHEN yl - 0.01 < 0.02 * CASE WHEN inst_id % 3 = 0 THEN 3.5 ELSE 1 END THEN 0.01 ELSE yl END AS base FROM qq),
+sz AS (SELECT inst_id, c * (xl + xh) / 2 + s * (zl + zh) / 2 AS px, base AS py, -s * (xl + xh) / 2 + c * (zl + zh) / 2 AS pz, yaw, greatest(xh - xl, 0.02) AS w, greatest(yh - base, 0.02) AS h, greatest(zh - zl, 0.02) AS d FROM ba),
+pb AS (SELECT rk.scene, rk.rank, sz.*, px - (w / 2 * abs(cos(yaw)) + d / 2 * abs(sin(yaw))) AS lx, px + (w / 2 * abs(cos(yaw)) + d / 2 * abs(sin(yaw))) AS hx, py AS ly, py + h AS hy,
+  pz - (w / 2 * abs(sin(yaw)) + d / 2 * abs(cos(yaw))) AS lz, pz + (w / 2 * abs(sin(yaw)) + d / 2 * abs(cos(yaw))) AS hz FROM sz JOIN rk ON rk.inst_id = sz.inst_id),
+px AS (SELECT *, hx - lx AS ex, hy - ly AS ey, hz - lz AS ez FROM pb),
+pq AS (SELECT p.scene, p.inst_id AS earlier, q.inst_id AS later, """ + _CONT + """ AS containment, least(p.w, p.d) / least(q.w, q.d) AS r1, greatest(p.w, p.d) / greatest(q.w, q.d) AS r2, p.h / q.h AS r3,
+  sqrt(((p.lx + p.hx) / 2 - (q.lx + q.hx) / 2) ** 2 + ((p.ly + p.hy) / 2 - (q.ly + q.hy) / 2) ** 2 + ((p.lz + p.hz) / 2 - (q.lz + q.hz) / 2) ** 2) / greatest(sqrt(p.ex ** 2 + p.ey ** 2 + p.ez ** 2), sqrt(q.ex ** 2 + q.ey ** 2 + q.ez ** 2), 1e-6) AS far
+  FROM px p JOIN px q ON p.scene = q.scene AND p.rank < q.rank),
+pc AS (SELECT scene, earlier, later, containment, r1 BETWEEN 0.5 AND 2 AND r2 BETWEEN 0.5 AND 2 AND r3 BETWEEN 0.5 AND 2 AS std FROM pq
+  WHERE r1 BETWEEN 0.38 AND 2.6 AND r2 BETWEEN 0.38 AND 2.6 AND r3 BETWEEN 0.38 AND 2.6 AND containment >= 0.52 AND far <= 0.25 AND NOT EXISTS (SELECT 1 FROM sep WHERE sep.a = least(earlier, later) AND sep.b = greatest(earlier, later))),
+cd AS (SELECT earlier, later, greatest(0.15 * least(p.diag, q.diag), 1e-6) AS tol FROM pc JOIN rk p ON p.inst_id = earlier JOIN rk q ON q.inst_id = later WHERE p.n >= 10 AND q.n >= 10 AND (NOT std OR containment < 0.72)),
+""" + _SUPPORT[_SUPPORT.index("ds AS") :] + """,
+pd AS (SELECT scene, pc.earlier, pc.later, containment FROM pc LEFT JOIN su ON su.earlier = pc.earlier AND su.later = pc.later
+  WHERE (std OR (coalesce(support_max, 0) >= 0.68 AND coalesce(support_mean, 0) >= 0.28)) AND (containment >= 0.72 OR (coalesce(support_max, 0) >= 0.48 AND coalesce(support_mean, 0) >= 0.20)))"""
 _TSDF = """vx AS (SELECT scene, ix, iy, iz, -2.0::DOUBLE + ix * (4.0::DOUBLE / 16) AS x, -1.0::DOUBLE + iy * (2.0::DOUBLE / 8) AS y, iz * (3.0::DOUBLE / 12) AS z
   FROM (SELECT DISTINCT frame // 4 AS scene FROM cameras), range(0, 17) a(ix), range(0, 9) b(iy), range(0, 13) c(iz)),
 cv AS (SELECT vx.*, frame, fx, fy, cx, cy, """ + _CAM + """ FROM vx JOIN cameras k ON vx.scene = k.frame // 4),
@@ -297,16 +387,28 @@ vol AS (SELECT vx.scene, vx.ix, vx.iy, vx.iz, coalesce(w, 0) AS w, CASE WHEN w >
 
 QUERIES = {f.__name__: f for f in (
     unproject_points, project_points, visible_points, best_view_color, conf_gate, masked_gate, open_gate, depth_edges, detections_to_3d, cluster_3d_light,
-    observation_bounds, label_vote, ghost_filter, separated_pairs, aabb_containment_pairs, split_track_pairs, nn_overlap_support, complete_link_groups, relaxed_track_pairs,
+    placement_aabb, placed_duplicates, consolidate_placements, consolidated_instances, observation_bounds, label_vote, ghost_filter, separated_pairs, aabb_containment_pairs, split_track_pairs, nn_overlap_support, complete_link_groups, relaxed_track_pairs,
     cluster_observations, reprojection_agreement, tsdf_integrate, tsdf_zero_cross, support_image, mesh_quality,
-    smooth_depth, point_cloud_export, padded_crops, hash_sample,
+    smooth_depth, point_cloud_export, padded_crops, hash_sample, scene_points, mask_points_local, mesh_support, status_lines,
 )}
 _VOTE = """v AS (SELECT inst_id, label, count(DISTINCT frame) AS fr, round(sum(score), 9) AS tot, max(score) AS top, sum(n_raw) AS pts, min(ord) AS first FROM observations GROUP BY ALL),
 w AS (SELECT * FROM v QUALIFY row_number() OVER (PARTITION BY inst_id ORDER BY fr DESC, tot DESC, top DESC, pts DESC, first) = 1),
 bo AS (SELECT o.inst_id, obs_id FROM observations o JOIN w ON o.inst_id = w.inst_id AND o.label = w.label QUALIFY row_number() OVER (PARTITION BY o.inst_id ORDER BY n_raw DESC, ord) = 1),
 al AS (SELECT inst_id, count(DISTINCT frame) AS frames_seen, count(*) AS n_obs FROM observations GROUP BY inst_id),
 vote AS (SELECT w.inst_id, label, top AS score, frames_seen, obs_id AS best_obs, n_obs FROM w JOIN bo USING (inst_id) JOIN al USING (inst_id))"""
+_TO_SCENE = lambda x, y, z: ", ".join(f"round({TO_SCENE[k, 0]!r}::DOUBLE * {x} + {TO_SCENE[k, 1]!r}::DOUBLE * {y} + {TO_SCENE[k, 2]!r}::DOUBLE * {z} + {TO_SCENE[k, 3]!r}::DOUBLE, 6) AS {'xyz'[k]}" for k in range(3)).replace("np.float64(", "(")
 ORACLES = {
+    "scene_points": duck("points", f"SELECT pid, {_TO_SCENE('x', 'y', 'z')} FROM points"),
+    "mask_points_local": duck("mask_cells pixels cameras", f"""m AS (SELECT mask_id, ix, iy, row_number() OVER (PARTITION BY mask_id ORDER BY iy, ix) - 1 AS i, count(*) OVER (PARTITION BY mask_id) AS n FROM mask_cells),
+k AS (SELECT * FROM m WHERE n <= 7 OR i IN (SELECT j * (m.n - 1) // 6 FROM range(0, 7) t(j))),
+w AS (SELECT mask_id AS det_id, u, v, {_TO_WORLD_RAW.format(**_LIFT)} FROM k JOIN pixels p ON p.frame = mask_id % 4 AND p.u = ix AND p.v = iy JOIN cameras c ON c.frame = p.frame)
+SELECT det_id, u, v, {_TO_SCENE('wx', 'wy', 'wz')} FROM w"""),
+    "mesh_support": duck("points", """q AS (SELECT obj_id, quantile_cont(x, 0.95) - quantile_cont(x, 0.05) AS ex, quantile_cont(y, 0.95) - quantile_cont(y, 0.05) AS ey, quantile_cont(z, 0.95) - quantile_cont(z, 0.05) AS ez FROM points GROUP BY obj_id),
+t AS (SELECT obj_id, greatest(0.025, 0.06::DOUBLE * sqrt(ex ** 2 + ey ** 2 + ez ** 2)) AS tol FROM q),
+h AS (SELECT a.obj_id, a.pid, EXISTS (SELECT 1 FROM points b WHERE b.obj_id = a.obj_id AND b.frame % 2 = 1 AND sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z) ** 2) <= t.tol) AS hit FROM points a JOIN t ON t.obj_id = a.obj_id WHERE a.frame % 2 = 0)
+SELECT obj_id AS mesh_id, round(count(*) FILTER (WHERE hit) / count(*), 6) AS support FROM h GROUP BY obj_id"""),
+    "status_lines": duck("detections", """p AS (SELECT frame, label, score, row_number() OVER (PARTITION BY frame ORDER BY score DESC, det_id) AS place FROM detections)
+SELECT frame, place, '**' || place || '. ' || upper(label) || '** (' || CAST(round_even(score * 100, 0) AS BIGINT) || '%)' AS line FROM p"""),
     "unproject_points": duck("pixels cameras", f"SELECT p.frame, u, v, {_TO_WORLD.format(**_LIFT)} FROM pixels p JOIN cameras c ON p.frame = c.frame"),
     "project_points": duck("points cameras", f"{_PROJECTED} SELECT pid, frame, round(pu, 6) AS pu, round(pv, 6) AS pv, round(pz, 6) AS pz FROM pr"),
     "visible_points": duck("points cameras pixels", f"""{_PROJECTED},
@@ -333,6 +435,13 @@ SELECT obj_id, round(lx, 6) AS lo_x, round(ly, 6) AS lo_y, round(lz, 6) AS lo_z,
   round(sqrt((hx - lx) ** 2 + (hy - ly) ** 2 + (hz - lz) ** 2), 6) AS diag, n AS n_raw FROM b"""),
     "label_vote": duck("observations", f"{_VOTE} SELECT * FROM vote"),
     "ghost_filter": duck("observations", f"{_VOTE} SELECT inst_id, frames_seen, score FROM vote WHERE frames_seen >= 2 OR score >= 0.45"),
+    "placement_aabb": duck("placed", """y AS (SELECT *, (inst_id % 24) / 7.0::DOUBLE AS yaw FROM placed), e AS (SELECT *, w / 2 * abs(cos(yaw)) + d / 2 * abs(sin(yaw)) AS hx, w / 2 * abs(sin(yaw)) + d / 2 * abs(cos(yaw)) AS hz FROM y)
+SELECT inst_id, round(px - hx, 6) AS lo_x, round(py, 6) AS lo_y, round(pz - hz, 6) AS lo_z, round(px + hx, 6) AS hi_x, round(py + h, 6) AS hi_y, round(pz + hz, 6) AS hi_z FROM e"""),
+    "placed_duplicates": duck("points", f"{_TRACKS}, {_PLACED_TRACKS} SELECT scene, earlier, later, round(containment, 6) AS containment FROM pd"),
+    "consolidate_placements": duck("points", f"{_TRACKS}, {_PLACED_TRACKS}, {fit_sql('rk', 'pd', 'scene', 'inst_id', False)} SELECT scene, inst_id, seed, cluster FROM placed_"),
+    "consolidated_instances": duck("points", f"""{_TRACKS}, {_PLACED_TRACKS}, {fit_sql('rk', 'pd', 'scene', 'inst_id', False)},
+ob AS (SELECT inst_id, frame, arg_min(CASE pid % 3 WHEN 0 THEN 'server rack' WHEN 1 THEN 'monitor' ELSE 'sofa' END, pid) AS label, count(*) AS n_raw, min(pid) AS obs_id FROM tr GROUP BY inst_id, frame),
+observations AS (SELECT g.seed AS inst_id, frame, label, n_raw, obs_id, obs_id AS ord, (obs_id % 64) / 64.0::DOUBLE AS score FROM ob JOIN placed_ g ON g.inst_id = ob.inst_id), {_VOTE} SELECT * FROM vote"""),
     "separated_pairs": duck("points", f"{_TRACKS} SELECT a, b FROM sep"),
     "aabb_containment_pairs": duck("points", f"""{_TRACKS.replace('obj_id * 4 + frame % 4', 'obj_id * 4 + pid // 12 % 4')},
 mi AS (SELECT a.inst_id AS inst_a, b.inst_id AS inst_b FROM tb a JOIN tb b ON a.frame = b.frame AND a.inst_id < b.inst_id GROUP BY ALL HAVING max({IOU}) >= 0.2)

@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import room
+from ..operators import assets, room
 from ..sources.carriers import carrier, duck
 
 
 def _r(*names: str, places: int = 6) -> list:
-    return [F.round(n, places).alias(n) for n in names]
+    return [(F.round(n, places) + 0.0).alias(n) for n in names]
 
 
 def _points(spark: SparkSession, sf: str) -> DataFrame:
@@ -126,21 +126,43 @@ def _wide(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def color_field_filled(spark: SparkSession, sf: str) -> DataFrame:
-    rooms = _rooms(spark, sf)
-    seen = room.wall_colors(_wide(spark, sf), rooms, least=1)
-    walls = room.walls_of(rooms).filter("wall = 0")
-    grid = walls.withColumn("iy", F.explode(F.expr("sequence(0L, ny - 1)"))).withColumn("iu", F.explode(F.expr("sequence(0L, nu - 1)"))).select("scene", "wall", "iy", "iu")
-    return room.fill_colors(seen.filter("wall = 0"), grid, ["scene", "wall"]).select("scene", "wall", "iy", "iu", "observed", *_r("r", "g", "b", places=5))
-
-
-def color_field_filled_walls(spark: SparkSession, sf: str) -> DataFrame:
-    """color_field_filled over all four walls."""
     rooms = _rooms(spark, sf)
     seen = room.wall_colors(_wide(spark, sf), rooms, least=1)
     grid = room.walls_of(rooms).withColumn("iy", F.explode(F.expr("sequence(0L, ny - 1)"))).withColumn("iu", F.explode(F.expr("sequence(0L, nu - 1)"))).select("scene", "wall", "iy", "iu")
     return room.fill_colors(seen, grid, ["scene", "wall"]).select("scene", "wall", "iy", "iu", "observed", *_r("r", "g", "b", places=5))
 
 
+def _flat(spark: SparkSession, sf: str) -> DataFrame:
+    """Points pressed onto the floor where they are close to it, and the rest of the upper half onto the ceiling."""
+    return _points(spark, sf).withColumn("y", F.when(F.col("y") < 0.9, 0.0).when(F.col("y") > 1.2, 2.0).otherwise(F.col("y")))
+
+
+def horizontal_color_observed(spark: SparkSession, sf: str) -> DataFrame:
+    return room.horizontal_colors(_flat(spark, sf), _rooms(spark, sf), least=1).select("scene", "surface", "iz", "ix", *_r("r", "g", "b"))
+
+
+def _horizontal_filled(spark: SparkSession, sf: str) -> DataFrame:
+    seen = room.horizontal_colors(_flat(spark, sf), _rooms(spark, sf), least=1).withColumnsRenamed({"iz": "iy", "ix": "iu"})
+    planes = room.horizontal_planes(_rooms(spark, sf))
+    grid = planes.withColumn("iy", F.explode(F.expr("sequence(0L, nz - 1)"))).withColumn("iu", F.explode(F.expr("sequence(0L, nx - 1)")))
+    return room.fill_colors(seen, grid, ["scene", "surface"]).withColumnsRenamed({"iy": "iz", "iu": "ix"})
+
+
+def horizontal_color_filled(spark: SparkSession, sf: str) -> DataFrame:
+    return _horizontal_filled(spark, sf).select("scene", "surface", "iz", "ix", "observed", *_r("r", "g", "b", places=5))
+
+
+def horizontal_patches(spark: SparkSession, sf: str) -> DataFrame:
+    holes = room.horizontal_infill(_flat(spark, sf), _rooms(spark, sf), least=1).filter("fill").select("scene", "surface", F.col("iz").alias("iy"), "ix")
+    rects = room.mask_rectangles(holes, ["scene", "surface"])
+    return assets.horizontal_patches(rects, _rooms(spark, sf)).select("scene", "surface", *_r("x", "y", "z", "dx", "dz"))
+
+
+def colored_patches(spark: SparkSession, sf: str) -> DataFrame:
+    cells = _horizontal_filled(spark, sf).filter("not observed")
+    return assets.colored_patches(cells, _rooms(spark, sf)).select("scene", "surface", "iz", "ix", "corner", *_r("x", "y", "z", "r", "g", "b", places=5))
+
+
 def mask_dilate(spark: SparkSession, sf: str) -> DataFrame:
     cells = carrier(spark, sf, "mask_cells")
     cross = room.dilate(cells, ["mask_id"], (10, 16), box=False).withColumn("kind", F.lit("cross"))
@@ -195,13 +217,36 @@ fl AS (SELECT mask_id, iy, iu FROM g1 WHERE ob UNION SELECT g.mask_id, g.iy, g.i
 
 QUERIES = {f.__name__: f for f in (
     principal_yaw, placement, rack_scale, min_area_yaw, room_rect, surface_coverage, horizontal_infill, ceiling_support, surface_color, wall_specs, wall_ray_cells, wall_evidence,
-    wall_plane_supported, wall_fill, color_field_observed, color_field_filled, color_field_filled_walls, mask_dilate, mask_resize, mask_rectangles,
+    wall_plane_supported, wall_fill, color_field_observed, color_field_filled, horizontal_color_observed, horizontal_color_filled, horizontal_patches, colored_patches, mask_dilate, mask_resize, mask_rectangles,
 )}
 _WIDE = "wd AS (SELECT * REPLACE (CASE WHEN x < 2.5 THEN 1.0::DOUBLE ELSE x END AS x) FROM points)"
 _COLORS = f"""{_WALL}, {_WIDE}, {_NEAR.format(src='wd')},
 vw AS (SELECT scene, wall, iy, iu, frame, avg(r) AS r, avg(g) AS g, avg(b) AS b FROM nr GROUP BY ALL), cl AS (SELECT scene, wall, iy, iu, median(r) AS r, median(g) AS g, median(b) AS b FROM vw GROUP BY ALL)"""
 _RUNS = """dl AS (SELECT DISTINCT mask_id, iy + a AS iy, ix + b AS ix FROM mask_cells, (VALUES (0, 0), (1, 0), (-1, 0), (0, 1), (0, -1)) t(a, b) WHERE iy + a BETWEEN 0 AND 9 AND ix + b BETWEEN 0 AND 15)"""
+_FLAT = "fp AS (SELECT * REPLACE (CASE WHEN y < 0.9 THEN 0.0::DOUBLE WHEN y > 1.2 THEN 2.0::DOUBLE ELSE y END AS y) FROM points)"
+_PLANES = f"""{_ROOM}, {_FLAT},
+sp AS (SELECT scene, xmin, xmax, zmin, zmax, height, s.surface, s.level, CAST(least(greatest(ceil((xmax - xmin) / 0.2::DOUBLE), 1), 96) AS BIGINT) AS nx, CAST(least(greatest(ceil((zmax - zmin) / 0.2::DOUBLE), 1), 96) AS BIGINT) AS nz FROM rm, LATERAL (VALUES ('floor', 0.0::DOUBLE), ('ceiling', height)) s(surface, level)),
+hc AS (SELECT p.scene, surface, CAST(least(floor((x - xmin) / greatest(xmax - xmin, 1e-9) * nx), nx - 1) AS BIGINT) AS ix, CAST(least(floor((z - zmin) / greatest(zmax - zmin, 1e-9) * nz), nz - 1) AS BIGINT) AS iz, frame, r, g, b FROM fp p JOIN sp ON p.scene = sp.scene
+  WHERE abs(y - level) <= greatest(0.04, 0.04::DOUBLE * greatest(height, 1e-6)) AND x BETWEEN xmin AND xmax AND z BETWEEN zmin AND zmax),
+hv AS (SELECT scene, surface, iz, ix, frame, avg(r) AS r, avg(g) AS g, avg(b) AS b FROM hc GROUP BY ALL), hl AS (SELECT scene, surface, iz, ix, median(r) AS r, median(g) AS g, median(b) AS b FROM hv GROUP BY ALL),
+he AS (SELECT scene, surface, iz, ix, nx, nz, xmin, xmax, zmin, zmax, height FROM sp, LATERAL (SELECT unnest(range(0, nz)) AS iz), LATERAL (SELECT unnest(range(0, nx)) AS ix)),
+hm AS (SELECT he.* FROM he ANTI JOIN hl USING (scene, surface, iz, ix)),
+hn AS (SELECT hm.*, 1 / greatest(sqrt((hm.iz - hl.iz) ** 2 + (hm.ix - hl.ix) ** 2), 0.75) ** 2 AS wt, r, g, b FROM hm JOIN hl ON hm.scene = hl.scene AND hm.surface = hl.surface QUALIFY row_number() OVER (PARTITION BY hm.scene, hm.surface, hm.iz, hm.ix ORDER BY (hm.iz - hl.iz) ** 2 + (hm.ix - hl.ix) ** 2, hl.iz, hl.ix) <= 4),
+hf AS (SELECT scene, surface, iz, ix, sum(r * wt) / sum(wt) AS r, sum(g * wt) / sum(wt) AS g, sum(b * wt) / sum(wt) AS b FROM hn GROUP BY ALL)"""
 ORACLES = {
+    "horizontal_color_observed": duck("points", f"{_PLANES} SELECT scene, surface, iz, ix, round(r, 6) AS r, round(g, 6) AS g, round(b, 6) AS b FROM hl"),
+    "horizontal_color_filled": duck("points", f"""{_PLANES} SELECT scene, surface, iz, ix, true AS observed, round(r, 5) AS r, round(g, 5) AS g, round(b, 5) AS b FROM hl
+UNION ALL SELECT scene, surface, iz, ix, false, round(r, 5), round(g, 5), round(b, 5) FROM hf"""),
+    "horizontal_patches": duck("points", f"""{_PLANES},
+ho AS (SELECT scene, surface, iz, ix FROM he ANTI JOIN (SELECT DISTINCT scene, surface, iz, ix FROM hc) o USING (scene, surface, iz, ix)),
+ru AS (SELECT scene, surface, iz, min(ix) AS u0, max(ix) + 1 AS u1 FROM (SELECT *, ix - row_number() OVER (PARTITION BY scene, surface, iz ORDER BY ix) AS k FROM ho) GROUP BY scene, surface, iz, k),
+rc AS (SELECT scene, surface, min(iz) AS y0, max(iz) + 1 AS y1, u0, u1 FROM (SELECT *, iz - row_number() OVER (PARTITION BY scene, surface, u0, u1 ORDER BY iz) AS k FROM ru) GROUP BY scene, surface, u0, u1, k)
+SELECT scene, surface, round(xmin + (u0 + u1) / 2 * ((xmax - xmin) / nx), 6) AS x, round(CASE surface WHEN 'floor' THEN -0.02::DOUBLE ELSE height + 0.02::DOUBLE END, 6) AS y, round(zmin + (y0 + y1) / 2 * ((zmax - zmin) / nz), 6) AS z,
+  round((u1 - u0) * ((xmax - xmin) / nx), 6) AS dx, round((y1 - y0) * ((zmax - zmin) / nz), 6) AS dz FROM rc JOIN sp USING (scene, surface)"""),
+    "colored_patches": duck("points", f"""{_PLANES},
+cr AS (SELECT * FROM (VALUES ('floor', 0::BIGINT, 0, 0), ('floor', 1, 0, 1), ('floor', 2, 1, 1), ('floor', 3, 1, 0), ('ceiling', 0, 0, 0), ('ceiling', 1, 1, 0), ('ceiling', 2, 1, 1), ('ceiling', 3, 0, 1)) t(surface, corner, a, b))
+SELECT scene, surface, iz, ix, corner, round(xmin + (ix + a) / nx * (xmax - xmin), 5) AS x, round(CASE surface WHEN 'floor' THEN -0.01::DOUBLE ELSE height + 0.01::DOUBLE END, 5) AS y, round(zmin + (iz + cr.b) / nz * (zmax - zmin), 5) AS z,
+  round(hf.r, 5) AS r, round(hf.g, 5) AS g, round(hf.b, 5) AS b FROM hf JOIN sp USING (scene, surface) JOIN cr USING (surface)"""),
     "principal_yaw": duck("points", f"{_YAW} SELECT obj_id, round(yaw, 5) AS yaw, round(ratio, 5) AS ratio FROM yw"),
     "placement": duck("points", f"""{_YAW},
 sn AS (SELECT obj_id, CASE WHEN abs(y1 - round_even(y1 / (pi() / 2), 0) * (pi() / 2)) <= radians(15) THEN round_even(y1 / (pi() / 2), 0) * (pi() / 2) ELSE y1 END AS yaw FROM (SELECT obj_id, CASE WHEN ratio >= 1.2 THEN yaw ELSE 0 END AS y1 FROM yw)),
@@ -250,13 +295,6 @@ UNION ALL SELECT lv.scene, 'ceiling', CAST(coalesce(floor(r), 235) AS BIGINT), C
 SELECT g1.mask_id, g1.iy, g1.iu, (oc OR fl.iy IS NOT NULL) AND NOT ob AND NOT op AS fill FROM g1 LEFT JOIN fl ON fl.mask_id = g1.mask_id AND fl.iy = g1.iy AND fl.iu = g1.iu"""),
     "color_field_observed": duck("points", f"{_COLORS} SELECT scene, wall, iy, iu, round(r, 6) AS r, round(g, 6) AS g, round(b, 6) AS b FROM cl"),
     "color_field_filled": duck("points", f"""{_COLORS},
-ce AS (SELECT scene, wall, iy, iu FROM wl, LATERAL (SELECT unnest(range(0, ny)) AS iy), LATERAL (SELECT unnest(range(0, nu)) AS iu) WHERE wall = 0),
-c0 AS (SELECT * FROM cl WHERE wall = 0),
-ms AS (SELECT ce.* FROM ce ANTI JOIN c0 USING (scene, wall, iy, iu)),
-nn AS (SELECT ms.scene, ms.wall, ms.iy, ms.iu, 1 / greatest(sqrt((ms.iy - c0.iy) ** 2 + (ms.iu - c0.iu) ** 2), 0.75) ** 2 AS wt, r, g, b FROM ms JOIN c0 ON ms.scene = c0.scene QUALIFY row_number() OVER (PARTITION BY ms.scene, ms.iy, ms.iu ORDER BY (ms.iy - c0.iy) ** 2 + (ms.iu - c0.iu) ** 2, c0.iy, c0.iu) <= 4)
-SELECT scene, wall, iy, iu, true AS observed, round(r, 5) AS r, round(g, 5) AS g, round(b, 5) AS b FROM c0
-UNION ALL SELECT scene, wall, iy, iu, false, round(sum(r * wt) / sum(wt), 5), round(sum(g * wt) / sum(wt), 5), round(sum(b * wt) / sum(wt), 5) FROM nn GROUP BY scene, wall, iy, iu"""),
-    "color_field_filled_walls": duck("points", f"""{_COLORS},
 ce AS (SELECT scene, wall, iy, iu FROM wl, LATERAL (SELECT unnest(range(0, ny)) AS iy), LATERAL (SELECT unnest(range(0, nu)) AS iu)),
 ms AS (SELECT ce.* FROM ce ANTI JOIN cl USING (scene, wall, iy, iu)),
 nn AS (SELECT ms.scene, ms.wall, ms.iy, ms.iu, 1 / greatest(sqrt((ms.iy - cl.iy) ** 2 + (ms.iu - cl.iu) ** 2), 0.75) ** 2 AS wt, r, g, b FROM ms JOIN cl ON ms.scene = cl.scene AND ms.wall = cl.wall QUALIFY row_number() OVER (PARTITION BY ms.scene, ms.wall, ms.iy, ms.iu ORDER BY (ms.iy - cl.iy) ** 2 + (ms.iu - cl.iu) ** 2, cl.iy, cl.iu) <= 4)

@@ -10,11 +10,12 @@ from ..operators import scene_objects as ops
 from ..plans import scene as plan
 from ..sources.carriers import carrier, duck
 from ..streaming import jobs
-from .points import fit_sql
+from .points import _SUPPORT, _TRACKS, fit_sql
+from .points import _support as support_of_tracks
 
 
 def _r(*names: str, places: int = 6) -> list:
-    return [F.round(n, places).alias(n) for n in names]
+    return [(F.round(n, places) + 0.0).alias(n) for n in names]
 
 
 def layout_merge(spark: SparkSession, sf: str) -> DataFrame:
@@ -87,6 +88,25 @@ def geometry_audit(spark: SparkSession, sf: str) -> DataFrame:
     return audit.audit(e, places=6)
 
 
+def evidence_audit(spark: SparkSession, sf: str) -> DataFrame:
+    """The audit with evidence worked out from the clouds: mutual overlap of an object's tracks, stability, planarity, gap to the floor."""
+    points = carrier(spark, sf, "points").withColumn("inst_id", F.col("obj_id"))
+    tracks = points.select("inst_id", (F.col("obj_id") * 4 + F.col("frame") % 4).alias("obs_id"), (F.col("frame") % 4).alias("frame")).distinct()
+    overlap = audit.median_pair_overlap(support_of_tracks(spark, sf), tracks)
+    steady = audit.stability(instances.robust_bounds(points.withColumn("half", F.col("frame") % 4), ["inst_id", "half"]))
+    flat = audit.planarity(points, ["inst_id"])
+    seen = points.groupBy("inst_id").agg(F.countDistinct(F.col("frame") % 4).alias("frames"), (F.percentile("y", 0.02) - 0.01).alias("floor_gap"))
+    label = F.expr("CASE inst_id % 4 WHEN 0 THEN 'chair' WHEN 1 THEN 'monitor' WHEN 2 THEN 'lamp' ELSE 'table' END")
+    return audit.audit(audit.evidence(seen.withColumn("label", label), overlap, steady, flat).withColumn("room_height", F.lit(2.5)), places=6)
+
+
+def audited_split(spark: SparkSession, sf: str) -> DataFrame:
+    """Kept and rejected instances of the evidence audit, counted by status."""
+    kept, rejected = audit.split_by_status(evidence_audit(spark, sf))
+    parts = kept.withColumn("kept", F.lit(True)).unionAll(rejected.withColumn("kept", F.lit(False)))
+    return parts.groupBy("status", "kept").agg(F.count(F.lit(1)).alias("n"))
+
+
 def reflector_containment(spark: SparkSession, sf: str) -> DataFrame:
     cells = carrier(spark, sf, "mask_cells").select((F.expr("mask_id div 5")).alias("frame"), F.col("mask_id").alias("det_id"), F.col("ix").alias("u"), F.col("iy").alias("v"))
     refl = cells.filter("det_id % 5 < 2").select("frame", F.col("det_id").alias("refl_id"), F.when(F.col("det_id") % 5 == 0, "mirror").otherwise("tv").alias("label"), "u", "v")
@@ -114,7 +134,7 @@ SELECT scene, obj_id, CASE WHEN go THEN coalesce(trim(ul), label) ELSE label END
 _GONE = "dl AS (SELECT * FROM scene_objects WHERE obj_id % 3 = 1 OR obj_id % 10 = 2), st AS (SELECT * FROM scene_objects ANTI JOIN dl USING (scene, obj_id))"
 
 QUERIES = {f.__name__: f for f in (
-    layout_merge, layout_validation, asset_gc, object_delete, object_add, object_replace, scene_summary, scene_json, job_latest_state, job_progress_windows, object_stability, cloud_planarity, geometry_audit,
+    layout_merge, layout_validation, asset_gc, object_delete, object_add, object_replace, scene_summary, scene_json, job_latest_state, job_progress_windows, object_stability, cloud_planarity, geometry_audit, evidence_audit, audited_split,
     reflector_containment, exclude_mask, scene_build,
 )}
 _BUILD = f"""lv AS (SELECT scene, quantile_cont(y, 0.03) AS fl, median(x) AS mx, median(z) AS mz FROM points GROUP BY scene),
@@ -134,8 +154,32 @@ ac AS (SELECT p.scene, p.label, p.inst_id AS earlier, q.inst_id AS later FROM ra
 {fit_sql('ranked', 'ac', 'scene, label', 'inst_id', True)},
 rp AS (SELECT g.inst_id, first_value(g.inst_id) OVER (PARTITION BY g.scene, g.label, g.seed ORDER BY frames_seen DESC, n_points DESC, g.inst_id) AS rep FROM placed_ g JOIN mv ON mv.inst_id = g.inst_id)
 SELECT scene, mv.inst_id, label, round(px, 4) AS px, round(py, 4) AS py, round(pz, 4) AS pz, round(yaw, 4) AS yaw, round(w, 4) AS w, round(h, 4) AS h, round(d, 4) AS d, metric, rep FROM mv JOIN rp ON rp.inst_id = mv.inst_id"""
+#: Eigenvalues of each object's 3 x 3 covariance by the trigonometric formula; the normal is the longest cross product of two rows of (A - least I).
+_PLANAR_SQL = """cv AS (SELECT obj_id, covar_samp(x, x) AS xx, covar_samp(x, y) AS xy, covar_samp(x, z) AS xz, covar_samp(y, y) AS yy, covar_samp(y, z) AS yz, covar_samp(z, z) AS zz FROM {src} GROUP BY obj_id HAVING count(*) >= 30),
+e1 AS (SELECT *, (xx + yy + zz) / 3 AS q FROM cv), e2 AS (SELECT *, sqrt(((xx - q) ** 2 + (yy - q) ** 2 + (zz - q) ** 2 + 2 * (xy ** 2 + xz ** 2 + yz ** 2)) / 6) AS p FROM e1),
+e3 AS (SELECT *, acos(least(greatest(((xx - q) * ((yy - q) * (zz - q) - yz * yz) - xy * (xy * (zz - q) - yz * xz) + xz * (xy * yz - (yy - q) * xz)) / (p * p * p) / 2, -1), 1)) / 3 AS phi FROM e2),
+e4 AS (SELECT *, q + 2 * p * cos(phi) AS l2, q + 2 * p * cos(phi + 2 * pi() / 3) AS l0 FROM e3),
+e5 AS (SELECT *, [[xy * yz - xz * (yy - l0), xz * xy - (xx - l0) * yz, (xx - l0) * (yy - l0) - xy * xy], [xy * (zz - l0) - xz * yz, xz * xz - (xx - l0) * (zz - l0), (xx - l0) * yz - xy * xz], [(yy - l0) * (zz - l0) - yz * yz, yz * xz - xy * (zz - l0), xy * yz - (yy - l0) * xz]] AS c FROM e4),
+e6 AS (SELECT *, list_sort(list_transform(c, lambda v: [sqrt(v[1] ** 2 + v[2] ** 2 + v[3] ** 2), abs(v[2])]))[3] AS n FROM e5),
+pl AS (SELECT obj_id, least(greatest(1 - greatest(l0, 0) / greatest(l2, 1e-9) / 0.08, 0), 1) AS planarity, n[2] / n[1] AS normal_y FROM e6)"""
+_STABLE_SQL = """b AS (SELECT obj_id, frame % 4 AS k, """ + ", ".join(f"quantile_cont({c}, 0.05) AS l{c}, quantile_cont({c}, 0.95) AS h{c}" for c in "xyz") + """ FROM points GROUP BY obj_id, frame % 4 HAVING count(*) >= 10),
+e AS (SELECT obj_id, """ + ", ".join(f"greatest(h{c} - l{c}, 1e-6) AS e{c}, (l{c} + h{c}) / 2 AS c{c}" for c in "xyz") + """ FROM b),
+r_ AS (SELECT obj_id, """ + ", ".join(f"median(e{c}) AS re{c}, median(c{c}) AS rc{c}" for c in "xyz") + """ FROM e GROUP BY obj_id),
+d_ AS (SELECT e.obj_id, sqrt((cx - rcx) ** 2 + (cy - rcy) ** 2 + (cz - rcz) ** 2) AS drift, greatest(sqrt(rex ** 2 + rey ** 2 + rez ** 2), 1e-6) AS dd, [abs(ex - rex) / greatest(rex, 1e-6), abs(ey - rey) / greatest(rey, 1e-6), abs(ez - rez) / greatest(rez, 1e-6)] AS g FROM e JOIN r_ USING (obj_id)),
+x_ AS (SELECT obj_id, exp(-median(g) / 0.35) AS extent FROM (SELECT obj_id, unnest(g) AS g FROM d_) GROUP BY obj_id),
+sb AS (SELECT d_.obj_id, exp(-median(drift) / (0.20::DOUBLE * any_value(dd))) AS centre, any_value(extent) AS extent FROM d_ JOIN x_ ON x_.obj_id = d_.obj_id GROUP BY d_.obj_id)"""
+_LABEL = "CASE obj_id % 4 WHEN 0 THEN 'chair' WHEN 1 THEN 'monitor' WHEN 2 THEN 'lamp' ELSE 'table' END"
 ORACLES = {
     "scene_build": duck("points", _BUILD),
+    "cloud_planarity": duck("points", "fl AS (SELECT * REPLACE (z / 100 AS z) FROM points), " + _PLANAR_SQL.replace("{src}", "fl") + " SELECT obj_id, round(planarity, 6) AS planarity, round(normal_y, 6) AS normal_y FROM pl"),
+    "scene_json": duck("scene_objects", """o AS (SELECT scene, list({'obj_id': obj_id, 'label': label, 'position': [px, py, pz], 'yaw': yaw, 'glb': glb} ORDER BY obj_id) AS objects FROM scene_objects GROUP BY scene)
+SELECT scene, CAST(to_json({'name': CAST(scene AS VARCHAR), 'room': {'width': 4.0::DOUBLE, 'depth': 3.0::DOUBLE, 'height': 2.5::DOUBLE}, 'objects': objects}) AS VARCHAR) AS document FROM o"""),
+    "evidence_audit": duck("points", f"""{_TRACKS}, {_SUPPORT}, {_PLANAR_SQL.replace("{src}", "points")}, {_STABLE_SQL},
+ov AS (SELECT earlier // 4 AS obj_id, median(support_mean) AS overlap FROM su GROUP BY ALL),
+fr AS (SELECT obj_id, count(DISTINCT frame % 4) AS frames, greatest(quantile_cont(y, 0.02) - 0.01::DOUBLE, 0) AS gap, {_LABEL} AS label FROM points GROUP BY obj_id),
+ev AS (SELECT fr.*, coalesce(overlap, 0) AS ov, coalesce(centre, 0) AS ce, coalesce(extent, 0) AS ex, coalesce(planarity, 0) AS pl_, coalesce(normal_y, 0) AS ny FROM fr LEFT JOIN ov USING (obj_id) LEFT JOIN sb USING (obj_id) LEFT JOIN pl USING (obj_id)),
+g_ AS (SELECT *, least(greatest(0.50::DOUBLE * ov + 0.25::DOUBLE * ce + 0.25::DOUBLE * ex, 0), 1) AS geometry, (label <> 'monitor' AND pl_ >= 0.75 AND ny <= 0.45) OR (frames >= 2 AND ov < 0.15 AND ce < 0.5) AS conflict, CASE WHEN label IN ('chair', 'table') THEN gap / 2.5 ELSE 0 END AS gr FROM ev)
+SELECT obj_id AS inst_id, round(geometry, 6) AS geometry, 0::DOUBLE AS reflection, conflict, CASE WHEN frames <= 3 AND gr >= 0.30 THEN 'rejected_unsupported' WHEN frames < 2 THEN 'uncertain' ELSE 'accepted' END AS status FROM g_"""),
     "layout_merge": duck("scene_objects layout_updates", _MERGE.format(upd="layout_updates")),
     "layout_validation": duck("scene_objects layout_updates", """b AS (SELECT * REPLACE (CASE WHEN ord % 397 = 1 THEN '  ' WHEN ord % 401 = 1 THEN 'a' || chr(9) || 'b' ELSE label END AS label, CASE WHEN ord % 409 = 1 THEN 500.0::DOUBLE ELSE editor_scale END AS editor_scale) FROM layout_updates), """ + _MERGE.format(upd="b")),
     "asset_gc": duck("scene_objects", f"{_GONE}, c AS (SELECT DISTINCT scene, unnest([glb, 'objects/' || obj_id || '.glb', 'objects/' || obj_id || '_custom.glb', 'objects/' || obj_id || '_trellis.glb']) AS path FROM dl) SELECT scene, path FROM c WHERE (scene, path) NOT IN (SELECT (scene, glb) FROM st)"),
@@ -163,3 +207,4 @@ h AS (SELECT a.mask_id, b.mask_id AS r, CASE WHEN b.mask_id % 5 = 0 THEN 'mirror
 SELECT n.mask_id AS det_id, round(max(coalesce(k, 0) / greatest(n, 1)), 6) AS ratio, coalesce(string_agg(DISTINCT label, ',' ORDER BY label) FILTER (WHERE k / n >= 0.5), '') AS labels FROM n LEFT JOIN h ON h.mask_id = n.mask_id GROUP BY n.mask_id"""),
     "exclude_mask": duck("mask_cells", "SELECT DISTINCT mask_id // 5 AS frame, ix + a AS u, iy + b AS v FROM mask_cells, range(-1, 2) p(a), range(-1, 2) q(b) WHERE mask_id % 2 = 0 AND mask_id % 6 <> 0 AND ix + a BETWEEN 0 AND 15 AND iy + b BETWEEN 0 AND 9"),
 }
+ORACLES["audited_split"] = "SELECT status, NOT starts_with(status, 'rejected') AS kept, count(*) AS n FROM (" + ORACLES["evidence_audit"] + ") GROUP BY ALL"

@@ -6,6 +6,8 @@ computed from whole input tables. One text serves both engines: ``DIV`` is integ
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
 _CANONICAL = "'server rack', 'cabinet', 'table', 'chair', 'monitor', 'whiteboard', 'shelf', 'printer', 'sofa', 'door', 'window', 'network switch', 'patch panel', 'cable tray'"
@@ -99,8 +101,23 @@ def carrier(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.sql(text, **frames)
 
 
+def unsigned_zeros(sql: str) -> str:
+    """The SQL with 0 added to every rounded value: Spark rounds a small negative number to 0, DuckDB to -0."""
+    out, at = [], 0
+    for m in re.finditer(r"(?<![a-z_])round\(", sql):
+        if m.start() < at:
+            raise ValueError("nested rounding")
+        depth, end = 1, m.end()
+        while depth:
+            depth += {"(": 1, ")": -1}.get(sql[end], 0)
+            end += 1
+        out += [sql[at : m.start()], f"({sql[m.start():end]} + 0)"]
+        at = end
+    return "".join(out) + sql[at:]
+
+
 def duck(names: str, body: str) -> str:
     """DuckDB SQL: the carriers named (blank-separated) as CTEs, then the body, which starts with its own CTEs ("x AS (...)," or none) or SELECT."""
     ctes = ",\n".join(f"{n} AS ({CARRIERS[n][1].replace('DIV', '//')})" for n in names.split())
-    body = body.strip()
+    body = unsigned_zeros(body.strip())
     return f"WITH RECURSIVE {ctes}\n{body}" if body.upper().startswith("SELECT") else f"WITH RECURSIVE {ctes},\n{body}"

@@ -9,8 +9,7 @@ import pytest
 from roomlake.registry import all_oracles, all_queries
 
 SF = "/root/testdata/sf0.001"
-# one of each family; the driver compares all of them at a larger size
-NAMES = ["nms_keep", "cannot_link_pairs", "linspace_sample", "sharpest_frames", "snap_label", "suggest_labels", "review_apply", "cluster_3d_light", "label_vote", "complete_link_groups", "nn_overlap_support", "tsdf_zero_cross", "placement", "room_rect", "wall_evidence", "wall_fill", "color_field_filled", "mask_rectangles", "visual_groups", "fit_points_dedupe", "largest_component", "layout_validation", "asset_gc", "job_latest_state"]
+NAMES = sorted(all_oracles())
 
 
 @pytest.fixture(scope="module")
@@ -37,7 +36,7 @@ def test_every_oracle_has_a_query():
 
 
 def test_filled_colors_of_every_wall(spark, con):
-    test_query_equals_sql(spark, con, "color_field_filled_walls")
+    test_query_equals_sql(spark, con, "color_field_filled")
     seen = {(r.scene, r.wall) for r in all_queries()["color_field_observed"](spark, SF).collect()}
-    filled = {(r.scene, r.wall) for r in all_queries()["color_field_filled_walls"](spark, SF).collect()}
+    filled = {(r.scene, r.wall) for r in all_queries()["color_field_filled"](spark, SF).collect()}
     assert filled == seen and len({wall for _, wall in filled}) > 1
