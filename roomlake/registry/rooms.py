@@ -13,6 +13,14 @@ def _r(*names: str, places: int = 6) -> list:
     return [(F.round(n, places) + 0.0).alias(n) for n in names]
 
 
+#: Added before rounding weighted means of lattice values, which may end in a 5 just behind the last digit.
+TIE = 1.23e-8
+
+
+def _rgb(places: int = 5) -> list:
+    return [F.round(F.col(c) + TIE, places).alias(c) for c in "rgb"]
+
+
 def _points(spark: SparkSession, sf: str) -> DataFrame:
     return carrier(spark, sf, "points")
 
@@ -129,7 +137,7 @@ def color_field_filled(spark: SparkSession, sf: str) -> DataFrame:
     rooms = _rooms(spark, sf)
     seen = room.wall_colors(_wide(spark, sf), rooms, least=1)
     grid = room.walls_of(rooms).withColumn("iy", F.explode(F.expr("sequence(0L, ny - 1)"))).withColumn("iu", F.explode(F.expr("sequence(0L, nu - 1)"))).select("scene", "wall", "iy", "iu")
-    return room.fill_colors(seen, grid, ["scene", "wall"]).select("scene", "wall", "iy", "iu", "observed", *_r("r", "g", "b", places=5))
+    return room.fill_colors(seen, grid, ["scene", "wall"]).select("scene", "wall", "iy", "iu", "observed", *_rgb())
 
 
 def _flat(spark: SparkSession, sf: str) -> DataFrame:
@@ -149,7 +157,7 @@ def _horizontal_filled(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def horizontal_color_filled(spark: SparkSession, sf: str) -> DataFrame:
-    return _horizontal_filled(spark, sf).select("scene", "surface", "iz", "ix", "observed", *_r("r", "g", "b", places=5))
+    return _horizontal_filled(spark, sf).select("scene", "surface", "iz", "ix", "observed", *_rgb())
 
 
 def horizontal_patches(spark: SparkSession, sf: str) -> DataFrame:
@@ -160,7 +168,7 @@ def horizontal_patches(spark: SparkSession, sf: str) -> DataFrame:
 
 def colored_patches(spark: SparkSession, sf: str) -> DataFrame:
     cells = _horizontal_filled(spark, sf).filter("not observed")
-    return assets.colored_patches(cells, _rooms(spark, sf)).select("scene", "surface", "iz", "ix", "corner", *_r("x", "y", "z", "r", "g", "b", places=5))
+    return assets.colored_patches(cells, _rooms(spark, sf)).select("scene", "surface", "iz", "ix", "corner", *_r("x", "y", "z", places=5), *_rgb())
 
 
 def mask_dilate(spark: SparkSession, sf: str) -> DataFrame:
@@ -223,6 +231,8 @@ _WIDE = "wd AS (SELECT * REPLACE (CASE WHEN x < 2.5 THEN 1.0::DOUBLE ELSE x END
 _COLORS = f"""{_WALL}, {_WIDE}, {_NEAR.format(src='wd')},
 vw AS (SELECT scene, wall, iy, iu, frame, avg(r) AS r, avg(g) AS g, avg(b) AS b FROM nr GROUP BY ALL), cl AS (SELECT scene, wall, iy, iu, median(r) AS r, median(g) AS g, median(b) AS b FROM vw GROUP BY ALL)"""
 _RUNS = """dl AS (SELECT DISTINCT mask_id, iy + a AS iy, ix + b AS ix FROM mask_cells, (VALUES (0, 0), (1, 0), (-1, 0), (0, 1), (0, -1)) t(a, b) WHERE iy + a BETWEEN 0 AND 9 AND ix + b BETWEEN 0 AND 15)"""
+_RGB = ", ".join(f"round({c} + {TIE}::DOUBLE, 5) AS {c}" for c in "rgb")
+_RGB_MEAN = ", ".join(f"round(sum({c} * wt) / sum(wt) + {TIE}::DOUBLE, 5)" for c in "rgb")
 _FLAT = "fp AS (SELECT * REPLACE (CASE WHEN y < 0.9 THEN 0.0::DOUBLE WHEN y > 1.2 THEN 2.0::DOUBLE ELSE y END AS y) FROM points)"
 _PLANES = f"""{_ROOM}, {_FLAT},
 sp AS (SELECT scene, xmin, xmax, zmin, zmax, height, s.surface, s.level, CAST(least(greatest(ceil((xmax - xmin) / 0.2::DOUBLE), 1), 96) AS BIGINT) AS nx, CAST(least(greatest(ceil((zmax - zmin) / 0.2::DOUBLE), 1), 96) AS BIGINT) AS nz FROM rm, LATERAL (VALUES ('floor', 0.0::DOUBLE), ('ceiling', height)) s(surface, level)),
@@ -235,8 +245,8 @@ hn AS (SELECT hm.*, 1 / greatest(sqrt((hm.iz - hl.iz) ** 2 + (hm.ix - hl.ix) **
 hf AS (SELECT scene, surface, iz, ix, sum(r * wt) / sum(wt) AS r, sum(g * wt) / sum(wt) AS g, sum(b * wt) / sum(wt) AS b FROM hn GROUP BY ALL)"""
 ORACLES = {
     "horizontal_color_observed": duck("points", f"{_PLANES} SELECT scene, surface, iz, ix, round(r, 6) AS r, round(g, 6) AS g, round(b, 6) AS b FROM hl"),
-    "horizontal_color_filled": duck("points", f"""{_PLANES} SELECT scene, surface, iz, ix, true AS observed, round(r, 5) AS r, round(g, 5) AS g, round(b, 5) AS b FROM hl
-UNION ALL SELECT scene, surface, iz, ix, false, round(r, 5), round(g, 5), round(b, 5) FROM hf"""),
+    "horizontal_color_filled": duck("points", f"""{_PLANES} SELECT scene, surface, iz, ix, true AS observed, {_RGB} FROM hl
+UNION ALL SELECT scene, surface, iz, ix, false, {_RGB} FROM hf"""),
     "horizontal_patches": duck("points", f"""{_PLANES},
 ho AS (SELECT scene, surface, iz, ix FROM he ANTI JOIN (SELECT DISTINCT scene, surface, iz, ix FROM hc) o USING (scene, surface, iz, ix)),
 ru AS (SELECT scene, surface, iz, min(ix) AS u0, max(ix) + 1 AS u1 FROM (SELECT *, ix - row_number() OVER (PARTITION BY scene, surface, iz ORDER BY ix) AS k FROM ho) GROUP BY scene, surface, iz, k),
@@ -244,9 +254,9 @@ rc AS (SELECT scene, surface, min(iz) AS y0, max(iz) + 1 AS y1, u0, u1 FROM (SEL
 SELECT scene, surface, round(xmin + (u0 + u1) / 2 * ((xmax - xmin) / nx), 6) AS x, round(CASE surface WHEN 'floor' THEN -0.02::DOUBLE ELSE height + 0.02::DOUBLE END, 6) AS y, round(zmin + (y0 + y1) / 2 * ((zmax - zmin) / nz), 6) AS z,
   round((u1 - u0) * ((xmax - xmin) / nx), 6) AS dx, round((y1 - y0) * ((zmax - zmin) / nz), 6) AS dz FROM rc JOIN sp USING (scene, surface)"""),
     "colored_patches": duck("points", f"""{_PLANES},
-cr AS (SELECT * FROM (VALUES ('floor', 0::BIGINT, 0, 0), ('floor', 1, 0, 1), ('floor', 2, 1, 1), ('floor', 3, 1, 0), ('ceiling', 0, 0, 0), ('ceiling', 1, 1, 0), ('ceiling', 2, 1, 1), ('ceiling', 3, 0, 1)) t(surface, corner, a, b))
-SELECT scene, surface, iz, ix, corner, round(xmin + (ix + a) / nx * (xmax - xmin), 5) AS x, round(CASE surface WHEN 'floor' THEN -0.01::DOUBLE ELSE height + 0.01::DOUBLE END, 5) AS y, round(zmin + (iz + cr.b) / nz * (zmax - zmin), 5) AS z,
-  round(hf.r, 5) AS r, round(hf.g, 5) AS g, round(hf.b, 5) AS b FROM hf JOIN sp USING (scene, surface) JOIN cr USING (surface)"""),
+cr AS (SELECT * FROM (VALUES ('floor', 0::BIGINT, 0, 0), ('floor', 1, 0, 1), ('floor', 2, 1, 1), ('floor', 3, 1, 0), ('ceiling', 0, 0, 0), ('ceiling', 1, 1, 0), ('ceiling', 2, 1, 1), ('ceiling', 3, 0, 1)) t(surface, corner, dx, dz))
+SELECT scene, surface, iz, ix, corner, round(xmin + (ix + dx) / nx * (xmax - xmin), 5) AS x, round(CASE surface WHEN 'floor' THEN -0.01::DOUBLE ELSE height + 0.01::DOUBLE END, 5) AS y, round(zmin + (iz + dz) / nz * (zmax - zmin), 5) AS z,
+  {_RGB} FROM hf JOIN sp USING (scene, surface) JOIN cr USING (surface)"""),
     "principal_yaw": duck("points", f"{_YAW} SELECT obj_id, round(yaw, 5) AS yaw, round(ratio, 5) AS ratio FROM yw"),
     "placement": duck("points", f"""{_YAW},
 sn AS (SELECT obj_id, CASE WHEN abs(y1 - round_even(y1 / (pi() / 2), 0) * (pi() / 2)) <= radians(15) THEN round_even(y1 / (pi() / 2), 0) * (pi() / 2) ELSE y1 END AS yaw FROM (SELECT obj_id, CASE WHEN ratio >= 1.2 THEN yaw ELSE 0 END AS y1 FROM yw)),
@@ -298,8 +308,8 @@ SELECT g1.mask_id, g1.iy, g1.iu, (oc OR fl.iy IS NOT NULL) AND NOT ob AND NOT op
 ce AS (SELECT scene, wall, iy, iu FROM wl, LATERAL (SELECT unnest(range(0, ny)) AS iy), LATERAL (SELECT unnest(range(0, nu)) AS iu)),
 ms AS (SELECT ce.* FROM ce ANTI JOIN cl USING (scene, wall, iy, iu)),
 nn AS (SELECT ms.scene, ms.wall, ms.iy, ms.iu, 1 / greatest(sqrt((ms.iy - cl.iy) ** 2 + (ms.iu - cl.iu) ** 2), 0.75) ** 2 AS wt, r, g, b FROM ms JOIN cl ON ms.scene = cl.scene AND ms.wall = cl.wall QUALIFY row_number() OVER (PARTITION BY ms.scene, ms.wall, ms.iy, ms.iu ORDER BY (ms.iy - cl.iy) ** 2 + (ms.iu - cl.iu) ** 2, cl.iy, cl.iu) <= 4)
-SELECT scene, wall, iy, iu, true AS observed, round(r, 5) AS r, round(g, 5) AS g, round(b, 5) AS b FROM cl
-UNION ALL SELECT scene, wall, iy, iu, false, round(sum(r * wt) / sum(wt), 5), round(sum(g * wt) / sum(wt), 5), round(sum(b * wt) / sum(wt), 5) FROM nn GROUP BY scene, wall, iy, iu"""),
+SELECT scene, wall, iy, iu, true AS observed, {_RGB} FROM cl
+UNION ALL SELECT scene, wall, iy, iu, false, {_RGB_MEAN} FROM nn GROUP BY scene, wall, iy, iu"""),
     "mask_dilate": duck("mask_cells", f"""{_RUNS} SELECT mask_id, iy, ix, 'cross' AS kind FROM dl
 UNION ALL SELECT DISTINCT mask_id, iy + a, ix + b, 'box5' FROM mask_cells, range(-2, 3) p(a), range(-2, 3) q(b) WHERE iy + a BETWEEN 0 AND 9 AND ix + b BETWEEN 0 AND 15"""),
     "mask_resize": duck("mask_cells", "SELECT mask_id, a AS iy, b AS ix FROM mask_cells, range(0, 7) p(a), range(0, 25) q(b) WHERE a * 10 // 7 = iy AND b * 16 // 25 = ix"),
