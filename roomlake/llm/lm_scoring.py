@@ -188,14 +188,26 @@ def _codes(h: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     return codes, at[:n], at[n : 2 * n], context
 
 
-def corpus_cross_entropy_difference(docs: DataFrame, key: str = "doc_id", text: str = "text", is_target: str = "is_target") -> DataFrame:
+def _occurrences(owner: np.ndarray, code: np.ndarray) -> np.ndarray:
+    """How often each token's code occurs in the token's own document."""
+    _, at, n = np.unique(owner * (int(code.max(initial=0)) + 1) + code, return_inverse=True, return_counts=True)
+    return n[at]
+
+
+def corpus_cross_entropy_difference(docs: DataFrame, key: str = "doc_id", text: str = "text", is_target: str = "is_target", leave_one_out: bool = True) -> DataFrame:
     """The columns of cross_entropy_difference, by models of all words and all bigrams of ``docs`` themselves.
 
+    With ``leave_one_out`` a document's own words and bigrams are taken out of its own model first, so no document is near the
+    target for being part of it; one that occurs twice is still known from its copy.
+
     Documents go in chunks of about CHUNK_TOKENS tokens. A chunk sends its distinct words and bigrams with its counts to the
     parts of the table of counts, by the leading bits of their 64-bit codes; a part sums them over all chunks and sends
     each chunk the sums of what it asked for, so nothing is cut or broadcast and no task holds more than a chunk or a
     part. The number of parts follows the corpus's tokens, and a frequent bigram is one entry a chunk. Two of n bigrams share a code with
     probability n * n / 2 ** 65 or so: 0.5 at the 4e9 of 30 GB.
+
+    Null, empty and blank texts have no tokens and zeros; whole texts of any length are read (a longer one than CHUNK_TOKENS is a chunk of its
+    own); null keys, ties and repeated rows are documents of their own; an empty table gives no rows; other columns are not read.
     """
     small_batches(docs.sparkSession)
     kind = docs.select(key).schema[0].dataType.simpleString()
@@ -252,7 +264,7 @@ def corpus_cross_entropy_difference(docs: DataFrame, key: str = "doc_id", text:
             place = np.empty(len(order), np.uint32)
             place[order] = np.arange(len(order), dtype=np.uint32)
             own = pa.ListArray.from_arrays(pa.array([0, len(keys)], pa.int32()), keys)
-            yield row(chunk, -1 - chunk, own, _pack(sorted_h[order]), _pack(place[rank]), _pack(sizes))
+            yield row(chunk, -1 - chunk, own, _pack(sorted_h[order]), _pack(place[rank]), _pack(2 * sizes + target))
             bounds = [0, *np.searchsorted(codes, edges).tolist(), len(codes)]
             none = pa.ListArray.from_arrays(pa.array([0, 0], pa.int32()), keys[:0])
             for part, (a, b) in enumerate(zip(bounds, bounds[1:])):
@@ -285,16 +297,27 @@ def corpus_cross_entropy_difference(docs: DataFrame, key: str = "doc_id", text:
     def score(group: pa.Table) -> pa.Table:
         group = group.sort_by("part")
         own = {c: group[c][0] for c in ("keys", "x", "y", "z")}
-        sizes = _unpack(own["z"].as_py(), np.int64)
+        marked = _unpack(own["z"].as_py(), np.int64)
+        sizes, target = marked >> 1, (marked & 1).astype(bool)
         codes, word, pair, context = _codes(_unpack(own["x"].as_py(), np.uint64)[_unpack(own["y"].as_py(), np.uint32)], sizes)
         owner, per = np.repeat(np.arange(len(sizes)), sizes), []
+        if leave_one_out:
+            own_word, own_pair = _occurrences(owner, word), _occurrences(owner, pair)
+            own_context = np.concatenate([own_word[:1], own_word])[: len(word)]
+            own_context[(np.cumsum(sizes) - sizes)[sizes > 0]] = 1  # the start
+        left = [np.where(target == (m == 0), tokens[m] - leave_one_out * sizes, tokens[m]) for m in range(2)]
         for m, name in enumerate(("y", "z")):
             n = np.concatenate([_unpack(x.as_py(), np.uint64) for x in group[name][1:]]).astype(np.float64)
             if group["part"][0].as_py() >= 0 or len(n) != len(codes):
                 raise RuntimeError("a chunk of documents and its counts do not match: a task that was run again read other rows")
-            n *= max(tokens[0], 1) / max(tokens[m], 1)
-            alone = (n[word] + 1) / (tokens[m] * max(tokens[0], 1) / max(tokens[m], 1) + n_words + 2)
-            p = (n[pair] + SMOOTHING * alone) / (n[context] + SMOOTHING)
+            n_word, n_pair, n_context = n[word], n[pair], n[context]
+            if leave_one_out:
+                mine = (target == (m == 0))[owner]
+                n_word, n_pair, n_context = n_word - mine * own_word, n_pair - mine * own_pair, n_context - mine * own_context
+            match = np.maximum(left[0], 1) / np.maximum(left[m], 1)
+            scale = match[owner]
+            alone = (n_word * scale + 1) / ((left[m] * match)[owner] + n_words + 2)
+            p = (n_pair * scale + SMOOTHING * alone) / (n_context * scale + SMOOTHING)
             per.append(np.bincount(owner, -np.log(p), len(sizes)) / np.maximum(sizes, 1))
         return pa.Table.from_arrays([own["keys"].values, pa.array(sizes), pa.array(per[0]), pa.array(per[1]), pa.array(per[0] - per[1])], names=[key, "n_tokens", "target_loss", "background_loss", "score"])
 

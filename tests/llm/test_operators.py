@@ -142,13 +142,13 @@ def test_lm_corpus_scores_keep_every_word_and_pair(spark, awkward, monkeypatch):
     want = show(lm_scoring.cross_entropy_difference(docs, lm_scoring.fit(docs)))
     monkeypatch.setattr(lm_scoring, "VOCABULARY", 5)
     monkeypatch.setattr(lm_scoring, "MAX_BIGRAMS", 5)
-    assert show(lm_scoring.corpus_cross_entropy_difference(docs)) == want
+    assert show(lm_scoring.corpus_cross_entropy_difference(docs, leave_one_out=False)) == want
     # chunks of a document or two, many parts, a cache that is emptied
     monkeypatch.setattr(lm_scoring, "CHUNK_TOKENS", 50)
     monkeypatch.setattr(lm_scoring, "PART_TOKENS", 1000)
     monkeypatch.setattr(lm_scoring, "_HELD_WORDS", 20)
     monkeypatch.setattr(lm_scoring, "_CHUNK_CHARS", 100)
-    assert show(lm_scoring.corpus_cross_entropy_difference(docs)) == want
+    assert show(lm_scoring.corpus_cross_entropy_difference(docs, leave_one_out=False)) == want
     assert lm_scoring.corpus_cross_entropy_difference(docs.limit(0)).count() == 0
 
 
@@ -157,18 +157,50 @@ def test_lm_query_counts_more_pairs_than_a_bounded_model(spark, tmp_path):
     rng = random.Random(5)
     texts = [rng.choices(words, k=18000) for _ in range(70)]
     spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    spark.createDataFrame([(0, 1)], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(0, 1), (2, 1)], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
     assert len({p for t in texts for p in zip(t, t[1:])}) > lm_scoring.MAX_BIGRAMS
     got = {r.doc_id: r.target_loss for r in op3_lm_cross_entropy_difference(spark, str(tmp_path)).collect()}
-    single, pair = collections.Counter(texts[0]), collections.Counter(zip(["", *texts[0]], texts[0]))
-    for k in (0, 1):
-        total = 0.0
+    # each target document is left out of its own model
+    for k, known in ((0, [2]), (2, [0]), (1, [0, 2])):
+        single, pair = collections.Counter(w for d in known for w in texts[d]), collections.Counter(p for d in known for p in zip(["", *texts[d]], texts[d]))
+        total, n = 0.0, 18000 * len(known)
         for before, w in zip(["", *texts[k]], texts[k]):
-            alone = (single[w] + 1) / (18000 + len(words) + 2)
-            total -= math.log((pair[(before, w)] + lm_scoring.SMOOTHING * alone) / ((single[before] if before else 1) + lm_scoring.SMOOTHING))
+            alone = (single[w] + 1) / (n + len(words) + 2)
+            total -= math.log((pair[(before, w)] + lm_scoring.SMOOTHING * alone) / ((single[before] if before else len(known)) + lm_scoring.SMOOTHING))
         assert abs(got[k] - total / 18000) < 1e-6
 
 
+def test_lm_leaves_each_document_out(spark, awkward, monkeypatch):
+    docs = awkward.withColumn("is_target", F.when(F.col("doc_id") < 20, True))
+    rows = [(r.doc_id, bool(r.is_target), (r.text or "").split()) for r in docs.collect()]
+    words = len({w for _, _, t in rows for w in t})
+    counts = []
+    for _, _, t in rows:
+        counts.append((collections.Counter(t) + collections.Counter({"": 1} if t else {}), collections.Counter(zip(["", *t], t))))
+    want = collections.Counter()
+    for k, (key, target, t) in enumerate(rows):
+        single, pair, tokens = [collections.Counter(), collections.Counter()], [collections.Counter(), collections.Counter()], [0, 0]
+        for j, (_, other, own) in enumerate(rows):
+            if j != k:
+                m = 0 if other else 1
+                single[m] += counts[j][0]
+                pair[m] += counts[j][1]
+                tokens[m] += len(own)
+        loss = []
+        for m in range(2):
+            scale, total = max(tokens[0], 1) / max(tokens[m], 1), 0.0
+            for before, w in zip(["", *t], t):
+                alone = (single[m][w] * scale + 1) / (tokens[m] * scale + words + 2)
+                total -= math.log((pair[m][(before, w)] * scale + lm_scoring.SMOOTHING * alone) / (single[m][before] * scale + lm_scoring.SMOOTHING))
+            loss.append(total / max(len(t), 1))
+        want[(key, len(t), round(loss[0], 6), round(loss[1], 6), round(loss[0] - loss[1], 6))] += 1
+    show = lambda df: collections.Counter((r.doc_id, r.n_tokens, round(r.target_loss, 6), round(r.background_loss, 6), round(r.score, 6)) for r in df.collect())
+    assert show(lm_scoring.corpus_cross_entropy_difference(docs)) == want
+    monkeypatch.setattr(lm_scoring, "CHUNK_TOKENS", 50)
+    monkeypatch.setattr(lm_scoring, "PART_TOKENS", 1000)
+    assert show(lm_scoring.corpus_cross_entropy_difference(docs)) == want
+
+
 # 4 language ID
 
 
