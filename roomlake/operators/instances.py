@@ -76,11 +76,10 @@ def shared_frame_duplicates(bounds: DataFrame, boxes_iou: DataFrame, iou: float
     return joined.filter(containment() >= held).select("inst_a", "inst_b")
 
 
-def split_track_pairs(bounds: DataFrame, separated: DataFrame, support: DataFrame | None, group: str, rank: str = "rank") -> DataFrame:
-    """(group, earlier, later, containment): tracks of one group that occupy one object.
+def split_track_candidates(bounds: DataFrame, separated: DataFrame, group: str, rank: str = "rank") -> DataFrame:
+    """(group, earlier, later, standard, containment): tracks of one group that may occupy one object, by their boxes alone.
 
-    Size ratios are taken earlier over later. ``support`` (earlier, later, support_max, support_mean) is
-    needed for pairs that pass the relaxed rules only; None lets none of those through.
+    Size ratios are taken earlier over later; ``standard``: they agree within a factor of two.
     """
     p, q = bounds.alias("p"), bounds.alias("q")
     on = (F.col(f"p.{group}") == F.col(f"q.{group}")) & (F.col(f"p.{rank}") < F.col(f"q.{rank}"))
@@ -88,17 +87,34 @@ def split_track_pairs(bounds: DataFrame, separated: DataFrame, support: DataFram
     within = lambda lo, hi: ((ratio[0] >= lo) & (ratio[0] <= hi) & (ratio[1] >= lo) & (ratio[1] <= hi) & (ratio[2] >= lo) & (ratio[2] <= hi))
     gap = norm(*[_axis(c, "p", "c") - _axis(c, "q", "c") for c in AXES])
     scale = F.greatest(norm(*[_extent("p", c) for c in AXES]), norm(*[_extent("q", c) for c in AXES]), F.lit(1e-6))
-    rows = p.join(q, on).filter(within(0.38, 2.6)).select(
-        F.col(f"p.{group}").alias(group), F.col("p.inst_id").alias("earlier"), F.col("q.inst_id").alias("later"),
-        within(0.5, 2.0).alias("standard"), containment().alias("containment"), (gap / scale <= 0.24).alias("near"),
-    ).filter((F.col("containment") >= 0.48) & F.col("near"))
-    rows = rows.join(separated.select(F.least("a", "b").alias("_a"), F.greatest("a", "b").alias("_b")), (F.least("earlier", "later") == F.col("_a")) & (F.greatest("earlier", "later") == F.col("_b")), "left_anti")
+    rows = p.join(q, on & within(0.38, 2.6) & (gap / scale <= 0.24)).select(
+        F.col(f"p.{group}").alias(group), F.col("p.inst_id").alias("earlier"), F.col("q.inst_id").alias("later"), within(0.5, 2.0).alias("standard"), containment().alias("containment")
+    ).filter(F.col("containment") >= 0.48)
+    apart = separated.select(F.least("a", "b").alias("_a"), F.greatest("a", "b").alias("_b"))
+    return rows.join(apart, (F.least("earlier", "later") == F.col("_a")) & (F.greatest("earlier", "later") == F.col("_b")), "left_anti")
+
+
+def split_tracks_needing_support(candidates: DataFrame) -> DataFrame:
+    """(earlier, later): candidates that only the overlap of their clouds can settle."""
+    return candidates.filter(~F.col("standard") | (F.col("containment") < 0.68)).select("earlier", "later")
+
+
+def split_track_pairs(bounds: DataFrame, separated: DataFrame, support: DataFrame | None, group: str, rank: str = "rank") -> DataFrame:
+    """(group, earlier, later, containment): tracks of one group that occupy one object.
+
+    ``support`` (earlier, later, support_max, support_mean) is
+    needed for pairs that pass the relaxed rules only; None lets none of those through.
+    """
+    return split_tracks_settled(split_track_candidates(bounds, separated, group, rank), support)
+
+
+def split_tracks_settled(candidates: DataFrame, support: DataFrame | None) -> DataFrame:
     if support is None:
-        return rows.filter(F.col("standard") & (F.col("containment") >= 0.68)).drop("standard", "near")
-    rows = rows.join(support, ["earlier", "later"], "left").fillna(0.0, ["support_max", "support_mean"])
+        return candidates.filter(F.col("standard") & (F.col("containment") >= 0.68)).drop("standard")
+    rows = candidates.join(support, ["earlier", "later"], "left").fillna(0.0, ["support_max", "support_mean"])
     first = F.col("standard") | ((F.col("support_max") >= 0.68) & (F.col("support_mean") >= 0.28))
     second = (F.col("containment") >= 0.68) | ((F.col("support_max") >= 0.48) & (F.col("support_mean") >= 0.20))
-    return rows.filter(first & second).drop("standard", "near", "support_max", "support_mean")
+    return rows.filter(first & second).drop("standard", "support_max", "support_mean")
 
 
 def cloud_support(points: DataFrame, pairs: DataFrame, scales: DataFrame, ratio: float = 0.075, least: int = 10) -> DataFrame:
