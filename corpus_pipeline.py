@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 from roomlake.llm import exact_dedup, mixing, near_dedup, packing, quality_cnn
+from roomlake.llm.common import shared_folder
 from roomlake.llm.queries import quality_model, tokenizer_path
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -49,20 +48,42 @@ STAGES = [
 ]
 
 
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; what a stage keeps is written under spark.checkpoint.dir (a temporary folder where that is unset) and read again."""
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    folder = os.path.join(shared or tempfile.mkdtemp(prefix="pipeline-"), f"pipeline-{uuid.uuid4().hex}")
+def run(spark: SparkSession, sf_dir: str, folder: str | None = None) -> DataFrame:
+    """All stages over ``documents``.
+
+    What a stage keeps is written and read again. ``folder`` names a shared place for it: a stage whose output is complete there
+    is not run again, so a run that failed goes on where it stopped; the outputs stay. Without it they go to a new
+    folder under spark.checkpoint.dir (a temporary one on a local master only) and each is deleted once the next is written. The last stage's result stands in checkpoints.
+    """
+    base = folder or f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (_, stage) in enumerate(STAGES):
-        out = stage(spark, docs, sf_dir)
-        if k == len(STAGES) - 1:
-            return out
-        out.write.parquet(f"{folder}/{k}")
-        docs = spark.read.parquet(f"{folder}/{k}")
-    return docs
+    for k, (_, stage) in enumerate(STAGES[:-1]):
+        if not _exists(spark, f"{base}/{k}/_SUCCESS"):
+            stage(spark, docs, sf_dir).write.mode("overwrite").parquet(f"{base}/{k}")
+        docs = spark.read.parquet(f"{base}/{k}")
+        if not folder and k:
+            _delete(spark, f"{base}/{k - 1}")
+    out = STAGES[-1][1](spark, docs, sf_dir)
+    if not folder:
+        _delete(spark, base)
+    return out
+
+
+def _path(spark: SparkSession, name: str) -> tuple:
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()), path
+
+
+def _exists(spark: SparkSession, name: str) -> bool:
+    files, path = _path(spark, name)
+    return files.exists(path)
+
+
+def _delete(spark: SparkSession, name: str) -> None:
+    files, path = _path(spark, name)
+    files.delete(path, True)
 
 
-#: A network decides in the first stage and a tokenizer cuts in the last, which SQL can't say. The tests cover
-#: the operators one by one, not the chained stages.
+#: A network decides in the first stage and a tokenizer cuts in the last, which SQL can't say; tests/llm compares
+#: every stage with brute force on its own input, and the whole with the stages.
 ORACLE_SQL = None
