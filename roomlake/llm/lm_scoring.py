@@ -11,6 +11,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,8 +29,11 @@ _CHUNK_CHARS = 4_000_000
 _HELD_WORDS = 300_000
 #: Tokens of a chunk of documents (at least one document), and about as many of a part of the table of counts.
 CHUNK_TOKENS = PART_TOKENS = 1 << 21
-#: The context of a text's first word, and the weights of a bigram's two word hashes in its code.
-_START, _BEFORE, _NEXT = np.uint64(0x5851F42D4C957F2D), np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+#: Bytes of a text that make a token, about; only the number of parts follows from it.
+TOKEN_BYTES = 6
+#: The context of a text's first word, and the weights of a bigram's two word hashes in its code. Words have odd codes, all else even ones.
+_START, _BEFORE, _NEXT = np.uint64(0x5851F42D4C957F2C), np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+_ODD = np.uint64(1)
 
 
 def _chunks(batch: pa.RecordBatch) -> Iterator[tuple[int, int]]:
@@ -164,16 +168,17 @@ def _pack(values: np.ndarray) -> bytes:
 
 
 def _unpack(data: bytes, kind: type) -> np.ndarray:
-    planes = np.frombuffer(zlib.decompress(data), np.uint8).reshape(np.dtype(kind).itemsize, -1)
-    return np.ascontiguousarray(planes.T).view(kind).ravel()
+    flat = np.frombuffer(zlib.decompress(data), np.uint8)
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(flat.reshape(size, len(flat) // size).T).view(kind).ravel()
 
 
 def _word_hashes(words: list[str], known: dict[str, int]) -> np.ndarray:
-    """64-bit hash of each word; ``known`` is the task's cache."""
+    """Odd 64-bit hash of each word; ``known`` is the task's cache."""
     if len(known) > _HELD_WORDS:
         known.clear()
     for w in set(words).difference(known):
-        known[w] = int.from_bytes(hashlib.blake2b(w.encode(), digest_size=8).digest(), "little")
+        known[w] = int.from_bytes(hashlib.blake2b(w.encode(), digest_size=8).digest(), "little") | 1
     return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
 
 
@@ -182,7 +187,7 @@ def _codes(h: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     n, first = len(h), (np.cumsum(sizes) - sizes)[sizes > 0]
     before = np.concatenate([[_START], h])[:n]
     before[first] = _START
-    codes, at = np.unique(np.concatenate([h, before * _BEFORE + h * _NEXT, [_START]]), return_inverse=True)
+    codes, at = np.unique(np.concatenate([h, (before * _BEFORE + h * _NEXT) & ~_ODD, [_START]]), return_inverse=True)
     context = np.concatenate([at[-1:], at[:n]])[:n]
     context[first] = at[-1]
     return codes, at[:n], at[n : 2 * n], context
@@ -203,8 +208,9 @@ def corpus_cross_entropy_difference(docs: DataFrame, key: str = "doc_id", text:
     Documents go in chunks of about CHUNK_TOKENS tokens. A chunk sends its distinct words and bigrams with its counts to the
     parts of the table of counts, by the leading bits of their 64-bit codes; a part sums them over all chunks and sends
     each chunk the sums of what it asked for, so nothing is cut or broadcast and no task holds more than a chunk or a
-    part. The number of parts follows the corpus's tokens, and a frequent bigram is one entry a chunk. Two of n bigrams share a code with
-    probability n * n / 2 ** 65 or so: 0.5 at the 4e9 of 30 GB.
+    part. Every part hears of every chunk, so it also sums the corpus's tokens and, over all parts, its distinct words, and the texts are
+    read once. The number of parts follows the corpus's bytes, and a frequent bigram is one entry a chunk. Two of n bigrams share a code with
+    probability n * n / 2 ** 64 or so: 1 at the 4e9 of 30 GB.
 
     Null, empty and blank texts have no tokens and zeros; whole texts of any length are read (a longer one than CHUNK_TOKENS is a chunk of its
     own); null keys, ties and repeated rows are documents of their own; an empty table gives no rows; other columns are not read.
@@ -225,21 +231,8 @@ def corpus_cross_entropy_difference(docs: DataFrame, key: str = "doc_id", text:
                     sizes[i] = len(own)
                 yield batch.column(0).slice(a, b - a), batch.column(2).slice(a, b - a).to_numpy(zero_copy_only=False), sizes, _word_hashes(words, known)
 
-    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, seen = [0, 0], np.empty(0, np.uint64)
-        out = lambda h, n: pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), *(pa.array([x] * len(h), pa.int64()) for x in n)], names=["h", "n0", "n1"])
-        for _, target, sizes, h in texts(batches):
-            total = [total[0] + int(sizes[target].sum()), total[1] + int(sizes[~target].sum())]
-            seen = np.union1d(seen, h)
-            if len(seen) > _HELD_WORDS:
-                yield out(seen.view(np.int64), (0, 0))
-                seen = seen[:0]
-        yield out(seen.view(np.int64), (0, 0))
-        yield out([None], total)
-
-    distinct = rows.mapInArrow(measure, "h long, n0 long, n1 long").groupBy("h").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
-    n_words, *tokens = [x or 0 for x in distinct.agg(F.count("h"), F.sum("n0"), F.sum("n1")).first()]
-    bits = max(0, math.ceil(math.log2(max(sum(tokens), 1) / PART_TOKENS)))
+    size = rows.agg(F.sum(F.octet_length("x"))).first()[0] or 0
+    bits = max(0, math.ceil(math.log2(max(size / TOKEN_BYTES, 1) / PART_TOKENS)))
     edges = np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits) if bits else np.empty(0, np.uint64)
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -264,15 +257,16 @@ def corpus_cross_entropy_difference(docs: DataFrame, key: str = "doc_id", text:
             place = np.empty(len(order), np.uint32)
             place[order] = np.arange(len(order), dtype=np.uint32)
             own = pa.ListArray.from_arrays(pa.array([0, len(keys)], pa.int32()), keys)
-            yield row(chunk, -1 - chunk, own, _pack(sorted_h[order]), _pack(place[rank]), _pack(2 * sizes + target))
+            tokens = int(sizes[target].sum()), int(sizes[~target].sum())
+            yield row(chunk, -1 - chunk, own, tokens, _pack(sorted_h[order]), _pack(place[rank]), _pack(2 * sizes + target))
             bounds = [0, *np.searchsorted(codes, edges).tolist(), len(codes)]
             none = pa.ListArray.from_arrays(pa.array([0, 0], pa.int32()), keys[:0])
             for part, (a, b) in enumerate(zip(bounds, bounds[1:])):
-                if a < b:
-                    yield row(chunk, part, none, _pack(np.diff(codes[a:b], prepend=np.uint64(0))), *(_pack(n[a:b]) for n in counts))
+                yield row(chunk, part, none, tokens, _pack(np.diff(codes[a:b], prepend=np.uint64(0))), *(_pack(n[a:b]) for n in counts))
 
-        def row(chunk: int, part: int, keys: pa.Array, *data: bytes) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([chunk]), pa.array([part]), keys, *(pa.array([x], pa.binary()) for x in data)], names=["chunk", "part", "keys", "x", "y", "z"])
+        def row(chunk: int, part: int, keys: pa.Array, tokens: tuple[int, int], *data: bytes) -> pa.RecordBatch:
+            told = (chunk, part, *tokens, 0)
+            return pa.RecordBatch.from_arrays([*(pa.array([x], pa.int64()) for x in told), keys, *(pa.array([x], pa.binary()) for x in data)], names=["chunk", "part", "n0", "n1", "words", "keys", "x", "y", "z"])
 
         for some in texts(batches):
             held.append(some)
@@ -287,16 +281,21 @@ def corpus_cross_entropy_difference(docs: DataFrame, key: str = "doc_id", text:
         if group["part"][0].as_py() < 0:
             return group
         codes = [np.cumsum(_unpack(x.as_py(), np.uint64), dtype=np.uint64) for x in group["x"]]
-        _, at = np.unique(np.concatenate(codes), return_inverse=True)
+        distinct, at = np.unique(np.concatenate(codes), return_inverse=True)
+        for name, total in (("n0", pc.sum(group["n0"])), ("n1", pc.sum(group["n1"])), ("words", pa.scalar(int(np.count_nonzero(distinct & _ODD))))):
+            group = group.set_column(group.schema.get_field_index(name), name, pa.array([total.as_py()] * len(codes), pa.int64()))
         ends = np.cumsum([len(x) for x in codes])[:-1]
         for name in ("y", "z"):
-            sums = np.bincount(at, np.concatenate([_unpack(x.as_py(), np.uint32) for x in group[name]])).astype(np.uint64)
+            sums = np.bincount(at, np.concatenate([_unpack(x.as_py(), np.uint32) for x in group[name]]), len(distinct)).astype(np.uint64)
             group = group.set_column(group.schema.get_field_index(name), name, pa.array([_pack(x) for x in np.split(sums[at], ends)], pa.binary()))
         return group.set_column(group.schema.get_field_index("x"), "x", pa.array([b""] * len(codes), pa.binary()))
 
     def score(group: pa.Table) -> pa.Table:
         group = group.sort_by("part")
         own = {c: group[c][0] for c in ("keys", "x", "y", "z")}
+        if group["part"].to_pylist()[1:] != list(range(1 << bits)):
+            raise RuntimeError("a chunk of documents and its counts do not match: a task that was run again read other rows")
+        tokens, n_words = [group[n][1].as_py() for n in ("n0", "n1")], pc.sum(group["words"]).as_py()
         marked = _unpack(own["z"].as_py(), np.int64)
         sizes, target = marked >> 1, (marked & 1).astype(bool)
         codes, word, pair, context = _codes(_unpack(own["x"].as_py(), np.uint64)[_unpack(own["y"].as_py(), np.uint32)], sizes)
@@ -308,7 +307,7 @@ def corpus_cross_entropy_difference(docs: DataFrame, key: str = "doc_id", text:
         left = [np.where(target == (m == 0), tokens[m] - leave_one_out * sizes, tokens[m]) for m in range(2)]
         for m, name in enumerate(("y", "z")):
             n = np.concatenate([_unpack(x.as_py(), np.uint64) for x in group[name][1:]]).astype(np.float64)
-            if group["part"][0].as_py() >= 0 or len(n) != len(codes):
+            if len(n) != len(codes):
                 raise RuntimeError("a chunk of documents and its counts do not match: a task that was run again read other rows")
             n_word, n_pair, n_context = n[word], n[pair], n[context]
             if leave_one_out:
@@ -321,7 +320,7 @@ def corpus_cross_entropy_difference(docs: DataFrame, key: str = "doc_id", text:
             per.append(np.bincount(owner, -np.log(p), len(sizes)) / np.maximum(sizes, 1))
         return pa.Table.from_arrays([own["keys"].values, pa.array(sizes), pa.array(per[0]), pa.array(per[1]), pa.array(per[0] - per[1])], names=[key, "n_tokens", "target_loss", "background_loss", "score"])
 
-    layout = f"chunk long, part long, keys array<{kind}>, x binary, y binary, z binary"
+    layout = f"chunk long, part long, n0 long, n1 long, words long, keys array<{kind}>, x binary, y binary, z binary"
     summed = rows.mapInArrow(ask, layout).groupBy("part").applyInArrow(add, layout)
     return summed.groupBy("chunk").applyInArrow(score, f"{key} {kind}, n_tokens long, target_loss double, background_loss double, score double")
 
