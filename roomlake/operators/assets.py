@@ -10,11 +10,13 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.geometry import norm
 from .greedy import first_fit_by, first_fit_fold, rank_items
 from .room import grid_shape, prefab_kind
-from .sampling import linspace_sample
+from .quantiles import quantiles
+from .sampling import linspace_sample, stride_sample
 
 
 def size_groups(placed: DataFrame, group: list[str], tolerance: float = 0.15) -> DataFrame:
@@ -202,9 +204,7 @@ def level_rotations(points: DataFrame, ups: DataFrame, tries: int = 400, least:
     task; heights and percentiles before that are distributed. ups: scene, ux, uy, uz, trusted.
     """
     tall = points.join(ups, "scene").withColumn("hgt", F.col("x") * F.col("ux") + F.col("y") * F.col("uy") + F.col("z") * F.col("uz"))
-    q = tall.groupBy("scene").agg(F.percentile("hgt", F.array(F.lit(0.02), F.lit(0.30), F.lit(0.98))).alias("q"))
-    from .sampling import stride_sample
-
+    q = quantiles(tall, ["scene"], {"q": (F.col("hgt"), (0.02, 0.30, 0.98))})
     band = tall.join(q, "scene").filter(F.col("hgt") <= F.col("q")[1])
     thin = stride_sample(band, ["scene"], ["pid"], most, wide=True).select("scene", "x", "y", "z", "ux", "uy", "uz", "trusted", (0.02 * F.greatest(F.col("q")[2] - F.col("q")[0], F.lit(1e-6))).alias("eps"))
 
@@ -259,8 +259,6 @@ def box_edges(boxes: DataFrame, keys: list[str]) -> DataFrame:
 
 def label_palette(labels: DataFrame, group: list[str], colors: int = 10) -> DataFrame:
     """(group, label, color): index into a palette by sorted label."""
-    from pyspark.sql.window import Window
-
     return labels.select(*group, "label").distinct().withColumn("color", ((F.dense_rank().over(Window.partitionBy(*group).orderBy("label")) - 1) % colors).cast("long"))
 
 

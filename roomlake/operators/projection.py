@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import geometry as G
+from .quantiles import quantiles
 from .sampling import linspace_sample
 
 #: A scene's points and cameras meet in this many parts at least, whatever the scene's size.
@@ -105,8 +106,12 @@ def confidence_gate(pixels: DataFrame, group: list[str], percent: float, and_val
     conf = F.when(F.col("edge") | F.col("excluded"), F.lit(0.0)).otherwise(F.col("conf"))
     rows = pixels.withColumn("conf_used", conf)
     valid = ~F.isnan("conf_used") & (F.col("conf_used") > 1e-5)
-    least = F.percentile(F.when(valid, F.col("conf_used")), percent / 100.0) if percent > 0 else F.lit(0.0)
-    bars = rows.groupBy(*group).agg(F.coalesce(least if percent > 0 else F.first(F.lit(0.0)), F.lit(0.0)).alias("bar"))
+    bars = rows.select(*group).distinct()
+    if percent > 0:
+        found = quantiles(rows, group, {"q": (F.when(valid, F.col("conf_used")), (percent / 100.0,))})
+        bars = bars.join(found, group, "left").select(*group, F.coalesce(F.col("q")[0], F.lit(0.0)).alias("bar"))
+    else:
+        bars = bars.withColumn("bar", F.lit(0.0))
     keep = F.col("conf_used") >= F.col("bar")
     return rows.join(bars, group).filter((keep & valid) if and_valid else keep)
 
@@ -220,7 +225,7 @@ def smooth_depth(pixels: DataFrame, radius: int = 4, color: float = 0.03, space:
 
 def point_cloud(lifted: DataFrame, group: list[str], percent: float, drop_black: bool = False, drop_white: bool = False) -> DataFrame:
     """Lifted pixels (wx, wy, wz, r, g, b, conf) to show: confidence at least the group's percentile, without near-black or near-white background."""
-    bars = lifted.groupBy(*group).agg(F.percentile("conf", percent / 100.0).alias("bar"))
+    bars = quantiles(lifted, group, {"q": (F.col("conf"), (percent / 100.0,))}).select(*group, F.col("q")[0].alias("bar"))
     rows = lifted.join(bars, group).filter((F.col("conf") >= F.col("bar")) & (F.col("conf") > 1e-5))
     if drop_black:
         rows = rows.filter(F.col("r") + F.col("g") + F.col("b") >= 16)

@@ -1,7 +1,8 @@
 """Rooms: yaw, fitted walls, coverage, wall and floor evidence, infill, colours, masks on grids.
 
 A room is a row (scene, xmin, xmax, zmin, zmax, height); points are rows of a scene. Everything groups by scene and
-cell, so scenes spread over the cluster and no scene's cloud is gathered.
+cell, so scenes spread over the cluster and no scene's cloud is gathered; quantiles over a scene go by quantiles.quantiles,
+those of one object's points by the built-in aggregate.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.geometry import snap_yaw
+from .quantiles import quantiles
 
 CELL, MAX_U, MAX_Y = 0.20, 96, 64
 FLOOR_COLOR, CEILING_COLOR = (128, 126, 122), (235, 235, 230)
@@ -89,15 +91,18 @@ def min_area_yaw(points: DataFrame) -> DataFrame:
 
 def fit_room_rect(points: DataFrame, heights: DataFrame, support: int = 200, outer: int = 20) -> DataFrame:
     """(scene, xmin, xmax, zmin, zmax): walls as medians of the outer points of a mid-height band, else p2 or p98 of all points."""
-    rows = points.join(heights, "scene").withColumn("band", (F.col("y") > 0.15 * F.col("height")) & (F.col("y") < 0.85 * F.col("height")))
+    rows = points.join(heights, "scene").withColumn("band", (F.col("y") > 0.15 * F.col("height")) & (F.col("y") < 0.85 * F.col("height"))).select("scene", "x", "z", "band")
     sides = {"xmin": ("x", False), "xmax": ("x", True), "zmin": ("z", False), "zmax": ("z", True)}
-    bars = rows.groupBy("scene").agg(
-        F.count_if("band").alias("n_band"), *[F.percentile(F.when(F.col("band"), F.col(c)), 0.95 if up else 0.05).alias(f"bar_{k}") for k, (c, up) in sides.items()],
-        *[F.percentile(c, 0.98 if up else 0.02).alias(f"all_{k}") for k, (c, up) in sides.items()],
-    )
-    beyond = {k: F.when(F.col("band") & ((F.col(c) > F.col(f"bar_{k}")) if up else (F.col(c) < F.col(f"bar_{k}"))), F.col(c)) for k, (c, up) in sides.items()}
-    fitted = rows.join(bars, "scene").groupBy("scene", "n_band", *[f"all_{k}" for k in sides]).agg(*[F.count(b).alias(f"n_{k}") for k, b in beyond.items()], *[F.median(b).alias(f"fit_{k}") for k, b in beyond.items()])
-    return fitted.select("scene", *[F.when((F.col("n_band") >= support) & (F.col(f"n_{k}") >= outer), F.col(f"fit_{k}")).otherwise(F.col(f"all_{k}")).alias(k) for k in sides])
+    at = lambda name, up: F.col(name)[int(up)]
+    q = quantiles(rows, ["scene"], {f"band_{c}": (F.when(F.col("band"), F.col(c)), (0.05, 0.95)) for c in "xz"} | {f"all_{c}": (F.col(c), (0.02, 0.98)) for c in "xz"})
+    outer_rows = rows.join(q, "scene")
+    beyond = {k: F.when(F.col("band") & ((F.col(c) > at(f"band_{c}", up)) if up else (F.col(c) < at(f"band_{c}", up))), F.col(c)) for k, (c, up) in sides.items()}
+    counts = outer_rows.groupBy("scene").agg(F.count_if("band").alias("n_band"), *[F.count(b).alias(f"n_{k}") for k, b in beyond.items()])
+    fits = quantiles(outer_rows, ["scene"], {f"fit_{k}": (b, (0.5,)) for k, b in beyond.items()})
+    fitted = counts.join(q, "scene").join(fits, "scene", "left")
+    return fitted.select("scene", *[
+        F.when((F.col("n_band") >= support) & (F.col(f"n_{k}") >= outer), F.col(f"fit_{k}")[0]).otherwise(at(f"all_{c}", up)).alias(k) for k, (c, up) in sides.items()
+    ])
 
 
 def walls_of(rooms: DataFrame) -> DataFrame:
@@ -271,7 +276,7 @@ def horizontal_infill(points: DataFrame, rooms: DataFrame, least: int = 3) -> Da
 
 def ceiling_support(points: DataFrame, levels: DataFrame, least: int = 50, share: float = 0.35) -> DataFrame:
     """(scene, supported): whether points near the ceiling spread over the room's 8 x 8 floor grid (outside points count for edge cells)."""
-    q = points.groupBy("scene").agg(F.percentile("x", F.array(F.lit(0.02), F.lit(0.98))).alias("qx"), F.percentile("z", F.array(F.lit(0.02), F.lit(0.98))).alias("qz"))
+    q = quantiles(points, ["scene"], {"qx": (F.col("x"), (0.02, 0.98)), "qz": (F.col("z"), (0.02, 0.98))})
     rows = points.join(levels, "scene").filter(F.col("y") > F.col("ceil_y") - 0.08 * F.greatest("height", F.lit(1e-6))).join(q, "scene")
     cell = lambda v, b: F.least(F.greatest(F.floor((F.col(v) - F.col(b)[0]) / ((F.col(b)[1] - F.col(b)[0]) / 8)), F.lit(0)), F.lit(7))
     wide = ((F.col("qx")[1] - F.col("qx")[0]) / 8 > 1e-9) & ((F.col("qz")[1] - F.col("qz")[0]) / 8 > 1e-9)
@@ -285,7 +290,7 @@ def level_colors(points: DataFrame, levels: DataFrame) -> DataFrame:
     rows = points.join(levels, "scene").join(span, "scene").withColumn("tol", 0.1 * F.greatest("span", F.lit(1e-6)))
     out = None
     for name, near, fixed in (("floor", F.col("y") < F.col("floor_y") + F.col("tol"), FLOOR_COLOR), ("ceiling", F.col("y") > F.col("ceil_y") - F.col("tol"), CEILING_COLOR)):
-        seen = rows.filter(near).groupBy("scene").agg(*[F.floor(F.median(k)).alias(k) for k in "rgb"])
+        seen = quantiles(rows.filter(near), ["scene"], {k: (F.col(k), (0.5,)) for k in "rgb"}).select("scene", *[F.floor(F.col(k)[0]).alias(k) for k in "rgb"])
         part = levels.select("scene").join(seen, "scene", "left").select("scene", F.lit(name).alias("surface"), *[F.coalesce(k, F.lit(v)).cast("long").alias(k) for k, v in zip("rgb", fixed)])
         out = part if out is None else out.unionAll(part)
     return out

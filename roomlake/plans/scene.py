@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import assets, audit, instances, placements, review, room
+from ..operators.quantiles import quantiles
 from ..session import checkpointed
 from .hooks import SceneHooks, object_generator
 
@@ -17,7 +18,8 @@ def build_scene(points: DataFrame, labels: DataFrame, tolerance: float = 0.12) -
     near the floor stand on it; racks give the metric scale, else 1; the floor moves to 0 and the median to the origin; objects of one
     label with extents within a tenth share the best seen one's asset.
     """
-    levels = points.groupBy("scene").agg(F.percentile("y", 0.03).alias("floor_y"), F.percentile("y", 0.97).alias("ceil_y"), F.median("x").alias("mx"), F.median("z").alias("mz"))
+    q = quantiles(points, ["scene"], {"y": (F.col("y"), (0.03, 0.97)), "x": (F.col("x"), (0.5,)), "z": (F.col("z"), (0.5,))})
+    levels = q.select("scene", F.col("y")[0].alias("floor_y"), F.col("y")[1].alias("ceil_y"), F.col("x")[0].alias("mx"), F.col("z")[0].alias("mz"))
     named = labels.select("scene", "inst_id", "label")
     # heights relative to each scene's floor, so one floor level serves all scenes
     level = points.join(levels, "scene").withColumn("y", F.col("y") - F.col("floor_y")).select("scene", "inst_id", "pid", "frame", "x", "y", "z", (F.col("ceil_y") - F.col("floor_y")).alias("room_h"))
@@ -83,7 +85,7 @@ def assemble_scene(points: DataFrame, observations: DataFrame, hooks: SceneHooks
     members, cloud = checkpointed(review.propagate_labels(members, told)), cloud.join(voted.select("inst_id"), "inst_id", "left_semi")
 
     hooks.stage(0.5, "audit")
-    levels = checkpointed(points.groupBy("scene").agg(F.percentile("y", 0.03).alias("floor_y"), F.percentile("y", 0.97).alias("ceil_y")))
+    levels = checkpointed(quantiles(points, ["scene"], {"y": (F.col("y"), (0.03, 0.97))}).select("scene", F.col("y")[0].alias("floor_y"), F.col("y")[1].alias("ceil_y")))
     owned = members.select("inst_id", "obs_id", "frame", F.col("frame").alias("f")).distinct()
     a, b = owned.alias("a"), owned.alias("b")
     views = a.join(b, (F.col("a.inst_id") == F.col("b.inst_id")) & (F.col("a.obs_id") < F.col("b.obs_id")) & (F.col("a.f") != F.col("b.f")))

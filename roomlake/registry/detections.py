@@ -97,7 +97,7 @@ def mask_gate(spark: SparkSession, sf: str) -> DataFrame:
 
 def observation_admission(spark: SparkSession, sf: str) -> DataFrame:
     """Masks over the pixels that pass the confidence gate."""
-    masks = carrier(spark, sf, "mask_cells").select((F.col("mask_id") % 64).alias("frame"), F.col("mask_id").alias("det_id"), F.col("ix").alias("u"), F.col("iy").alias("v"))
+    masks = carrier(spark, sf, "mask_cells").select((F.col("mask_id") % 4).alias("frame"), F.col("mask_id").alias("det_id"), F.col("ix").alias("u"), F.col("iy").alias("v"))
     dets = masks.select("frame", "det_id").distinct().withColumn("label", F.expr("CASE det_id % 5 WHEN 0 THEN 'glass door' WHEN 1 THEN 'window' ELSE 'chair' END"))
     pixels = carrier(spark, sf, "pixels").withColumns({"scene": F.expr("frame div 4"), "edge": F.lit(False), "excluded": F.lit(False)})
     return ops.admitted(dets, masks, confidence_gate(pixels, ["scene"], 20), least=3)
@@ -156,5 +156,5 @@ SELECT frame, label, 0.22::DOUBLE AS threshold FROM g, (VALUES ('monitor'), ('wi
     "mask_gate": duck("detections", "SELECT frame, det_id, det_id % 7 > 0 AND score >= 0.5 AND det_id % 40 >= 16 AS has_mask FROM detections QUALIFY row_number() OVER (PARTITION BY frame ORDER BY det_id) <= 20"),
     "observation_admission": duck("mask_cells pixels", """b AS (SELECT frame // 4 AS scene, quantile_cont(CASE WHEN conf > 1e-5 THEN conf END, 0.2) AS bar FROM pixels GROUP BY ALL),
 g AS (SELECT frame, u, v FROM pixels JOIN b ON scene = frame // 4 WHERE conf >= bar AND conf > 1e-5)
-SELECT mask_id % 64 AS frame, mask_id AS det_id, count(*) AS n_good FROM mask_cells m JOIN g ON g.frame = mask_id % 64 AND g.u = ix AND g.v = iy WHERE mask_id % 5 > 1 GROUP BY mask_id HAVING count(*) >= 3"""),
+SELECT mask_id % 4 AS frame, mask_id AS det_id, count(*) AS n_good FROM mask_cells m JOIN g ON g.frame = mask_id % 4 AND g.u = ix AND g.v = iy WHERE mask_id % 5 > 1 GROUP BY mask_id HAVING count(*) >= 3"""),
 }

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from roomlake.operators import assets, instances, placements, projection, sampling, scene_objects
+from roomlake.operators import assets, placements, projection, quantiles, sampling, scene_objects
 from roomlake.plans import hooks, scene
 from roomlake.registry import all_queries
 from roomlake.streaming import jobs
@@ -154,6 +154,21 @@ def test_wide_samples_equal_narrow_ones(spark):
         assert show(sample(df, ["scene"], ["pid"], k, wide=True)) == show(sample(df, ["scene"], ["pid"], k))
 
 
+def test_quantiles_equal_the_aggregate(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    rows = [(int(k % 10 > 0), float(v), float(round(v)) if k % 4 else None) for k, v in enumerate(np.concatenate([rng.normal(size=900), rng.exponential(50, 300), np.full(500, 7.0)]))] + [(2, 5.0, None), (3, float("nan"), None)]
+    df = spark.createDataFrame(rows, "g long, x double, y double").repartition(5)
+    share = (0.0, 0.02, 0.5, 0.513, 0.98, 1.0)
+    want = {r.g: (r.x, r.y) for r in df.filter("g < 3").groupBy("g").agg(*[F.percentile(c, F.array(*map(F.lit, share))).alias(c) for c in "xy"]).collect()}
+    for bins in (4096, 3, 1):
+        monkeypatch.setattr(quantiles, "BINS", bins)
+        got = {r.g: (r.x, r.y) for r in quantiles.quantiles(df, ["g"], {c: (F.col(c), share) for c in "xy"}).collect()}
+        assert set(got) == set(want)
+        for g in want:
+            for a, b in zip(got[g], want[g]):
+                assert (a is None) == (b is None) and (a is None or a == pytest.approx(b, abs=1e-12))
+
+
 def test_names_models_and_documents(spark, tmp_path):
     df = spark.createDataFrame([("scan 1", bytearray(b"glTF1234")), ("../x", bytearray(b"glT")), ("a/b", None), ("a\\b", bytearray(b"xglTF"))], "name string, body binary")
     assert [tuple(r) for r in df.select(scene_objects.valid_name(F.col("name")), F.coalesce(scene_objects.valid_model(F.col("body")), F.lit(False))).collect()] == [(True, True), (False, False), (False, False), (False, False)]
