@@ -21,6 +21,8 @@ SLOTS, RADIUS = 64, 23
 SCREEN = 30
 #: A bucket with more members than this, in several components, is compared in blocks of BLOCK documents.
 HOT_BUCKET, BLOCK = 64, 64
+#: A document with a larger set is a block of its own.
+LONG_SET = 20_000
 #: At most this many ids (16 MB) are broadcast to the scan of the texts.
 MAX_BROADCAST_IDS = 2_000_000
 #: Links that one task of the component search takes.
@@ -281,7 +283,7 @@ def _hot_links(hot: DataFrame, texts: DataFrame, words: int, percent: int) -> Da
     """Links (a, b) between components among the members of crowded mixed buckets, on full sets.
 
     Buckets with the same largest component form a cluster, so both members of a pair are in one. Its members, in order of
-    component, are cut into blocks of BLOCK texts, and a task compares two blocks at a time: all their pairs by one product of 0/1 matrices. Only confirmed links
+    component, are cut into blocks of BLOCK texts (a very long text is one), and a task compares two blocks at a time: all their pairs by one product of 0/1 matrices. Only confirmed links
     leave the task, one a pair of components; two blocks of one component are not compared, nor blocks whose sizes rule a link out. Block p of
     n goes with the n / 2 blocks after it, round the circle, so every block is on either side equally often: pairs are made
     where their block p is and dealt by (cluster, p), then (cluster, q), keys with n / 2 pairs each. So a
@@ -294,8 +296,11 @@ def _hot_links(hot: DataFrame, texts: DataFrame, words: int, percent: int) -> Da
     shares = hot.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("k"))
     cluster = checkpointed(shares.groupBy("bucket").agg(F.max(F.struct("k", "root")).alias("m")).select("bucket", F.col("m.root").alias("cluster")))
     members = checkpointed(hot.join(cluster, "bucket").select("cluster", "rep", "root", "n").distinct())
-    placed = checkpointed(numbered(members, ["cluster"], ["root", "n", "rep"], "at").withColumn("block", F.expr(f"at div {BLOCK}")))
-    blocks = checkpointed(placed.groupBy("cluster", "block").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.min("n").alias("n0"), F.max("n").alias("n1")))
+    raw = F.when(F.col("n") > LONG_SET, -1 - F.col("at")).otherwise(F.expr(f"at div {BLOCK}"))
+    placed = checkpointed(numbered(members, ["cluster"], ["root", "n", "rep"], "at").withColumn("raw", raw))
+    stats = placed.groupBy("cluster", "raw").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.min("n").alias("n0"), F.max("n").alias("n1"))
+    blocks = checkpointed(numbered(checkpointed(stats), ["cluster"], ["raw"], "block"))
+    placed = placed.join(blocks.select("cluster", "raw", "block"), ["cluster", "raw"])
     sizes = blocks.groupBy("cluster").agg(F.count(F.lit(1)).alias("blocks"))
     x = blocks.join(sizes, "cluster").withColumn("d", F.explode(F.expr("sequence(0L, blocks div 2)"))).withColumn("q", F.expr("(block + d) % blocks"))
     x = x.filter("d * 2 < blocks or (d * 2 = blocks and block < q)").alias("x")  # the opposite block is met from both sides

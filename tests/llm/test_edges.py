@@ -332,6 +332,7 @@ def test_crowded_buckets_lose_no_link(spark, monkeypatch, block):
     # families that share a passage, so that their buckets hold many components
     monkeypatch.setattr(near_dedup, "HOT_BUCKET", 3)
     monkeypatch.setattr(near_dedup, "BLOCK", block)
+    monkeypatch.setattr(near_dedup, "LONG_SET", {2: 20_000, 3: 80, 16: 0}[block])
     rng, rows = random.Random(block), []
     passage = [f"p{k}" for k in range(60)]
     for f in range(12):
