@@ -122,7 +122,7 @@ def cloud_support(points: DataFrame, pairs: DataFrame, scales: DataFrame, ratio:
 
     The tolerance is ``ratio`` of the smaller robust diagonal. Only the existence of a neighbour matters, so the search is
     an equi-join on grid cells of that size: one cloud stays in its cells, the other is
-    copied to the 27 cells around each point. Points of a pair only meet inside common cells. ``points`` (inst_id, pid, x, y, z)
+    copied to the 27 cells around each point; the points that meet tell both shares. Points of a pair only meet inside common cells. ``points`` (inst_id, pid, x, y, z)
     should be sampled already.
     """
     d = scales.select("inst_id", "diag", "n_raw")
@@ -133,22 +133,20 @@ def cloud_support(points: DataFrame, pairs: DataFrame, scales: DataFrame, ratio:
         .select("earlier", "later", F.greatest(F.lit(ratio) * F.least("da", "db"), F.lit(1e-6)).alias("tol"))
     )
     pts = points.select("inst_id", "pid", *AXES)
-
-    def one_way(own: str, other: str, name: str) -> DataFrame:
-        cells = [F.floor(F.col(c) / F.col("tol")).alias(f"k{c}") for c in AXES]
-        a = sized.join(pts.withColumnRenamed("inst_id", own), own).select("earlier", "later", "tol", F.col("pid").alias("pa"), *AXES, *cells)
-        b = sized.join(pts.withColumnRenamed("inst_id", other), other).select("earlier", "later", F.col("tol").alias("tol_b"), *[F.col(c).alias(f"{c}b") for c in AXES], *[F.floor(F.col(c) / F.col("tol")).alias(f"k{c}") for c in AXES])
-        steps = F.array(*[F.lit(k) for k in (-1, 0, 1)])
-        wide = b
-        for c in AXES:
-            wide = wide.withColumn(f"s{c}", F.explode(steps)).withColumn(f"k{c}", F.col(f"k{c}") + F.col(f"s{c}")).drop(f"s{c}")
-        close = norm(*[F.col(c) - F.col(f"{c}b") for c in AXES]) <= F.col("tol")
-        hit = a.join(wide, ["earlier", "later", "kx", "ky", "kz"]).filter(close).select("earlier", "later", "pa").distinct()
-        total = a.groupBy("earlier", "later").agg(F.count(F.lit(1)).alias("n"))
-        found = hit.groupBy("earlier", "later").agg(F.count(F.lit(1)).alias("k"))
-        return total.join(found, ["earlier", "later"], "left").select("earlier", "later", (F.coalesce("k", F.lit(0)) / F.col("n")).alias(name))
-
-    both = one_way("earlier", "later", "sa").join(one_way("later", "earlier", "sb"), ["earlier", "later"])
+    cells = [F.floor(F.col(c) / F.col("tol")).alias(f"k{c}") for c in AXES]
+    a = sized.join(pts.withColumnRenamed("inst_id", "earlier"), "earlier").select("earlier", "later", "tol", F.col("pid").alias("pa"), *AXES, *cells)
+    b = sized.join(pts.withColumnRenamed("inst_id", "later"), "later").select("earlier", "later", F.col("pid").alias("pb"), *[F.col(c).alias(f"{c}b") for c in AXES], *cells)
+    steps = F.array(*[F.struct(F.lit(i).alias("x"), F.lit(j).alias("y"), F.lit(k).alias("z")) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1)])
+    wide = b.withColumn("s", F.explode(steps)).select("earlier", "later", "pb", *[f"{c}b" for c in AXES], *[(F.col(f"k{c}") + F.col(f"s.{c}")).alias(f"k{c}") for c in AXES])
+    close = norm(*[F.col(c) - F.col(f"{c}b") for c in AXES]) <= F.col("tol")
+    met = a.join(wide, ["earlier", "later", "kx", "ky", "kz"]).filter(close).groupBy("earlier", "later").agg(F.countDistinct("pa").alias("ka"), F.countDistinct("pb").alias("kb"))
+    size = pts.groupBy("inst_id").agg(F.count(F.lit(1)).alias("n"))
+    rows = (
+        sized.select("earlier", "later").join(size.select(F.col("inst_id").alias("earlier"), F.col("n").alias("na")), "earlier")
+        .join(size.select(F.col("inst_id").alias("later"), F.col("n").alias("nb")), "later").join(met, ["earlier", "later"], "left")
+    )
+    share = lambda k, n: F.coalesce(F.col(k), F.lit(0)) / F.col(n)
+    both = rows.select("earlier", "later", share("ka", "na").alias("sa"), share("kb", "nb").alias("sb"))
     return both.select("earlier", "later", F.greatest("sa", "sb").alias("support_max"), F.sqrt(F.col("sa") * F.col("sb")).alias("support_mean"))
 
 
