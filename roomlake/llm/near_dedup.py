@@ -138,11 +138,12 @@ def _join_small(ends: DataFrame, told: DataFrame, n_ends: int) -> DataFrame:
     node's ends are gathered in one task beyond that share.
     """
     hub = F.col("degree") * HUBS > n_ends
-    hubs = checkpointed(told.filter(hub).select("u", "m"))
-    if hubs.isEmpty():
+    hubs = told.filter(hub).select("u", "m").collect()  # HUBS rows at most
+    if not hubs:
         return ends.join(told.select("u", "m"), "u")
-    rest = ends.join(F.broadcast(hubs.select("u")), "u", "left_anti").join(told.filter(~hub).select("u", "m"), "u")
-    return ends.join(F.broadcast(hubs), "u").unionAll(rest)
+    few = F.broadcast(ends.sparkSession.createDataFrame(hubs, "u long, m long"))
+    rest = ends.join(few.select("u"), "u", "left_anti").join(told.filter(~hub).select("u", "m"), "u")
+    return ends.join(few, "u").unionAll(rest)
 
 
 def components(links: DataFrame, nodes: str = "node") -> DataFrame:
