@@ -27,19 +27,6 @@ def _with_partners(ranked: DataFrame, pairs: DataFrame, group: list[str], item:
     return rows.groupBy(*group).agg(F.array_sort(F.collect_list(F.struct("rank", F.col(item).alias("id"), "partners"))).alias("xs"))
 
 
-def keep_fold(ranked: DataFrame, conflicts: DataFrame, group: list[str], item: str) -> DataFrame:
-    """Items kept by suppression: an item stays unless it conflicts with an earlier item that stayed.
-
-    ``conflicts`` has the group's columns, ``earlier`` and ``later`` (item ids in rank order).
-    """
-    lists = _with_partners(ranked, conflicts, group, item)
-    kept = F.aggregate(
-        "xs", F.array().cast("array<bigint>"),
-        lambda acc, x: F.when(F.arrays_overlap(acc, x["partners"]), acc).otherwise(F.concat(acc, F.array(x["id"]))),
-    )
-    return lists.select(*group, F.explode(kept).alias(item))
-
-
 def first_fit_fold(ranked: DataFrame, accepts: DataFrame, group: list[str], item: str, seed_only: bool) -> DataFrame:
     """(group, item, seed, cluster): each item joins the first cluster that accepts it, or starts one.
 

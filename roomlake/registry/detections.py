@@ -62,7 +62,7 @@ def linspace_sample(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def stride_sample(spark: SparkSession, sf: str) -> DataFrame:
-    return sampling.stride_sample(carrier(spark, sf, "points"), ["scene"], ["pid"], 1000).select("scene", "pid")
+    return sampling.stride_sample(carrier(spark, sf, "points"), ["scene"], ["pid"], 1000, wide=True).select("scene", "pid")
 
 
 def sharpest_frames(spark: SparkSession, sf: str) -> DataFrame:

@@ -107,10 +107,21 @@ def audited_split(spark: SparkSession, sf: str) -> DataFrame:
     return parts.groupBy("status", "kept").agg(F.count(F.lit(1)).alias("n"))
 
 
-def reflector_containment(spark: SparkSession, sf: str) -> DataFrame:
+def _reflected(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """(mask pixels, reflector_containment of them)"""
     cells = carrier(spark, sf, "mask_cells").select((F.expr("mask_id div 5")).alias("frame"), F.col("mask_id").alias("det_id"), F.col("ix").alias("u"), F.col("iy").alias("v"))
     refl = cells.filter("det_id % 5 < 2").select("frame", F.col("det_id").alias("refl_id"), F.when(F.col("det_id") % 5 == 0, "mirror").otherwise("tv").alias("label"), "u", "v")
-    return audit.reflector_containment(cells, refl).select("det_id", F.round("ratio", 6).alias("ratio"), F.concat_ws(",", "labels").alias("labels"))
+    return cells, audit.reflector_containment(cells, refl)
+
+
+def reflector_containment(spark: SparkSession, sf: str) -> DataFrame:
+    return _reflected(spark, sf)[1].select("det_id", F.round("ratio", 6).alias("ratio"), F.concat_ws(",", "labels").alias("labels"))
+
+
+def reflector_evidence(spark: SparkSession, sf: str) -> DataFrame:
+    cells, contained = _reflected(spark, sf)
+    members = cells.select(F.expr("det_id div 15").alias("inst_id"), "det_id", "frame").distinct()
+    return audit.reflector_ratios(contained, members).select("inst_id", "hits", *_r("inside"))
 
 
 def exclude_mask(spark: SparkSession, sf: str) -> DataFrame:
@@ -135,7 +146,7 @@ _GONE = "dl AS (SELECT * FROM scene_objects WHERE obj_id % 3 = 1 OR obj_id % 10
 
 QUERIES = {f.__name__: f for f in (
     layout_merge, layout_validation, asset_gc, object_delete, object_add, object_replace, scene_summary, scene_json, job_latest_state, job_progress_windows, object_stability, cloud_planarity, geometry_audit, evidence_audit, audited_split,
-    reflector_containment, exclude_mask, scene_build,
+    reflector_containment, reflector_evidence, exclude_mask, scene_build,
 )}
 _BUILD = f"""lv AS (SELECT scene, quantile_cont(y, 0.03) AS fl, median(x) AS mx, median(z) AS mz FROM points GROUP BY scene),
 pt AS (SELECT p.scene, obj_id AS inst_id, frame, x, y - fl AS y, z FROM points p JOIN lv ON p.scene = lv.scene),
@@ -205,6 +216,10 @@ SELECT k AS inst_id, round(geometry, 6) AS geometry, round(refl, 6) AS reflectio
     "reflector_containment": duck("mask_cells", """n AS (SELECT mask_id, count(*) AS n FROM mask_cells GROUP BY mask_id),
 h AS (SELECT a.mask_id, b.mask_id AS r, CASE WHEN b.mask_id % 5 = 0 THEN 'mirror' ELSE 'tv' END AS label, count(*) AS k FROM mask_cells a JOIN mask_cells b ON a.mask_id // 5 = b.mask_id // 5 AND a.ix = b.ix AND a.iy = b.iy AND a.mask_id <> b.mask_id WHERE b.mask_id % 5 < 2 GROUP BY a.mask_id, b.mask_id)
 SELECT n.mask_id AS det_id, round(max(coalesce(k, 0) / greatest(n, 1)), 6) AS ratio, coalesce(string_agg(DISTINCT label, ',' ORDER BY label) FILTER (WHERE k / n >= 0.5), '') AS labels FROM n LEFT JOIN h ON h.mask_id = n.mask_id GROUP BY n.mask_id"""),
+    "reflector_evidence": duck("mask_cells", """n AS (SELECT mask_id, count(*) AS n FROM mask_cells GROUP BY mask_id),
+h AS (SELECT a.mask_id, b.mask_id AS r, count(*) AS k FROM mask_cells a JOIN mask_cells b ON a.mask_id // 5 = b.mask_id // 5 AND a.ix = b.ix AND a.iy = b.iy AND a.mask_id <> b.mask_id WHERE b.mask_id % 5 < 2 GROUP BY a.mask_id, b.mask_id),
+rt AS (SELECT n.mask_id, max(coalesce(k, 0) / greatest(n, 1)) AS ratio FROM n LEFT JOIN h ON h.mask_id = n.mask_id GROUP BY n.mask_id)
+SELECT mask_id // 15 AS inst_id, count(DISTINCT CASE WHEN ratio >= 0.70 THEN mask_id // 5 END) AS hits, round(coalesce(median(CASE WHEN ratio >= 0.50 THEN ratio END), 0), 6) AS inside FROM rt GROUP BY ALL"""),
     "exclude_mask": duck("mask_cells", "SELECT DISTINCT mask_id // 5 AS frame, ix + a AS u, iy + b AS v FROM mask_cells, range(-1, 2) p(a), range(-1, 2) q(b) WHERE mask_id % 2 = 0 AND mask_id % 6 <> 0 AND ix + a BETWEEN 0 AND 15 AND iy + b BETWEEN 0 AND 9"),
 }
 ORACLES["audited_split"] = "SELECT status, NOT starts_with(status, 'rejected') AS kept, count(*) AS n FROM (" + ORACLES["evidence_audit"] + ") GROUP BY ALL"
