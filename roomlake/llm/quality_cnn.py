@@ -17,7 +17,7 @@ from .common import crc_fold, small_batches
 #: words, so that a filter can see a word that comes again and again.
 WIDTH, STRIDE, DEPTH, FILTERS = 64, 4, 8, 48
 #: Labelled rows that a fit may use at most, and the bytes of the longest text among them.
-MAX_TRAINING_ROWS, MAX_TRAINING_BYTES = 3000, 1 << 17
+MAX_TRAINING_ROWS, MAX_TRAINING_BYTES = 6000, 1 << 16
 #: Bytes of a text, a multiple of STRIDE, whose chunks are scored at once.
 _SEGMENT = 1 << 18
 #: Chunks that are multiplied at once.
