@@ -5,7 +5,11 @@ Cameras join on the frame key, so Spark picks broadcast or sort-merge by their s
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -18,6 +22,8 @@ from .sampling import linspace_sample
 SCENE_PARTS = 32
 #: Voxels of one slab task.
 SLAB = 65_536
+#: Tiles smoothed at a time.
+TILES = 32
 BIAS_RATIO, BIAS = 0.08, 0.03
 AGREE_RATIO, AGREE = 0.12, 0.08
 
@@ -206,21 +212,74 @@ def zero_crossings(volume: DataFrame) -> DataFrame:
     return out
 
 
-def smooth_depth(pixels: DataFrame, radius: int = 4, color: float = 0.03, space: float = 9.0) -> DataFrame:
+def smooth_depth(pixels: DataFrame, radius: int = 4, color: float = 0.03, space: float = 9.0, tile: int = 64) -> DataFrame:
     """(frame, u, v, depth): edge-keeping smoothing of each frame's depth over a disc of neighbours.
 
-    Depth differences are relative to the frame's range. Neighbours outside the image don't count. A pixel is copied to the
-    cells around it and meets them by equi-join, so frames spread over tasks.
+    Depth differences are relative to the frame's range. Neighbours outside the image don't count. A frame is cut into square
+    tiles, which spread over tasks; only pixels within the radius of a tile's edge are copied, to the tiles they reach. Rows come sorted by tile
+    and are smoothed in numpy, some tiles at a time. Pixels that occur twice are pooled; one without depth is no neighbour.
     """
-    disc = [(a, b) for a in range(-radius, radius + 1) for b in range(-radius, radius + 1) if a * a + b * b <= radius * radius]
-    steps = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit((a * a + b * b) / (2 * space * space)).alias("far")) for a, b in disc])
-    span = pixels.groupBy("frame").agg(F.greatest(F.max("depth") - F.min("depth"), F.lit(1e-9)).alias("span"))
-    near = pixels.select("frame", "u", "v", F.col("depth").alias("other")).withColumn("m", F.explode(steps))
-    near = near.select("frame", (F.col("u") + F.col("m.a")).alias("u"), (F.col("v") + F.col("m.b")).alias("v"), "other", "m.far")
-    rows = pixels.select("frame", "u", "v", "depth").join(near, ["frame", "u", "v"]).join(span, "frame")
-    gap = (F.col("other") - F.col("depth")) / F.col("span") / color
-    weight = F.exp(-F.col("far") - gap * gap / 2)
-    return rows.withColumn("w", weight).groupBy("frame", "u", "v").agg((F.sum(F.col("w") * F.col("other")) / F.sum("w")).alias("depth"))
+    disc = [(a, b, (a * a + b * b) / (2 * space * space)) for a in range(-radius, radius + 1) for b in range(-radius, radius + 1) if a * a + b * b <= radius * radius]
+    side, by = tile + 2 * radius, ["frame", "tile_u", "tile_v"]
+
+    def begins(t: pa.Table) -> np.ndarray:
+        """Rows of another tile than the row before."""
+        return 1 + np.flatnonzero(np.logical_or.reduce([pc.not_equal(t[c][1:], t[c][:-1]).to_numpy() for c in by]))
+
+    def smooth(t: pa.Table, starts: np.ndarray) -> list[pa.RecordBatch]:
+        x, y = (t[c].to_numpy().astype(np.int64) - t[f"from_{c}"].to_numpy() - t[f"tile_{c}"].to_numpy() * tile + radius for c in "uv")
+        place = np.repeat(np.arange(len(starts)), np.diff(starts, append=len(t)))
+        cell, cells = (place * side + x) * side + y, len(starts) * side * side
+        depth, span, known = t["depth"].to_numpy(), t["span"].to_numpy(), t["depth"].is_valid().to_numpy()
+        core = (np.minimum(x, y) >= radius) & (np.maximum(x, y) < radius + tile)
+        others = depth[known][np.argsort(cell[known], kind="stable")]
+        held = np.bincount(cell[known], minlength=cells)
+        first = np.cumsum(held) - held
+        at, own, span = cell[core & known], depth[core & known], span[core & known]
+        top, weight = np.zeros(len(at)), np.zeros(len(at))
+        with np.errstate(invalid="ignore", over="ignore"):
+            for a, b, far in disc:
+                near = at + a * side + b
+                for k in range(held[near].max(initial=0)):
+                    has = np.flatnonzero(held[near] > k)
+                    other = others[first[near[has]] + k]
+                    gap = (other - own[has]) / span[has] / color
+                    w = np.exp(-far - gap * gap / 2)
+                    top[has] += w * other
+                    weight[has] += w
+            seen, row = np.unique(cell[core], return_index=True)
+            none = np.bincount(at, minlength=cells)[seen] == 0
+            mean = np.bincount(at, top, minlength=cells)[seen] / np.where(none, 1.0, np.bincount(at, weight, minlength=cells)[seen])
+        out = t.select(["frame", "u", "v"]).take(np.flatnonzero(core)[row]).append_column("depth", pa.array(mean, mask=none))
+        return out.combine_chunks().to_batches()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def done(t: pa.Table) -> Iterator[pa.RecordBatch]:
+            starts = np.concatenate([[0], begins(t)])
+            for k in range(0, len(starts), TILES):
+                low, high = starts[k], starts[k + TILES] if k + TILES < len(starts) else len(t)
+                yield from smooth(t.slice(low, high - low), starts[k : k + TILES] - low)
+
+        kept = None
+        for batch in batches:
+            t = pa.Table.from_batches([batch])
+            t, old = (t, 0) if kept is None else (pa.concat_tables([kept, t]), max(len(kept) - 1, 0))
+            last = begins(t.slice(old))[-1:]
+            if len(last):
+                yield from done(t.slice(0, old + last[0]))
+                t = t.slice(old + last[0])
+            kept = t
+        if kept is not None and len(kept):
+            yield from done(kept)
+
+    placed = pixels.select("frame", "u", "v", F.col("depth").cast("double").alias("depth")).filter("u is not null and v is not null")
+    span = F.greatest(F.max("depth") - F.min("depth"), F.lit(1e-9)).cast("double").alias("span")
+    frames = pixels.groupBy("frame").agg(span, *[f(c).cast("long").alias(n + c) for c in "uv" for f, n in ((F.min, "from_"), (F.max, "to_"))])
+    within = lambda c, x: F.floor(F.least(F.greatest(x - F.col(f"from_{c}"), F.lit(0)), F.col(f"to_{c}") - F.col(f"from_{c}")) / tile)
+    tiles = lambda c: F.explode(F.sequence(within(c, F.col(c) - radius), within(c, F.col(c) + radius))).alias(f"tile_{c}")
+    rows = placed.join(frames, "frame").select("*", tiles("u")).select("*", tiles("v")).drop("to_u", "to_v")
+    kinds = ", ".join(f"{c} {dict(pixels.dtypes)[c]}" for c in ("frame", "u", "v"))
+    return rows.repartition(*by).sortWithinPartitions(*by).mapInArrow(run, f"{kinds}, depth double")
 
 
 def point_cloud(lifted: DataFrame, group: list[str], percent: float, drop_black: bool = False, drop_white: bool = False) -> DataFrame:

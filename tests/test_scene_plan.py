@@ -169,6 +169,53 @@ def test_quantiles_equal_the_aggregate(spark, monkeypatch):
                 assert (a is None) == (b is None) and (a is None or a == pytest.approx(b, abs=1e-12))
 
 
+def _most_rows(plan) -> int:
+    """The most rows that a node of an executed plan made."""
+    kind, made = plan.getClass().getSimpleName(), plan.metrics().get("numOutputRows")
+    below = [plan.executedPlan()] if kind == "AdaptiveSparkPlanExec" else [plan.plan()] if kind.endswith("QueryStageExec") else [plan.children().apply(k) for k in range(plan.children().size())]
+    return max([made.get().value() if made.isDefined() else 0, *map(_most_rows, below)])
+
+
+def test_smooth_depth_copies_few_pixels(spark):
+    pixels = spark.range(8 * 500).selectExpr("id div 500 as frame", "id % 25 as u", "id div 25 % 20 as v", "(id * 97 % 2500) / 1000D as depth")
+    smooth = projection.smooth_depth(pixels)
+    assert len(smooth.collect()) == 4000
+    assert _most_rows(smooth._jdf.queryExecution().executedPlan()) <= 2 * 4000
+
+
+@pytest.mark.parametrize("tile, batch, tiles", [(64, 10_000, 32), (5, 10_000, 3), (3, 7, 2)])
+def test_smooth_depth_by_the_rule(spark, monkeypatch, tile, batch, tiles):
+    """Tiles and batches of any size against every pair: holes, pixels that occur twice, pixels without depth or place."""
+    rng, rows = np.random.default_rng(6), []
+    for frame, (low, wide, high) in {"a": (-7, 23, 17), "b": (100, 9, 30), "c": (0, 1, 1)}.items():
+        for u in range(low, low + wide):
+            for v in range(3, 3 + high):
+                for _ in range(rng.choice([0, 1, 1, 1, 3]) if wide > 1 else 1):
+                    rows.append((frame, u, v, None if rng.random() < 0.1 else float(rng.uniform(0.5, 3))))
+    rows += [("a", 500, 500, 9.0), ("b", 0, 3, None), ("b", None, 3, 20.0), ("d", 1, 1, None)]
+    want = {}
+    for frame in "abcd":
+        mine = [r[1:] for r in rows if r[0] == frame and r[1] is not None]
+        known = np.array([r for r in mine if r[2] is not None], float).reshape(-1, 3)
+        span = max(np.ptp([r[3] for r in rows if r[0] == frame and r[3] is not None] or [0.0]), 1e-9)
+        for u, v in {r[:2] for r in mine}:
+            top = weight = 0.0
+            for own in known[(known[:, 0] == u) & (known[:, 1] == v), 2]:
+                far = (known[:, 0] - u) ** 2 + (known[:, 1] - v) ** 2
+                w = np.where(far <= 16, np.exp(-far / 162 - ((known[:, 2] - own) / span / 0.3) ** 2 / 2), 0)
+                top, weight = top + (w * known[:, 2]).sum(), weight + w.sum()
+            want[frame, u, v] = top / weight if weight else None
+    monkeypatch.setattr(projection, "TILES", tiles, raising=False)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        pixels = spark.createDataFrame(rows, "frame string, u int, v int, depth double").repartition(5)
+        got = [((r.frame, r.u, r.v), r.depth) for r in projection.smooth_depth(pixels, color=0.3, tile=tile).collect()]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(got) == len(want) and dict(got).keys() == want.keys()
+    assert all((d is None) == (want[k] is None) and (d is None or d == pytest.approx(want[k], abs=1e-9)) for k, d in got)
+
+
 def test_names_models_and_documents(spark, tmp_path):
     df = spark.createDataFrame([("scan 1", bytearray(b"glTF1234")), ("../x", bytearray(b"glT")), ("a/b", None), ("a\\b", bytearray(b"xglTF"))], "name string, body binary")
     assert [tuple(r) for r in df.select(scene_objects.valid_name(F.col("name")), F.coalesce(scene_objects.valid_model(F.col("body")), F.lit(False))).collect()] == [(True, True), (False, False), (False, False), (False, False)]
