@@ -12,6 +12,22 @@ from pyspark.sql.window import Window
 BINS = 4096
 
 
+def sorted_quantiles(values: Column, shares: Sequence[float]) -> Column:
+    """Array of linearly interpolated quantiles of a sorted array without nulls; null for an empty one.
+
+    lo * (1 - d) + hi * d with a fused multiply-add, as DuckDB interpolates: a value that lies exactly on a threshold falls on the same side
+    there and here, which the built-in percentile, with one rounding more, doesn't give.
+    """
+
+    def one(q: float) -> Column:
+        at = (F.size(values) - 1) * F.lit(float(q))
+        lo, hi, d = F.get(values, F.floor(at).cast("int")), F.get(values, F.ceil(at).cast("int")), at - F.floor(at)
+        fused = F.reflect(F.lit("java.lang.Math"), F.lit("fma"), lo, 1.0 - d, hi * d).cast("double")
+        return F.when(d > 0, fused).otherwise(lo)
+
+    return F.when(F.size(values) > 0, F.array(*map(one, shares)))
+
+
 def quantiles(df: DataFrame, keys: list[str], wanted: Mapping[str, tuple[Column, Sequence[float]]]) -> DataFrame:
     """(keys, names): an array of linearly interpolated quantiles for each name's expression; null where a group has no value.
 

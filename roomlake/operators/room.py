@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.geometry import snap_yaw
-from .quantiles import quantiles
+from .quantiles import quantiles, sorted_quantiles
 
 CELL, MAX_U, MAX_Y = 0.20, 96, 64
 FLOOR_COLOR, CEILING_COLOR = (128, 126, 122), (235, 235, 230)
@@ -51,8 +51,8 @@ def place_instances(points: DataFrame, labels: DataFrame, keys: list[str], floor
     """
     yaw = principal_yaw(points, keys).withColumn("yaw", snap_yaw(F.when(F.col("ratio") >= 1.2, F.col("yaw")).otherwise(F.lit(room_yaw)), F.lit(room_yaw)))
     turned = points.join(yaw, keys).withColumns({"c": F.cos(-F.col("yaw")), "s": F.sin(-F.col("yaw"))}).withColumns({"xr": F.col("c") * F.col("x") - F.col("s") * F.col("z"), "zr": F.col("s") * F.col("x") + F.col("c") * F.col("z")})
-    q = lambda c: F.percentile(c, F.array(F.lit(0.02), F.lit(0.98)))
-    boxes = turned.groupBy(*keys, "yaw", "c", "s").agg(q("xr").alias("qx"), q("zr").alias("qz"), q("y").alias("qy")).join(labels, keys)
+    lists = turned.groupBy(*keys, "yaw", "c", "s").agg(*[F.sort_array(F.collect_list(c)).alias(n) for c, n in (("xr", "qx"), ("zr", "qz"), ("y", "qy"))])
+    boxes = lists.withColumns({n: sorted_quantiles(F.col(n), (0.02, 0.98)) for n in ("qx", "qz", "qy")}).join(labels, keys)
     kind = prefab_kind(F.col("label"))
     tol = F.lit(tolerance) * F.when(kind.isin(*FLOOR_KINDS), 3.5).otherwise(1.0)
     mx, mz = (F.col("qx")[0] + F.col("qx")[1]) / 2, (F.col("qz")[0] + F.col("qz")[1]) / 2

@@ -2,10 +2,13 @@
 
 import glob
 import os
+import random
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
+from roomlake.operators.quantiles import sorted_quantiles
 from roomlake.registry import all_oracles, all_queries
 
 SF = "/root/testdata/sf0.001"
@@ -31,6 +34,27 @@ def test_query_equals_sql(spark, con, name):
     assert got == sorted(str(tuple(r[i] for i in at)) for r in rel.fetchall())
 
 
+def test_placements_on_the_threshold(spark, tmp_path):
+    """Two scenes of shifted copies, where the base of some tracks lies exactly as far from the floor as may be closed."""
+    c = duckdb.connect()
+    c.sql("""create table orders as select * from (select * replace (o_orderkey + k * 150000 as o_orderkey, o_custkey + k * 15000 as o_custkey)
+        from '/root/testdata/sf0.1/orders.parquet', (values (5), (20)) t(k)) where o_custkey // 400 in (208, 769) order by o_orderkey""")
+    c.sql(f"copy orders to '{tmp_path}/orders.parquet'")
+    got = sorted(tuple(r) for r in all_queries()["placed_duplicates"](spark, str(tmp_path)).collect())
+    assert len(got) > 100 and got == sorted(c.sql(all_oracles()["placed_duplicates"]).fetchall())
+
+
+def test_sorted_quantiles_equal_sql(spark):
+    rng, shares = random.Random(3), (0.02, 0.5, 0.98)
+    lists = [sorted(rng.randint(0, 2000) / 1000 for _ in range(rng.randint(1, 60))) for _ in range(200)]
+    df = spark.createDataFrame(list(enumerate(lists + [[]])), "k int, v array<double>")
+    got = {r.k: r.q for r in df.select("k", sorted_quantiles(F.col("v"), shares).alias("q")).collect()}
+    c = duckdb.connect()
+    for k, v in enumerate(lists):
+        assert [tuple(got[k])] == c.execute("select " + ", ".join(f"quantile_cont(x, {q})" for q in shares) + " from (select unnest(?::double[]) x)", [v]).fetchall()
+    assert got[len(lists)] is None
+
+
 def test_every_oracle_has_a_query():
     assert set(all_oracles()) <= set(all_queries())
 
